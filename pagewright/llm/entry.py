@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
 from .fingerprints import op7_fingerprints
+from .suffix_dedup import op10_suffix_dedup
 from .quality import op1_quality
 from .token_files import op6_token_files
 from .toxicity import op9_toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_fingerprints": op7_fingerprints,
         "op9_toxicity": op9_toxicity,
+        "op10_suffix_dedup": op10_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
