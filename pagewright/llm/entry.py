@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .fingerprints import op7_fingerprints
 from .suffix_dedup import op10_suffix_dedup
+from .near_dedup import op5_near_dedup
 from .quality import op1_quality
 from .token_files import op6_token_files
 from .toxicity import op9_toxicity
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
+        "op5_near_dedup": op5_near_dedup,
         "op6_token_files": op6_token_files,
         "op7_fingerprints": op7_fingerprints,
         "op9_toxicity": op9_toxicity,
