@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,12 @@ BINS = 256
 BITS = 8
 
 
+@lru_cache(maxsize=4096)
+def _sources(attempt: int, bins: int) -> np.ndarray:
+    """The bin that each bin tries at this attempt."""
+    return (mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+
+
 def signatures(arr: pa.Array, bins: int = BINS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(codes by document and bin, whether the document has any shingle)."""
     h, doc = shingles(arr)
@@ -48,16 +55,15 @@ def signatures(arr: pa.Array, bins: int = BINS, bits: int = BITS) -> tuple[np.nd
     best = best.reshape(n, bins)
     empty = best == np.iinfo(np.uint64).max
     some = ~empty.all(axis=1)
-    todo = empty & some[:, None]
-    filled = ~empty
     out = best.copy()
+    rows, cols = np.nonzero(empty & some[:, None])  # the bins still empty, fewer at each attempt
     attempt = 0
-    while todo.any():
+    while len(rows):
         attempt += 1
-        source = (mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        take = todo & filled[:, source]
-        out = np.where(take, best[:, source], out)
-        todo &= ~take
+        source = _sources(attempt, bins)[cols]
+        hit = ~empty[rows, source]
+        out[rows[hit], cols[hit]] = best[rows[hit], source[hit]]
+        rows, cols = rows[~hit], cols[~hit]
     return (out & np.uint64((1 << bits) - 1)).astype(np.uint8), some
 
 
