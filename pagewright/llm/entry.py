@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .decontaminate import op3_decontaminate
 from .fingerprints import op7_fingerprints
 from .suffix_dedup import op10_suffix_dedup
 from .near_dedup import op5_near_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
+        "op3_decontaminate": op3_decontaminate,
         "op4_url_filter": op4_url_filter,
         "op5_near_dedup": op5_near_dedup,
         "op6_token_files": op6_token_files,
