@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,39 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def filter_rows(documents: DataFrame, keep) -> DataFrame:
+    """The rows of ``documents``, all columns unchanged, for whose texts ``keep`` (a function
+    from a string column without nulls to a boolean array) holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = pa.compute.fill_null(column(part, "text"), "")
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def with_row(documents: DataFrame) -> DataFrame:
+    """did, th, row: the row key of ``select_documents`` and the whole row as one struct, so
+    that no column of the table can clash with an operator's own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+
+
+#: Stands for a null doc_id in keys.
+NO_ID = -(1 << 63)
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """did, th, text: a row key of the id (``NO_ID`` for null) and a hash of the text. Rows
+    equal in both are copies of one another and share all results."""
+    d = select_documents(documents)
+    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
+
+
+def doc_id_of(key: str) -> Column:
+    """The doc_id that a key stands for."""
+    return F.when(F.col(key) != NO_ID, F.col(key))

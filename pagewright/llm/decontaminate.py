@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, read_documents, select_documents, slices
+from ._common import column, doc_id_of, filter_rows, keyed, read_documents, slices
 from ._kernels import buffer, combine_words, prefix_hash, span_hash, words
 
 RETRIEVE = 0.5
@@ -47,7 +47,6 @@ ANSWER = 0.5
 INDEX_ITEMS = 20_000
 ITEM_BLOCK = 8
 K1, B = 1.2, 0.75
-_NO_ID = -(1 << 63)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -270,11 +269,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return hits
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    d = select_documents(documents)
-    return d.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
-
-
 def _scan(spark: SparkSession, index: ItemIndex):
     held = spark.sparkContext.broadcast(index)
 
@@ -300,6 +294,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(by_doc, ["did", "th"], "left").select("did", "th", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, in which no item is found."""
+    for index in item_blocks(benchmark):
+        held = documents.sparkSession.sparkContext.broadcast(index)
+
+        def clean(texts: pa.Array, held=held) -> np.ndarray:
+            keep = np.ones(len(texts), dtype=bool)
+            keep[[h[0] for h in held.value.hits(texts)]] = False
+            return keep
+
+        documents = filter_rows(documents, clean)
+    return documents
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "best_score", (F.size("items") == 0).alias("kept"))
+    return out.select(doc_id_of("did").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "best_score", (F.size("items") == 0).alias("kept"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, read_documents, select_documents, slices
+from ._common import column, cut, doc_id_of, keyed, read_documents, slices, with_row
 from ._components import components
 from ._kernels import distinct, mix, mix_int, shingles
 
@@ -41,7 +41,6 @@ DEPTH = 4
 CROWD = 1024
 BLOCK = 512
 SWEEP = 64
-_NO_ID = -(1 << 63)
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _ORDERS = np.array([np.argsort(mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(7919 * (t + 1)))) for t in range(TREES)])
@@ -59,11 +58,6 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    d = select_documents(documents)
-    return d.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
-
-
 def _node(s: np.ndarray) -> int:
     """64-bit name of a set of shingle hashes, as a signed integer."""
     x = mix_int(int(s.sum(dtype=np.uint64)) ^ mix_int(int(np.bitwise_xor.reduce(s)) + len(s)))
@@ -214,10 +208,11 @@ def _confirmed_edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """did, th, n_shingles, component (a did) for every row: documents are linked when
-    100 * intersection >= percent * union of their shingle sets, and ``component`` is the
-    smallest did that links reach. ``did`` is doc_id with the smallest long for null."""
-    docs = _keyed(documents)
+    """did, th, n_shingles, component, cluster for every row: documents are linked when
+    100 * intersection >= percent * union of their shingle sets, ``component`` is the
+    smallest did that links reach (did is doc_id, or ``NO_ID`` for null) and ``cluster``
+    names the group (null for an empty set, which is linked with nothing)."""
+    docs = keyed(documents)
     all_rows = cut(sketches(docs), "sketches")
     some = all_rows.where("n_shingles > 0")
     nodes = some.groupBy("node").agg(F.min(F.struct("did", "th")).alias("one"), F.min("sig").alias("sig"))
@@ -228,12 +223,25 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     links = cut(_confirmed_edges(cut(groups, "groups"), docs, percent), "links")
     parts = components(links)
     first = parts.join(nodes.select("node", "did"), "node").groupBy("component").agg(F.min("did").alias("least"))
-    of_node = nodes.select("node", "did").join(parts.join(first, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "did").alias("component"))
+    of_node = nodes.select("node", "did").join(parts.join(first, "component").select("node", "least", F.col("component").alias("cluster")), "node", "left").select("node", F.coalesce("least", "did").alias("component"), F.coalesce("cluster", "node").alias("cluster"))
     joined = all_rows.select("did", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    return joined.select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"))
+    return joined.select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"), "cluster")
+
+
+def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """``documents``, all columns, with one row of each group of near duplicates: the one of
+    the smallest id. Texts without words all stay."""
+    rows = cut(near_duplicates(documents, percent), "near-duplicates")
+    grouped = rows.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
+    kept = grouped.unionByName(rows.where("cluster is null").select("did", "th").distinct())
+    out = with_row(documents).join(kept, ["did", "th"], "left_semi")
+    copies = rows.where("cluster is not null").groupBy("did", "th").agg(F.count("*").alias("n")).where("n > 1")
+    if not copies.isEmpty():  # whole rows that repeat: one stays
+        wordless = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")) == 0
+        out = out.where(~wordless).dropDuplicates(["did", "th"]).unionByName(out.where(wordless))
+    return out.select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_documents(spark, sf_dir), 85)
-    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(real("did").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+    return out.select(doc_id_of("did").alias("doc_id"), "n_shingles", doc_id_of("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_documents, select_documents
+from ._common import filter_rows, read_documents, select_documents
 from ._kernels import buffer, prefix_hash, span_hash, words
 from .quality import held_out, score_documents
 
@@ -166,6 +166,13 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
     return score_documents(documents, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_positive: int = 1200, max_unlabelled: int = 4000) -> DataFrame:
+    """The rows of ``documents``, all columns, that score below the threshold."""
+    model = fit(*training_texts(documents, labels, max_positive, max_unlabelled))
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(documents, lambda texts: held.value.score(texts) < threshold)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = ~held_out("doc_id", 3, 1)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn)
