@@ -35,14 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, read_documents, select_documents, slices
+from ._common import column, cut, doc_id_of, keyed, read_documents, slices
 from ._kernels import prefix_hash, sliding, span_hash
 
 LENGTH = 400
-_NO_ID = -(1 << 63)
 _PIECE = "array<struct<start:int,len:int,owner:long,s1:long,s2:int,again:boolean>>"
 _KEY = ["did", "th"]
 
@@ -95,20 +94,15 @@ class _Text:
         return out
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """did, th, text: a row key of the id and a hash of the text. Rows equal in both are
-    copies of one another and share all results."""
-    d = select_documents(documents)
-    return d.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
-
-
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(did, th, name, n): the picked names of each text; n is 2 for one that occurs again in it."""
+    """(did, tag, name, n): the picked names of each text; n is 2 for one that occurs again
+    in it. ``tag`` is a byte of the text's hash: names that are repeated are so for every
+    text, so rows of one id may share them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                did, th, names, counts = [], [], [], []
+                did, tag, names, counts = [], [], [], []
                 for d, h, t in zip(*(column(part, c).to_pylist() for c in ("did", "th", "text"))):
                     data = t.encode("utf-8")
                     if len(data) < length:
@@ -117,13 +111,13 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     names.append(x)
                     counts.append(again)
                     did.append(np.full(len(x), d, np.int64))
-                    th.append(np.full(len(x), h, np.int32))
+                    tag.append(np.full(len(x), h & 0xFF, np.int32))
                 if names:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(did)), pa.array(np.concatenate(th)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8) + np.int8(1))], ["did", "th", "name", "n"]
+                        [pa.array(np.concatenate(did)), pa.array(np.concatenate(tag)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8) + np.int8(1))], ["did", "tag", "name", "n"]
                     )
 
-    return docs.mapInArrow(run, "did long, th int, name long, n byte")
+    return docs.mapInArrow(run, "did long, tag int, name long, n byte")
 
 
 def _candidates(docs: DataFrame, length: int) -> DataFrame:
@@ -151,7 +145,7 @@ def _candidates(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _names(open_pieces: DataFrame, length: int) -> DataFrame:
-    """(did, th, text, todo) -> did, th, start, at, h1, h2, known: the name pair of every start."""
+    """(did, th, text, todo) -> did, th, at, h1, h2, known: the name pair of every start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (length * 16 + 24) // 25  # two halves of this length overlap and cover all
@@ -160,7 +154,6 @@ def _names(open_pieces: DataFrame, length: int) -> DataFrame:
                 for d, h, t, todo in zip(*(column(part, c).to_pylist() for c in ("did", "th", "text", "todo"))):
                     prefix = prefix_hash(np.frombuffer(t.encode("utf-8"), np.uint8))
                     sizes = np.array([p["len"] for p in todo])
-                    first = np.repeat(np.array([p["start"] for p in todo]), sizes)
                     at = np.concatenate([np.arange(p["start"], p["start"] + p["len"]) for p in todo])
                     known = np.repeat(np.array([p["known"] for p in todo]), sizes)
                     h1 = span_hash(prefix, at, at + half).view(np.int64)
@@ -170,11 +163,11 @@ def _names(open_pieces: DataFrame, length: int) -> DataFrame:
                         j = slice(i, i + (1 << 18))
                         m = len(at[j])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, d, np.int64)), pa.array(np.full(m, h, np.int32)), pa.array(first[j].astype(np.int32)), pa.array(at[j].astype(np.int32)), pa.array(h1[j]), pa.array(h2[j]), pa.array(known[j])],
-                            ["did", "th", "start", "at", "h1", "h2", "known"],
+                            [pa.array(np.full(m, d, np.int64)), pa.array(np.full(m, h, np.int32)), pa.array(at[j].astype(np.int32)), pa.array(h1[j]), pa.array(h2[j]), pa.array(known[j])],
+                            ["did", "th", "at", "h1", "h2", "known"],
                         )
 
-    return open_pieces.mapInArrow(run, "did long, th int, start int, at int, h1 long, h2 int, known boolean")
+    return open_pieces.mapInArrow(run, "did long, th int, at int, h1 long, h2 int, known boolean")
 
 
 def _removal(docs: DataFrame, length: int) -> DataFrame:
@@ -214,11 +207,13 @@ def _removal(docs: DataFrame, length: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """did, th, n_bytes, n_removed, n_spans, kept_sha256, kept for every row; ``kept`` (the
     remaining bytes) is null where nothing is removed. (did, th) is the row key of ``keyed``."""
-    docs = _keyed(documents)
+    docs = keyed(documents)
     anchors = cut(_anchors(docs, length), "anchors")
     repeated = anchors.groupBy("name").agg(F.sum("n").alias("c")).where("c > 1").select("name")
-    by_doc = anchors.select(*_KEY, "name").join(repeated, "name", "left_semi").groupBy(*_KEY).agg(F.collect_set("name").alias("repeated"))  # bounded by one text
-    found = cut(_candidates(docs.join(by_doc, _KEY, "left").select(*_KEY, "repeated", "text"), length), "candidates")
+    tagged = ["did", "tag"]
+    by_doc = anchors.select(*tagged, "name").join(repeated, "name", "left_semi").groupBy(*tagged).agg(F.collect_set("name").alias("repeated"))  # bounded by one id's texts
+    with_tag = docs.withColumn("tag", F.col("th").bitwiseAND(F.lit(0xFF)))
+    found = cut(_candidates(with_tag.join(by_doc, tagged, "left").select(*_KEY, "repeated", "text"), length), "candidates")
 
     pieces = found.select(*_KEY, F.inline("pieces"))
     name = ["owner", "s1", "s2"]
@@ -230,16 +225,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     starts = _names(todo.join(texts, _KEY).select(*_KEY, "text", "todo"), length)
     twice = starts.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     single = starts.where("not known").join(twice, ["h1", "h2"], "left_semi")
-    single = single.groupBy(*_KEY, "start").agg(F.collect_list("at").alias("at")).groupBy(*_KEY).agg(F.collect_list("at").alias("single"))
+    single = single.groupBy(*_KEY, F.shiftright("at", 14).alias("region")).agg(F.collect_list("at").alias("at")).groupBy(*_KEY).agg(F.collect_list("at").alias("single"))
     whole = pieces.join(classes.where("c > 1").select(*name), name, "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "len")).alias("whole"))
     marked = found.drop("pieces").join(whole, _KEY, "left").join(single, _KEY, "left")
     return _removal(marked.select(*_KEY, "n_bytes", "kept_sha256", "text", "whole", "single"), length)
 
 
-def doc_id_of(did: Column) -> Column:
-    return F.when(did != _NO_ID, did)
-
-
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(read_documents(spark, sf_dir))
-    return out.select(doc_id_of(F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(doc_id_of("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
