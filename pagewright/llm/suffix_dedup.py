@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, doc_id_of, keyed, read_documents, slices
+from ._common import column, cut, doc_id_of, keyed, read_documents, slices, with_row
 from ._kernels import prefix_hash, sliding, span_hash
 
 LENGTH = 400
@@ -231,6 +231,26 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return _removal(marked.select(*_KEY, "n_bytes", "kept_sha256", "text", "whole", "single"), length)
 
 
+def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``documents``, all columns, without the repeated bytes; characters that a cut divides
+    go too, and a column n_chars follows the new text."""
+    spans = repeated_spans(documents, length).where("n_removed > 0").select(*_KEY, "kept").dropDuplicates(_KEY)
+
+    def to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [k.decode("utf-8", "ignore") for k in column(batch, "kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "did"), column(batch, "th"), pa.array(kept, pa.string())], ["did", "th", "new_text"])
+
+    changed = spans.mapInArrow(to_text, "did long, th int, new_text string").withColumn("hit", F.lit(True))
+    joined = with_row(documents).hint("merge").join(changed, _KEY, "left")
+    columns = []
+    for c in documents.columns:
+        old = F.col(f"row.`{c}`")
+        new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(documents.schema[c].dataType)}.get(c)
+        columns.append((old if new is None else F.when(F.col("hit"), new).otherwise(old)).alias(c))
+    return joined.select(*columns)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(read_documents(spark, sf_dir))
     return out.select(doc_id_of("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
