@@ -173,7 +173,7 @@ def _confirmed_edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFr
     -> confirmed links (a, b)."""
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = dealt.join(docs, ["did", "th"]).select("component", "blocks", "block", "node", "text")
+    rows = dealt.join(docs.hint("merge"), ["did", "th"]).select("component", "blocks", "block", "node", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,7 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     rows = cut(near_duplicates(documents, percent), "near-duplicates")
     grouped = rows.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     kept = grouped.unionByName(rows.where("cluster is null").select("did", "th").distinct())
-    out = with_row(documents).join(kept, ["did", "th"], "left_semi")
+    out = with_row(documents).hint("merge").join(kept, ["did", "th"], "left_semi")
     copies = rows.where("cluster is not null").groupBy("did", "th").agg(F.count("*").alias("n")).where("n > 1")
     if not copies.isEmpty():  # whole rows that repeat: one stays
         wordless = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")) == 0
