@@ -97,8 +97,8 @@ def archive_items(archives: DataFrame) -> DataFrame:
                 try:
                     out += [{"job_id": job, "page_index": page, "position": i, "error": None} | r for i, r in enumerate(_rows(bytes(data)))]
                 except zipfile.BadZipFile as e:
-                    out.append({"job_id": job, "page_index": page, "position": 0, "error": str(e)})
-            yield pd.DataFrame(out, columns=columns)
+                    out.append(dict.fromkeys(columns) | {"job_id": job, "page_index": page, "position": 0, "error": str(e)})
+            yield pd.DataFrame({c: pd.Series([r[c] for r in out], dtype=object) for c in columns})
 
     return archives.select("job_id", "page_index", "content").mapInPandas(run, f"job_id string, page_index int, {_ITEMS}, error string")
 
