@@ -7,9 +7,10 @@ model's probability of a character starts from the uniform one and is mixed with
 counts after contexts of 0, 1, 2, ... characters, each weighing as its count against
 ``STRENGTH``, so a context counts for as much as it has been seen.
 
-Everything is DataFrame functions. Counts are hashed to ``2**BITS`` cells for each gram
-length, so the model is a few arrays of fixed size whatever the corpus; it reaches
-the rows as a scalar subquery.
+Everything is DataFrame functions. Gram counts are pre-aggregated; the log ratios of the
+grams are hashed to ``2**BITS`` cells for each length, so what reaches the rows (as a
+scalar subquery) is a few arrays of fixed size whatever the corpus. A character is
+scored by the longest gram that was seen.
 
 Defined edge cases: a null url, and one without ``://``, has an empty host and path and
 fits no rule; its characters (none for null) are scored all the same; without any
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 ORDER = 3
-BITS = 15
+BITS = 16
 STRENGTH = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _END = "\x02", "\x03"
@@ -74,52 +75,71 @@ def _cell(gram: Column) -> Column:
 
 
 def gram_counts(urls: DataFrame) -> DataFrame:
-    """(url, accepted boolean) -> (size, cell, a, r): counts of hashed grams of 0 to ORDER + 1
-    characters that end at a predicted character (``size`` > 0 grams) or before one
-    (contexts, ``size`` < 0: -1 - length)."""
+    """(url, accepted boolean) -> (gram, k, a, r): how often each gram of 1 to ORDER + 1
+    characters occurs in accepted and in rejected URLs. Grams end anywhere from the last
+    padding character on, so that the count of a gram is also its count as a context."""
     text = urls.select(_padded(F.col("url")).alias("u"), F.col("accepted"))
-    ends = text.select("u", "accepted", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i"))
-    grams = [F.struct(F.lit(k).alias("size"), _cell(F.substring(F.col("u"), F.col("i") - (k - 1), F.lit(k))).alias("cell")) for k in range(1, ORDER + 2)]
-    contexts = [F.struct(F.lit(-1 - k).alias("size"), (_cell(F.substring(F.col("u"), F.col("i") - k, F.lit(k))) if k else F.lit(0)).alias("cell")) for k in range(ORDER + 1)]
-    each = ends.select("accepted", F.inline(F.array(*grams, *contexts)))
-    return each.groupBy("size", "cell").agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
-
-
-def model_row(counts: DataFrame) -> DataFrame:
-    """One row of arrays g1.., c0..: counts by cell as structs (a, r); fixed size."""
-    spark = counts.sparkSession
-    sizes = [*range(1, ORDER + 2), *(-1 - k for k in range(ORDER + 1))]
-    cells = spark.range(0, len(sizes) << BITS, 1, 8).select(F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") / (1 << BITS)).cast("int") + 1).alias("size"), F.pmod(F.col("id"), F.lit(1 << BITS)).cast("int").alias("cell"))
-    full = cells.join(counts, ["size", "cell"], "left").select("size", "cell", F.coalesce("a", F.lit(0)).cast("double").alias("a"), F.coalesce("r", F.lit(0)).cast("double").alias("r"))
-    lists = full.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("cell", "a", "r"))).alias("x"))  # 2**BITS entries each
-    lists = lists.select("size", F.transform("x", lambda e: F.struct(e.a.alias("a"), e.r.alias("r"))).alias("x"))
-    pick = lambda s: F.max(F.when(F.col("size") == s, F.col("x")))
-    return lists.agg(F.struct(*[pick(k).alias(f"g{k}") for k in range(1, ORDER + 2)], *[pick(-1 - k).alias(f"c{k}") for k in range(ORDER + 1)]).alias("model"))
-
-
-def _log_ratio(u: Column, model: Column) -> Column:
-    """Sum of log P(accepted) - log P(rejected) over the characters, divided by their number."""
-
-    def at(i: Column) -> Column:
-        pa = pr = F.lit(1.0 / 256)
-        for k in range(ORDER + 1):
-            g = F.get(model[f"g{k + 1}"], _cell(F.substring(u, i - k, F.lit(k + 1))))
-            c = F.get(model[f"c{k}"], _cell(F.substring(u, i - k, F.lit(k))) if k else F.lit(0))
-            pa = (g["a"] + STRENGTH * pa) / (c["a"] + STRENGTH)
-            pr = (g["r"] + STRENGTH * pr) / (c["r"] + STRENGTH)
-        return F.ln(pa) - F.ln(pr)
-
-    n = F.length(u)
-    total = F.aggregate(F.sequence(F.lit(ORDER + 1), n), F.lit(0.0), lambda s, i: s + at(i))
-    return F.round(total / (n - ORDER), 9)
+    ends = text.select("u", "accepted", F.explode(F.sequence(F.lit(ORDER), F.length("u"))).alias("i"))
+    grams = [F.struct(F.lit(k).alias("k"), F.substring(F.col("u"), F.col("i") - (k - 1), F.lit(k)).alias("gram")) for k in range(1, ORDER + 2)]
+    each = ends.select("accepted", F.inline(F.filter(F.array(*grams), lambda g: F.length(g["gram"]) == g["k"])))
+    return each.groupBy("k", "gram").agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, k, ratio, back): the smoothed log P(accepted) - log P(rejected) of a gram's last
+    character after the others, and what is added where the gram is only a context whose
+    next character was never seen: both classes then keep the shorter context's
+    probability, lessened by the weight of this one."""
+    total = counts.where((F.col("k") == 1) & (F.col("gram") != _START)).agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
+    mixed = lambda n, c, p: (n + STRENGTH * p) / (c + STRENGTH)
+    uniform = F.lit(1.0 / 256)
+    level = counts.where("k = 1").select("gram", "a", "r", mixed(F.col("a"), F.lit(total.a or 0), uniform).alias("pa"), mixed(F.col("r"), F.lit(total.r or 0), uniform).alias("pr"))
+    out = None
+    for k in range(1, ORDER + 2):
+        part = level.select("gram", F.lit(k).alias("k"), (F.ln("pa") - F.ln("pr")).alias("ratio"), (F.ln(F.col("r") + STRENGTH) - F.ln(F.col("a") + STRENGTH)).alias("back"))
+        out = part if out is None else out.unionByName(part)
+        if k <= ORDER:
+            context = level.select(F.col("gram").alias("context"), F.col("a").alias("ca"), F.col("r").alias("cr"))
+            lower = level.select(F.col("gram").alias("lower"), "pa", "pr")
+            grams = counts.where(F.col("k") == k + 1).select("gram", "a", "r", F.substring("gram", 1, k).alias("context"), F.substring("gram", 2, k).alias("lower"))
+            level = grams.join(context, "context").join(lower, "lower").select("gram", "a", "r", mixed(F.col("a"), F.col("ca"), F.col("pa")).alias("pa"), mixed(F.col("r"), F.col("cr"), F.col("pr")).alias("pr"))
+    return out
+
+
+def model_row(ratios: DataFrame) -> DataFrame:
+    """One row of arrays r1.., b1..: ratio and back-off by hashed gram, null for unseen cells;
+    fixed size. Where grams share a cell, the one of the larger weight stands."""
+    spark = ratios.sparkSession
+    held = ratios.withColumn("cell", _cell(F.col("gram"))).groupBy("k", "cell").agg(F.max_by(F.struct("ratio", "back"), F.struct(F.abs("ratio"), "gram")).alias("v"))
+    cells = spark.range(0, (ORDER + 1) << BITS, 1, 4).select((F.shiftright("id", BITS) + 1).cast("int").alias("k"), F.col("id").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("cell"))
+    full = cells.join(held, ["k", "cell"], "left")
+    lists = full.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("x"))  # 2**BITS entries each
+    lists = lists.select("k", F.transform("x", lambda e: e["v"]["ratio"]).alias("r"), F.transform("x", lambda e: e["v"]["back"]).alias("b"))
+    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
+    return lists.agg(F.struct(*[pick("r", k) for k in range(1, ORDER + 2)], *[pick("b", k) for k in range(1, ORDER + 1)]).alias("model"))
+
+
+def _log_ratio(u: Column, i: Column, model: dict[str, Column]) -> Column:
+    """log P(accepted) - log P(rejected) of character i of u after the longest context seen."""
+    gram = lambda k, end: _cell(F.substring(u, end - (k - 1), F.lit(k)))
+    value = F.coalesce(F.get(model["r1"], gram(1, i)), F.lit(0.0))
+    for k in range(2, ORDER + 2):
+        back = F.coalesce(F.get(model[f"b{k - 1}"], gram(k - 1, i - 1)), F.lit(0.0))
+        value = F.coalesce(F.get(model[f"r{k}"], gram(k, i)), back + value)
+    return value
 
 
 def score_urls(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``urls`` (with a column url) and its ``score``."""
+    """``urls`` (with a column url) and its ``score``, the mean over its characters. Distinct
+    URLs are scored once, character by character inside generated code; the model's arrays
+    are scalar subqueries, evaluated once and never part of a row."""
     model.createOrReplaceTempView("_url_model")
-    with_model = urls.withColumn("_m", F.expr("(SELECT model FROM _url_model)"))
-    out = with_model.withColumn("score", _log_ratio(_padded(F.col("url")), F.col("_m"))).drop("_m")
-    return out
+    names = [*(f"r{k}" for k in range(1, ORDER + 2)), *(f"b{k}" for k in range(1, ORDER + 1))]
+    arrays = {n: F.expr(f"(SELECT model.{n} FROM _url_model)") for n in names}
+    keyed = urls.withColumn("_key", F.coalesce("url", F.lit("")))
+    chars = keyed.select("_key").distinct().select("_key", _padded(F.col("_key")).alias("u")).select("_key", "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i"))
+    scores = chars.select("_key", _log_ratio(F.col("u"), F.col("i"), arrays).alias("x")).groupBy("_key").agg(F.round(F.avg("x"), 9).alias("score"))
+    return keyed.join(scores, "_key").drop("_key")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -141,10 +161,11 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     judged = rows.withColumns({"rule": rule, "by_rule": verdict})
-    known = judged.where("by_rule is not null").select("url", (F.col("by_rule") == "allow").alias("accepted"))
-    model = cut(model_row(gram_counts(known)), "url-model")
-    limit = calibrate(score_urls(known, model))
-    scored = score_urls(judged, model)
+    judged = judged.withColumn("accepted", F.col("by_rule") == "allow")
+    known = judged.where("by_rule is not null").select("url", "accepted")
+    model = cut(model_row(log_ratios(cut(gram_counts(known), "url-grams"))), "url-model")
+    scored = cut(score_urls(judged, model), "url-scores")
+    limit = calibrate(scored.where("accepted is not null"))
     return scored.select("page_id", "url", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= limit, "allow").otherwise("block")).alias("verdict"), "score")
 
 
