@@ -10,8 +10,8 @@ and every passage is a query:
   of texts at once, the block-max bounds of all passages are summed (words too common
   to matter alone enter by their greatest sum over a block); a passage none of whose
   blocks can reach the threshold is done;
-* the others are run through the block-max WAND loop, which returns every item at or
-  above the threshold.
+* the others are run through the block-max WAND loop on the blocks that can, which
+  returns every item at or above the threshold.
 
 A retrieved item is verified on five-word shingles: at least ``CONTAINED`` of the item's
 shingles must lie in the passage, and at least half of the words of its answer (the last
@@ -45,7 +45,7 @@ RETRIEVE = 0.5
 CONTAINED = 0.8
 ANSWER = 0.5
 INDEX_ITEMS = 20_000
-ITEM_BLOCK = 8
+ITEM_BLOCK = 2
 K1, B = 1.2, 0.75
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -132,11 +132,17 @@ class ItemIndex:
             out[near[hit]] = at[hit]
         return out
 
-    def search(self, terms: np.ndarray, threshold: float = RETRIEVE) -> list[tuple[int, float]]:
-        """Block-max WAND: every (item, score) with score >= threshold for a set of distinct terms."""
+    def search(self, terms: np.ndarray, threshold: float = RETRIEVE, block: int | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: every (item, score) with score >= threshold for a set of distinct
+        terms, among all items or those of one block."""
+        items, impacts = self.items, self.impacts
         cursors = [[int(self.first[t]), int(self.first[t + 1]), float(self.term_top[t]), int(t)] for t in terms]
+        if block is not None:
+            lo, hi = block * ITEM_BLOCK, (block + 1) * ITEM_BLOCK
+            for c in cursors:
+                part = items[c[0] : c[1]]
+                c[0], c[1], c[2] = c[0] + int(part.searchsorted(lo)), c[0] + int(part.searchsorted(hi)), self._block_top(c[3], block)
         found = []
-        items, impacts = self.items, self.impacts
         while True:
             cursors = [c for c in cursors if c[0] < c[1]]
             cursors.sort(key=lambda c: items[c[0]])
@@ -172,7 +178,7 @@ class ItemIndex:
 
     def _block_top(self, term: int, block: int) -> float:
         a, b = self.block_first[term], self.block_first[term + 1]
-        i = a + np.searchsorted(self.blocks[a:b], block)
+        i = a + self.blocks[a:b].searchsorted(block)
         return float(self.block_top[i]) if i < b and self.blocks[i] == block else 0.0
 
     def verify(self, item: int, passage: np.ndarray) -> bool:
@@ -233,12 +239,13 @@ class ItemIndex:
         cells, which = np.unique(cell, return_inverse=True)
         bound = np.bincount(which, weights=self.block_top[entry]) + self.common_bound[cells % self.n_blocks]
         out: dict[tuple[int, int], float] = {}
-        for w in np.unique(cells[bound >= RETRIEVE - 1e-9] // self.n_blocks):
+        for cell in cells[bound >= RETRIEVE - 1e-9].tolist():
+            w, block = divmod(cell, self.n_blocks)
             i = int(np.searchsorted(base, w, side="right")) - 1
             a = begin[i] + (w - base[i]) * step
             b = min(a + 2 * step, begin[i + 1])
             inside = term[a:b]
-            for item, score in self.search(np.unique(inside[inside >= 0])):
+            for item, score in self.search(np.unique(inside[inside >= 0]), RETRIEVE, block):
                 if self.verify(item, hashes[a:b]):
                     out[i, item] = max(score, out.get((i, item), 0.0))
         return [(i, item, s) for (i, item), s in out.items()]
