@@ -78,10 +78,12 @@ def item_markdown(item: dict[str, Column]) -> Column:
 
 
 def looks_like_table(x: Column) -> Column:
-    """A line with two tabs, or two lines of four or more widely spaced tokens."""
-    rows = F.filter(lines(F.coalesce(x, F.lit(""))), lambda r: clean(r) != "")
-    tabs = F.exists(rows, lambda r: F.length(r) - F.length(F.replace(r, F.lit("\t"), F.lit(""))) >= 2)
-    return tabs | (F.size(F.filter(rows, lambda r: r.rlike(TABLE_ROW))) >= 2)
+    """A line with two tabs, or two lines of four or more widely spaced tokens. Plain
+    scans for a tab and for a double space come first and spare most texts the rest."""
+    t = F.coalesce(x, F.lit(""))
+    tabs = t.contains("\t") & F.exists(lines(t), lambda r: (F.length(r) - F.length(F.replace(r, F.lit("\t"), F.lit(""))) >= 2) & r.rlike(r"(?U)[^\s\x1c-\x1f]"))
+    wide = t.rlike(r"(?U)[^\S\r\n]{2}") & (F.size(F.filter(lines(t), lambda r: r.rlike(TABLE_ROW))) >= 2)
+    return tabs | wide
 
 
 def has_table_caption(x: Column) -> Column:

@@ -113,10 +113,9 @@ def fast_blocks(routed: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _in_order(first: Column, images: Column, vector: Column) -> Column:
-    """Reading order inside the first phase (its position column settles ties)."""
-    keys = F.array_sort(F.transform(first, lambda e: F.struct(e["y"].alias("y"), e["x"].alias("x"), e["pos"].alias("pos"))))
-    ordered = F.transform(keys, lambda k: F.element_at(F.filter(first, lambda e: e["pos"] == k["pos"]), 1))
-    return F.concat(ordered, images, vector)
+    """Reading order inside the first phase; the position settles ties."""
+    keyed = F.transform(first, lambda e: F.struct(e["y"].alias("y"), e["x"].alias("x"), e["pos"].alias("pos"), e.alias("e")))
+    return F.concat(F.transform(F.array_sort(keyed), lambda k: k["e"]), images, vector)
 
 
 def with_block_ids(blocks: DataFrame) -> DataFrame:

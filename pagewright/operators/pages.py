@@ -23,7 +23,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     return pages.withColumns(
         {
             "text_chars": F.length(F.coalesce(stripped, F.lit(""))),
-            "block_count": F.size(F.filter("items", lambda i: T.clean(i["text"]) != "")),
+            "block_count": F.size(F.filter("items", lambda i: i["text"].rlike(r"(?U)[^\s\x1c-\x1f]"))),
             "image_count": F.size(F.array_distinct(F.transform("images", lambda i: i["xref"]))),
             "image_area_ratio": G.image_area_ratio(boxes, F.col("width"), F.col("height")),
             "has_table_hint": T.looks_like_table(F.col("text")),
