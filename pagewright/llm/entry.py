@@ -7,13 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import near_dedup, suffix_dedup
 from .bpe import op2_bpe
 from .decontaminate import op3_decontaminate
 from .fingerprints import op7_fingerprints
-from .suffix_dedup import op10_suffix_dedup
 from .near_dedup import op5_near_dedup
 from .quality import op1_quality
 from .sharding import op8_sharding
+from .suffix_dedup import op10_suffix_dedup
 from .token_files import op6_token_files
 from .toxicity import op9_toxicity
 from .url_filter import op4_url_filter
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_near_dedup": near_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

@@ -245,3 +245,13 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_documents(spark, sf_dir), 85)
     return out.select(doc_id_of("did").alias("doc_id"), "n_shingles", doc_id_of("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+
+
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i + 1, i + 5), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+  l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)),
+  r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+  c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -254,3 +254,16 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(read_documents(spark, sf_dir))
     return out.select(doc_id_of("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+  p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+  r AS (SELECT doc_id, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
+  b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+  g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+  s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run),
+  k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last FROM s GROUP BY doc_id),
+  o AS (SELECT s.doc_id, s.a, coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS y FROM s),
+  t AS (SELECT o.doc_id, string_agg(substr(d.h, 2 * o.y + 1, 2 * (o.a - o.y)), '' ORDER BY o.a) AS kept FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
+  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE t.kept || substr(d.h, 2 * k.last + 1) END)) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
