@@ -39,7 +39,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once what is read from them has itself been written."""
+    for t in tables:
+        path = getattr(t, "written", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def select_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, doc_id_of, keyed, read_documents, slices, with_row
+from ._common import column, cut, discard, doc_id_of, keyed, read_documents, slices, with_row
 from ._components import components
 from ._kernels import distinct, mix, mix_int, shingles
 
@@ -219,19 +219,25 @@ def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     nodes = cut(nodes.select("node", "one.did", "one.th", "sig"), "nodes")
     j = percent / 100
     agree = j - 4 * (j * (1 - j) / HASHES) ** 0.5
-    groups = components(_forest_edges(nodes.select("node", "sig"), agree)).join(nodes.select("node", "did", "th"), "node")
-    links = cut(_confirmed_edges(cut(groups, "groups"), docs, percent), "links")
+    near = components(_forest_edges(nodes.select("node", "sig"), agree))
+    groups = cut(near.join(nodes.select("node", "did", "th"), "node"), "groups")
+    links = cut(_confirmed_edges(groups, docs, percent), "links")
     parts = components(links)
+    discard(near, groups, links)
     first = parts.join(nodes.select("node", "did"), "node").groupBy("component").agg(F.min("did").alias("least"))
     of_node = nodes.select("node", "did").join(parts.join(first, "component").select("node", "least", F.col("component").alias("cluster")), "node", "left").select("node", F.coalesce("least", "did").alias("component"), F.coalesce("cluster", "node").alias("cluster"))
     joined = all_rows.select("did", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    return joined.select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"), "cluster")
+    out = joined.select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"), "cluster")
+    out.sources = (all_rows, nodes, parts)
+    return out
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     """``documents``, all columns, with one row of each group of near duplicates: the one of
     the smallest id. Texts without words all stay."""
-    rows = cut(near_duplicates(documents, percent), "near-duplicates")
+    found = near_duplicates(documents, percent)
+    rows = cut(found, "near-duplicates")
+    discard(*found.sources)
     grouped = rows.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     kept = grouped.unionByName(rows.where("cluster is null").select("did", "th").distinct())
     out = with_row(documents).hint("merge").join(kept, ["did", "th"], "left_semi")

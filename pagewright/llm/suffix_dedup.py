@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, doc_id_of, keyed, read_documents, slices, with_row
+from ._common import column, cut, discard, doc_id_of, keyed, read_documents, slices, with_row
 from ._kernels import prefix_hash, sliding, span_hash
 
 LENGTH = 400
@@ -214,6 +214,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     by_doc = anchors.select(*tagged, "name").join(repeated, "name", "left_semi").groupBy(*tagged).agg(F.collect_set("name").alias("repeated"))  # bounded by one id's texts
     with_tag = docs.withColumn("tag", F.col("th").bitwiseAND(F.lit(0xFF)))
     found = cut(_candidates(with_tag.join(by_doc, tagged, "left").select(*_KEY, "repeated", "text"), length), "candidates")
+    discard(anchors)
 
     pieces = found.select(*_KEY, F.inline("pieces"))
     name = ["owner", "s1", "s2"]
