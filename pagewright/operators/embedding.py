@@ -20,7 +20,9 @@ def hash_embedding(text: Column, dim: int) -> Column:
 
     def numbers(counter: int) -> Column:
         digest = F.sha2(F.concat(data, F.lit(counter.to_bytes(4, "big"))), 256)
-        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2147483648.0 - 1.0)
+        word = lambda d, i: F.conv(F.substring(d, 8 * i + 1, 8), 16, 10).cast("double") / 2147483648.0 - 1.0
+        # one element array: the digest is computed once, not once a number
+        return F.flatten(F.transform(F.array(digest), lambda d: F.array(*[word(d, i) for i in range(8)])))
 
     words = [numbers(c) for c in range(-(-dim // 8))]
     return F.slice(F.concat(*words), 1, dim)
