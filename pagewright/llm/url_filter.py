@@ -7,10 +7,9 @@ model's probability of a character starts from the uniform one and is mixed with
 counts after contexts of 0, 1, 2, ... characters, each weighing as its count against
 ``STRENGTH``, so a context counts for as much as it has been seen.
 
-Everything is DataFrame functions. Gram counts are pre-aggregated; the log ratios of the
-grams are hashed to ``2**BITS`` cells for each length, so what reaches the rows (as a
-scalar subquery) is a few arrays of fixed size whatever the corpus. A character is
-scored by the longest gram that was seen.
+Everything is DataFrame functions. Gram counts are pre-aggregated and every gram keeps its
+own log ratio: the distinct grams of the distinct URLs get their values by equi-joins, and
+the characters theirs by one more. A character is scored by the longest gram that was seen.
 
 Defined edge cases: a null url, and one without ``://``, has an empty host and path and
 fits no rule; its characters (none for null) are scored all the same; without any
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 ORDER = 3
-BITS = 16
 STRENGTH = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _END = "\x02", "\x03"
@@ -70,10 +68,6 @@ def _padded(url: Column) -> Column:
     return F.concat(F.lit(_START * ORDER), F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER), F.lit(_END))
 
 
-def _cell(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(1 << BITS)).cast("int")
-
-
 def gram_counts(urls: DataFrame) -> DataFrame:
     """(url, accepted boolean) -> (gram, k, a, r): how often each gram of 1 to ORDER + 1
     characters occurs in accepted and in rejected URLs. Grams end anywhere from the last
@@ -107,39 +101,38 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def model_row(ratios: DataFrame) -> DataFrame:
-    """One row of arrays r1.., b1..: ratio and back-off by hashed gram, null for unseen cells;
-    fixed size. Where grams share a cell, the one of the larger weight stands."""
-    spark = ratios.sparkSession
-    held = ratios.withColumn("cell", _cell(F.col("gram"))).groupBy("k", "cell").agg(F.max_by(F.struct("ratio", "back"), F.struct(F.abs("ratio"), "gram")).alias("v"))
-    cells = spark.range(0, (ORDER + 1) << BITS, 1, 4).select((F.shiftright("id", BITS) + 1).cast("int").alias("k"), F.col("id").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("cell"))
-    full = cells.join(held, ["k", "cell"], "left")
-    lists = full.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("x"))  # 2**BITS entries each
-    lists = lists.select("k", F.transform("x", lambda e: e["v"]["ratio"]).alias("r"), F.transform("x", lambda e: e["v"]["back"]).alias("b"))
-    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
-    return lists.agg(F.struct(*[pick("r", k) for k in range(1, ORDER + 2)], *[pick("b", k) for k in range(1, ORDER + 1)]).alias("model"))
-
-
-def _log_ratio(u: Column, i: Column, model: dict[str, Column]) -> Column:
-    """log P(accepted) - log P(rejected) of character i of u after the longest context seen."""
-    gram = lambda k, end: _cell(F.substring(u, end - (k - 1), F.lit(k)))
-    value = F.coalesce(F.get(model["r1"], gram(1, i)), F.lit(0.0))
-    for k in range(2, ORDER + 2):
-        back = F.coalesce(F.get(model[f"b{k - 1}"], gram(k - 1, i - 1)), F.lit(0.0))
-        value = F.coalesce(F.get(model[f"r{k}"], gram(k, i)), back + value)
-    return value
+    """(k, gram, ratio, back), one row for each gram that was counted."""
+    return ratios.select("k", "gram", "ratio", "back")
+
+
+def gram_values(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, x) for each of the distinct ``grams`` of ORDER + 1 characters: log P(accepted) -
+    log P(rejected) of the last character after the longest context seen."""
+    seen = lambda k: model.where(F.col("k") == k)
+    values = None
+    for k in range(1, ORDER + 2):
+        out = grams.select(F.substring("gram", ORDER + 2 - k, k).alias("gram"))
+        out = (out.distinct() if k <= ORDER else out).join(seen(k).select("gram", "ratio"), "gram", "left")
+        x = F.coalesce("ratio", F.lit(0.0))
+        if values is not None:
+            back = seen(k - 1).select(F.col("gram").alias("context"), F.col("back"))
+            out = out.withColumns({"context": F.substring("gram", 1, k - 1), "lower": F.substring("gram", 2, k - 1)}).join(back, "context", "left").join(values.select(F.col("gram").alias("lower"), F.col("x").alias("less")), "lower")
+            x = F.coalesce("ratio", F.coalesce("back", F.lit(0.0)) + F.col("less"))
+        values = out.select("gram", x.alias("x"))
+    return values
 
 
 def score_urls(urls: DataFrame, model: DataFrame) -> DataFrame:
     """``urls`` (with a column url) and its ``score``, the mean over its characters. Distinct
-    URLs are scored once, character by character inside generated code; the model's arrays
-    are scalar subqueries, evaluated once and never part of a row."""
-    model.createOrReplaceTempView("_url_model")
-    names = [*(f"r{k}" for k in range(1, ORDER + 2)), *(f"b{k}" for k in range(1, ORDER + 1))]
-    arrays = {n: F.expr(f"(SELECT model.{n} FROM _url_model)") for n in names}
+    URLs are scored once; their characters meet the values of the distinct grams under
+    numbers that stand for the URLs."""
     keyed = urls.withColumn("_key", F.coalesce("url", F.lit("")))
-    chars = keyed.select("_key").distinct().select("_key", _padded(F.col("_key")).alias("u")).select("_key", "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i"))
-    scores = chars.select("_key", _log_ratio(F.col("u"), F.col("i"), arrays).alias("x")).groupBy("_key").agg(F.round(F.avg("x"), 9).alias("score"))
-    return keyed.join(scores, "_key").drop("_key")
+    texts = cut(keyed.select("_key").distinct().withColumn("_n", F.monotonically_increasing_id()), "url-texts")
+    padded = texts.select("_n", _padded(F.col("_key")).alias("u"))
+    chars = padded.select("_n", "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i")).select("_n", F.substring(F.col("u"), F.col("i") - ORDER, F.lit(ORDER + 1)).alias("gram"))
+    values = cut(gram_values(cut(chars.select("gram").distinct(), "url-distinct-grams"), model), "url-values")
+    scores = chars.join(values, "gram").groupBy("_n").agg(F.round(F.avg("x"), 9).alias("score"))
+    return keyed.join(texts.join(scores, "_n").drop("_n"), "_key").drop("_key")
 
 
 def calibrate(scored: DataFrame) -> float:

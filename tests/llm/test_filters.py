@@ -166,6 +166,31 @@ def test_url_scores_against_plain_python(spark):
         assert abs(got[u] - s / (len(t) - U.ORDER)) < 1e-3  # hashed cells may be shared
 
 
+def test_url_scores_of_many_grams_are_exact(spark):
+    r = np.random.default_rng(8)
+    text = lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 50))
+    urls = [(text(), i % 2 == 0) for i in range(1500)] + [(text(), None) for _ in range(100)] + [(None, None), ("", None)]
+    df = spark.createDataFrame(urls, "url string, accepted boolean")
+    got = {x.url: x.score for x in U.score_urls(df, U.model_row(U.log_ratios(U.gram_counts(df.where("accepted is not null"))))).collect()}
+    counts = {True: Counter(), False: Counter()}
+    for u, y in urls[:1500]:
+        t = U._START * U.ORDER + u + U._END
+        for i in range(U.ORDER, len(t) + 1):
+            counts[y].update(t[i - k : i] for k in range(1, U.ORDER + 2) if i >= k)
+    assert len(set(counts[True]) | set(counts[False])) > 1 << 16
+    total = {y: sum(c for g, c in counts[y].items() if len(g) == 1 and g != U._START) for y in counts}
+    for u, _ in urls:
+        t, s = U._START * U.ORDER + (u or "") + U._END, 0.0
+        for i in range(U.ORDER, len(t)):
+            p = {True: 1 / 256, False: 1 / 256}
+            for k in range(U.ORDER + 1):
+                context = t[i - k : i]
+                for y in p:
+                    p[y] = (counts[y][t[i - k : i + 1]] + U.STRENGTH * p[y]) / ((counts[y][context] if k else total[y]) + U.STRENGTH)
+            s += np.log(p[True]) - np.log(p[False])
+        assert abs(got[u] - s / (len(t) - U.ORDER)) < 1e-8
+
+
 def test_hilbert_curve_is_continuous(spark):
     for bits, n in ((2, 2), (3, 3), (4, 3)):
         df = spark.range(1 << (bits * n))
