@@ -91,6 +91,12 @@ ORACLES: dict[str, str] = {
     "ordered_markdown": """SELECT conv_id, md5(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY conv_id""",
     "listing": """SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, count(*) AS turns FROM conversations GROUP BY conv_id""",
     "caption_clusters": """SELECT doc_id, CASE WHEN n >= 3 THEN 3 WHEN n >= 1 THEN n END::BIGINT AS above, CASE WHEN n > 4 THEN n - 4 ELSE 0 END::BIGINT AS below FROM (SELECT doc_id, least(12, len(string_split(text, chr(10)))) AS n FROM documents)""",
+    "caption_clusters_all": """WITH l AS (SELECT doc_id, 60.0 + 20 * i AS y0, 72.0 + 20 * i AS y1 FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
+      a AS (SELECT doc_id, y0, coalesce(lag(y0) OVER w, 120) - y1 <= CASE WHEN lag(y0) OVER w IS NULL THEN 64 ELSE 18 END AS near FROM l WHERE 120 - y1 BETWEEN 0 AND 220 WINDOW w AS (PARTITION BY doc_id ORDER BY y0 DESC)),
+      b AS (SELECT doc_id, y0, y0 - coalesce(lag(y1) OVER w, 132) <= CASE WHEN lag(y1) OVER w IS NULL THEN 64 ELSE 24 END AS near FROM l WHERE y0 - 132 BETWEEN 0 AND 220 WINDOW w AS (PARTITION BY doc_id ORDER BY y0)),
+      x AS (SELECT doc_id, count(*) FILTER (WHERE run) AS n FROM (SELECT doc_id, bool_and(near) OVER (PARTITION BY doc_id ORDER BY y0 DESC) AS run FROM a) GROUP BY doc_id),
+      y AS (SELECT doc_id, count(*) FILTER (WHERE run) AS n FROM (SELECT doc_id, bool_and(near) OVER (PARTITION BY doc_id ORDER BY y0) AS run FROM b) GROUP BY doc_id)
+      SELECT doc_id, coalesce(x.n, 0) AS above, coalesce(y.n, 0) AS below FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)""",
 }
 
 #: Eight sha256 words of each counter, as numbers from -1 to 1.

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.config import Config
@@ -232,16 +232,23 @@ def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.blocks.groupBy("source", "kind").agg(F.count("*").alias("blocks"), F.count("block_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
 
 
-def caption_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions planted between each document's lines and the blocks that join them."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.slice(F.split("text", "\n"), 1, 12)
+def _caption_sizes(d: DataFrame, lines: Column) -> DataFrame:
     items = F.transform(lines, lambda x, i: F.struct(F.array(F.lit(50.0), 60.0 + 20 * i, F.lit(300.0), 72.0 + 20 * i).alias("bbox"), x.alias("text"), i.cast("int").alias("pos")))
     caption = F.struct(F.array(F.lit(50.0), F.lit(120.0), F.lit(300.0), F.lit(132.0)).alias("bbox"), F.lit("Table 1. Sums").alias("text"), F.lit(-1).alias("pos"))
     size = lambda above: F.size(CP.cluster(items, caption, F.lit(595.0), above)).cast("long")
     return d.select("doc_id", size(True).alias("above"), size(False).alias("below"))
 
 
+def caption_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions planted between each document's first 12 lines and the blocks that join them."""
+    return _caption_sizes(table(spark, sf_dir, "documents"), F.slice(F.split("text", "\n"), 1, 12))
+
+
+def caption_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions planted between all of each document's lines and the blocks that join them."""
+    return _caption_sizes(table(spark, sf_dir, "documents"), F.split("text", "\n"))
+
+
 def inline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("Table 1. Errors\ngroup name warping error\nA 1. first .5 0.25\nrest",), ("no table here",)]
     return spark.createDataFrame(rows, "x string").select("x", RF.reflow_udf("x").alias("markdown"))
@@ -281,6 +288,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         route_counters, page_routes, page_signals, clean_text, text_chunks, hash_embedding, blocks_with_embeddings, queue_fold, queue_claim, queue_claim_kind, queue_stats, interrupted_jobs, job_totals,
-        load_summary, task_priorities, wait_policies, crops, covered_items, text_predicates, table_markdown, ocr_lines, ordered_markdown, listing, parse_documents, caption_clusters, inline_tables, html_tables, queue_stream,
+        load_summary, task_priorities, wait_policies, crops, covered_items, text_predicates, table_markdown, ocr_lines, ordered_markdown, listing, parse_documents, caption_clusters, caption_clusters_all, inline_tables, html_tables, queue_stream,
     )
 }

@@ -37,6 +37,13 @@ def test_against_duckdb(spark, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
+def test_caption_clusters_reach_as_far_as_the_lookback(spark, tmp_path):
+    docs = [(n, "\n".join("x" * n)) for n in (1, 4, 12, 13, 15, 16, 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.above, r.below) for r in QUERIES["caption_clusters_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0), 4: (3, 0), 12: (3, 8), 13: (3, 9), 15: (3, 11), 16: (3, 11), 40: (3, 11)}
+
+
 def test_the_other_queries_run(spark):
     for name in sorted(set(QUERIES) - set(ORACLES)):
         assert QUERIES[name](spark, DATA).count() > 0, name
