@@ -13,12 +13,12 @@ leaves, until the names cover ``length`` bytes:
    whole span (up to ``length`` and more bytes). Spark counts these names. Equal
    pieces are repeats throughout and one of them stands for all; a piece whose pick
    no other piece shares is unique and leaves.
-3. *Positions.* The starts of the pieces left are named by the pair of the names of
-   their two halves (overlapping, so that both have a doubled length), Spark counts
+3. *Positions.* The starts of the pieces left are named by the pair of the name of
+   their whole string of ``length`` bytes and that of its second half, Spark counts
    the pairs, and a pair that occurs twice marks a repeat.
 
-Names are hashes: 64 bits for anchors (a collision only keeps a position in), 96 or
-more for pieces and positions. All counting is pre-aggregated, and names are brought
+Names are hashes: 64 bits for anchors (a collision only keeps a position in), 96 for
+pieces and positions, of which 64 are of the whole string. All counting is pre-aggregated, and names are brought
 back by equi-joins that Spark may split, so a passage in a third of all documents
 forms no group.
 
@@ -148,7 +148,7 @@ def _names(open_pieces: DataFrame, length: int) -> DataFrame:
     """(did, th, text, todo) -> did, th, at, h1, h2, known: the name pair of every start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (length * 16 + 24) // 25  # two halves of this length overlap and cover all
+        half = (length * 16 + 24) // 25
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 for d, h, t, todo in zip(*(column(part, c).to_pylist() for c in ("did", "th", "text", "todo"))):
@@ -156,7 +156,7 @@ def _names(open_pieces: DataFrame, length: int) -> DataFrame:
                     sizes = np.array([p["len"] for p in todo])
                     at = np.concatenate([np.arange(p["start"], p["start"] + p["len"]) for p in todo])
                     known = np.repeat(np.array([p["known"] for p in todo]), sizes)
-                    h1 = span_hash(prefix, at, at + half).view(np.int64)
+                    h1 = span_hash(prefix, at, at + length).view(np.int64)  # all 64 bits tell strings with a common beginning or end apart
                     h2 = (span_hash(prefix, at + length - half, at + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     n = len(at)
                     for i in range(0, n, 1 << 18):

@@ -2,6 +2,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
+from pagewright.llm import _kernels as K
 from pagewright.llm import near_dedup as N
 from pagewright.llm import suffix_dedup as S
 from pagewright.llm._components import components
@@ -105,3 +108,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_position_names_differ_behind_a_common_first_half(spark):
+    head = "".join(chr(97 + i * i % 26) for i in range(256))
+    tails = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 600_000)))
+    a, b = (K.prefix_hash(np.frombuffer(x.encode(), np.uint8)) for x in (head, tails))
+    p, q = K._POWERS.upto(len(tails) + 1)
+    at = np.arange(len(tails) - 144)
+    half = K.mix((a[256] - a[144]) * q[144] + p[112] * ((b[at + 144] - b[at]) * q[at])) >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    i = np.flatnonzero(half[order][1:] == half[order][:-1])[0]  # second halves whose hashes share 32 bits
+    rows = [(n, 0, head + tails[j : j + 144], [(0, 1, False)]) for n, j in enumerate(order[i : i + 2].tolist())]
+    assert rows[0][2] != rows[1][2]
+    got = S._names(spark.createDataFrame(rows, "did long, th int, text string, todo array<struct<start:int,len:int,known:boolean>>"), 400).collect()
+    assert len({(r.h1, r.h2) for r in got}) == 2
