@@ -1,9 +1,8 @@
-"""Suffix-array dedup: distributed prefix doubling over sampled positions.
+"""Suffix-array dedup: winnowed anchors and hashed names in place of prefix doubling.
 
 Two positions are repeats when their suffixes agree on ``length`` bytes. The suffix
-array is never sorted whole: as in prefix doubling, positions get names (ranks of
-equal prefixes) for growing offsets, and a position whose name has become unique
-leaves, until the names cover ``length`` bytes:
+array is never sorted and no ranks are doubled: positions get hashed names of three
+kinds, and a position whose name is unique leaves:
 
 1. *Anchors.* In every run of ``gram`` consecutive gram starts the smallest gram
    hash is picked; which one depends on those bytes alone, so two equal strings of
