@@ -2,8 +2,8 @@
 
 ``applyInPandasWithState`` keeps one small state a task (key: task_id), so claims and
 completions of a task meet in one place; the result of draining all events equals the
-batch fold. ``work`` is the worker loop: claim, run a provider on the batch, append the
-outcome to the event log."""
+batch fold. ``run_provider`` runs a provider on one claimed batch; claiming and appending
+the outcomes to the event log are left to the caller."""
 
 from __future__ import annotations
 
@@ -66,11 +66,23 @@ def run_provider(claimed: DataFrame, provider: Callable[[list[dict]], list], wor
 
 
 def debounce(requests: DataFrame, cooldown_seconds: float) -> DataFrame:
-    """Cleanup requests (ts) -> whether each one runs: not within the cooldown of the one
-    before it in the same group."""
+    """Cleanup requests (ts) -> whether each one runs: not within the cooldown of the last
+    one that ran in the same group. A request without a time runs and delays none; the
+    times of a group are folded in one place."""
     from pyspark.sql import Window
 
+    cooldown = int(cooldown_seconds * 1e6)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, runs, last = frame.sort_values("_n"), [], None
+        for t in frame["_t"]:
+            runs.append(bool(pd.isna(t) or last is None or t - last >= cooldown))
+            last = t if runs[-1] and not pd.isna(t) else last
+        return frame[["group", "_n"]].assign(runs=runs)
+
     w = Window.partitionBy("group").orderBy("ts")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = t - F.lag(t).over(w)
-    return requests.withColumn("runs", F.coalesce(gap >= int(cooldown_seconds * 1e6), F.lit(True)))
+    numbered = requests.withColumns({"_t": F.unix_micros(F.col("ts").cast("timestamp")), "_n": F.row_number().over(w)})
+    group = requests.schema["group"].dataType.simpleString()
+    ran = numbered.select("group", "_n", "_t").groupBy("group").applyInPandas(fold, f"group {group}, _n int, runs boolean")
+    ran = ran.select(F.col("group").alias("_g"), F.col("_n").alias("_m"), "runs")
+    return numbered.join(ran, F.col("group").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("_m"))).select(*requests.columns, "runs")

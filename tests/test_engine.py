@@ -19,7 +19,7 @@ from pagewright.operators import stats as ST
 from pagewright.operators import tasks as TK
 from pagewright.sources.geometry import PAGE_SCHEMA
 from pagewright.sources.store import Store
-from pagewright.streaming.queue import run_provider
+from pagewright.streaming.queue import debounce, run_provider
 
 SIGNALS = [
     (1200, 10, 0, 0.01, False, "fast_pymupdf", "editable_text_dense"), (0, 0, 1, 0.92, False, "vlm", "scan_or_image_heavy"), (120, 8, 0, 0.0, True, "vlm", "table_hint"),
@@ -218,3 +218,10 @@ def test_bench_summary(spark):
     r = ST.bench_summary(jobs, tasks).first()
     assert (r.pages_per_second, r.required_priority_tasks, r.optional_priority_tasks, r.asset_only_priority_tasks) == (8.0, 1, 1, 1)
     assert [TK.pending(tasks, p).count() for p in ("none", "required", "all")] == [0, 0, 1]
+
+
+def test_debounce_counts_from_the_last_run(spark):
+    at = [("a", 0), ("a", 40), ("a", 80), ("a", 120), ("a", 140), ("b", 40), (None, 0), (None, 70)]
+    rows = spark.createDataFrame(at, "group string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.group, r.s): r.runs for r in debounce(rows, 60).collect()}
+    assert {k for k, v in got.items() if v} == {("a", 0), ("a", 80), ("a", 140), ("b", 40), (None, 0), (None, 70)} and len(got) == len(at)
