@@ -25,10 +25,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share.
 
     It lies under ``spark.checkpoint.dir`` as the cluster names it. Where that
-    setting is absent (single-machine tests) a folder of this process is used.
+    setting is absent a folder of this process is used, on a local master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"corpus-shared-{os.getpid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -100,24 +102,36 @@ def filter_rows(documents: DataFrame, keep) -> DataFrame:
     return documents.mapInArrow(run, documents.schema)
 
 
-def with_row(documents: DataFrame) -> DataFrame:
-    """did, th, row: the row key of ``select_documents`` and the whole row as one struct, so
-    that no column of the table can clash with an operator's own."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-
-
-#: Stands for a null doc_id in keys.
-NO_ID = -(1 << 63)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 128-bit digest of the id (null apart from all ids) and the whole text. Rows of one
+    key are copies of one another and share all results."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), text)))
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """did, th, text: a row key of the id (``NO_ID`` for null) and a hash of the text. Rows
-    equal in both are copies of one another and share all results."""
+    """key, doc_id, text of every row, with null texts as empty strings."""
     d = select_documents(documents)
-    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.hash("text").alias("th"), "text")
+    return d.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
+
+
+def with_row(documents: DataFrame) -> DataFrame:
+    """key and the whole row as one struct, so that no column of the table can clash with an
+    operator's own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(row_key(F.col("doc_id"), text).alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``rid``, 64 bits of ``key`` for narrow rows. That it tells all keys apart is
+    checked, and another salt taken where it does not."""
+    for salt in range(64):
+        rid, other = (F.xxhash64(F.lit(s), "key") for s in (salt, salt + 1000))
+        seen = docs.select(rid.alias("rid"), other.alias("o")).groupBy("rid").agg(F.min("o").alias("a"), F.max("o").alias("b"))
+        if seen.where("a <> b").isEmpty():
+            return docs.withColumn("rid", rid)
+    raise RuntimeError("no salt tells all keys apart")
 
 
-def doc_id_of(key: str) -> Column:
-    """The doc_id that a key stands for."""
-    return F.when(F.col(key) != NO_ID, F.col(key))
+def id_order(doc_id: str = "doc_id") -> Column:
+    """A value that orders ids, null first, and gives the id back as its field ``id``."""
+    return F.struct(F.col(doc_id).isNotNull().alias("has"), F.col(doc_id).alias("id"))

@@ -1,30 +1,37 @@
-"""Suffix-array dedup: winnowed anchors and hashed names in place of prefix doubling.
-
-Two positions are repeats when their suffixes agree on ``length`` bytes. The suffix
-array is never sorted and no ranks are doubled: positions get hashed names of three
-kinds, and a position whose name is unique leaves:
-
-1. *Anchors.* In every run of ``gram`` consecutive gram starts the smallest gram
-   hash is picked; which one depends on those bytes alone, so two equal strings of
-   ``length`` bytes hold the same picks. Spark counts the names of the picked
-   grams; a start whose string holds a unique pick is itself unique and leaves.
-2. *Pieces.* Neighbouring starts that share their pick form a piece, named by its
-   whole span (up to ``length`` and more bytes). Spark counts these names. Equal
-   pieces are repeats throughout and one of them stands for all; a piece whose pick
-   no other piece shares is unique and leaves.
-3. *Positions.* The starts of the pieces left are named by the pair of the name of
-   their whole string of ``length`` bytes and that of its second half, Spark counts
-   the pairs, and a pair that occurs twice marks a repeat.
-
-Names are hashes: 64 bits for anchors (a collision only keeps a position in), 96 for
-pieces and positions, of which 64 are of the whole string. All counting is pre-aggregated, and names are brought
-back by equi-joins that Spark may split, so a passage in a third of all documents
-forms no group.
+"""Suffix-array dedup by distributed prefix doubling.
+
+Two positions are repeats when their suffixes agree on ``length`` bytes. Spark sorts
+(position, rank pair) rows at growing offsets: with ``u = length * 6 // 25`` a position's
+first rank names its first u bytes, the pair of ranks at offsets 0 and u is sorted and
+reranked for 2u bytes, the pair at offsets 0 and 2u for 4u bytes, and the last step passes
+the threshold. After each step a position whose pair is unique leaves.
+
+Sorting every byte position would move tens of times the input, so positions that need
+no rank are taken out before, without losing a repeat:
+
+1. *Anchors.* In every run of ``gram`` consecutive gram starts the smallest gram hash is
+   picked; which one depends on those bytes alone, so two equal strings of ``length`` bytes
+   hold the same picks. Spark counts the picked grams; a start whose string holds a unique
+   pick is itself unique.
+2. *Pieces.* Neighbouring starts that share their pick form a piece, named by its whole span
+   (up to ``length`` and more bytes, 96 bits). Equal pieces are repeats throughout and one
+   of them stands for all; a piece whose pick no other piece shares is unique.
+3. *Grid.* Of the starts left, those at the same distance from their anchor modulo
+   ``step = length - 4u`` agree on a grid that equal strings share; a start's string holds
+   the 4u bytes behind the next grid position, so only grid positions are ranked.
+4. *Last step.* A rank shared by blocks that are equal in all their strings marks these as
+   repeats; the starts of the other blocks are compared by (rank, distance, the bytes
+   around the ranked ones), which are whole strings.
+
+First ranks are 64-bit hashes, pieces have 96-bit and blocks 128-bit names; ranks and starts
+are compared by value. All counting is pre-aggregated, and ranks come back by equi-joins that Spark may
+split, so a passage in a third of all documents forms no group.
 
 Defined edge cases: null and empty texts and texts shorter than ``length`` lose
 nothing; every row of equal texts of at least ``length`` bytes loses all its bytes
-(each copy has another); overlapping occurrences in one text count; null ids are
-kept; an empty table gives no rows.
+(each copy has another); overlapping occurrences in one text count; null ids and
+repeated ids are kept apart by their texts; a very long text is worked on in stretches;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, discard, doc_id_of, keyed, read_documents, slices, with_row
+from ._common import column, cut, discard, keyed, numbered, read_documents, slices, with_row
 from ._kernels import prefix_hash, sliding, span_hash
 
 LENGTH = 400
+STRETCH = 1 << 21
 _PIECE = "array<struct<start:int,len:int,owner:long,s1:long,s2:int,again:boolean>>"
-_KEY = ["did", "th"]
+_POSITION = "rid long, at int, a long, b long, grid boolean, blocks array<struct<near:int,far:int,known:boolean,edge:binary>>"
 
 
 def gram_of(length: int) -> int:
@@ -51,13 +59,20 @@ def gram_of(length: int) -> int:
     return max(1, length * 8 // 25)
 
 
+def unit_of(length: int) -> int:
+    """Bytes of the first ranks; four of them are at most ``length``."""
+    if length < 5:
+        raise ValueError("repeats of fewer than five bytes are not sought")
+    return max(1, length * 6 // 25)
+
+
 class _Text:
-    """One text's gram hashes and the smallest of each window of gram starts."""
+    """Gram hashes of a stretch of a text and the smallest of each window of gram starts."""
 
-    def __init__(self, data: bytes, length: int) -> None:
+    def __init__(self, data: np.ndarray, length: int) -> None:
         k = gram_of(length)
         self.k, self.length, self.n = k, length, len(data)
-        self.prefix = prefix_hash(np.frombuffer(data, np.uint8))
+        self.prefix = prefix_hash(data)
         starts = np.arange(self.n - k + 1)
         self.hash = span_hash(self.prefix, starts, starts + k)
         self.low = sliding(self.hash, k, np.minimum)
@@ -93,156 +108,274 @@ class _Text:
         return out
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(did, tag, name, n): the picked names of each text; n is 2 for one that occurs again
-    in it. ``tag`` is a byte of the text's hash: names that are repeated are so for every
-    text, so rows of one id may share them."""
+def _stretches(text: str | bytes, length: int, stretch: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, bytes) of stretches that share no start and hold each start's string whole."""
+    data = np.frombuffer(text if isinstance(text, bytes) else text.encode("utf-8"), np.uint8)
+    for at in range(0, len(data) - length + 1, stretch):
+        yield at, data[at : at + stretch + length - 1]
+
+
+def _anchors(docs: DataFrame, length: int, stretch: int) -> DataFrame:
+    """(rid, name, n): the picked names of each text; n is 2 for one that occurs again in it
+    (or is picked in two stretches, which only keeps it in)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                did, tag, names, counts = [], [], [], []
-                for d, h, t in zip(*(column(part, c).to_pylist() for c in ("did", "th", "text"))):
-                    data = t.encode("utf-8")
-                    if len(data) < length:
-                        continue
-                    x, again = _Text(data, length).picks()
-                    names.append(x)
-                    counts.append(again)
-                    did.append(np.full(len(x), d, np.int64))
-                    tag.append(np.full(len(x), h & 0xFF, np.int32))
+                rid, names, counts = [], [], []
+                for r, t in zip(column(part, "rid").to_pylist(), column(part, "text").to_pylist()):
+                    for _, data in _stretches(t, length, stretch):
+                        x, again = _Text(data, length).picks()
+                        names.append(x)
+                        counts.append(again)
+                        rid.append(np.full(len(x), r, np.int64))
                 if names:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(did)), pa.array(np.concatenate(tag)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8) + np.int8(1))], ["did", "tag", "name", "n"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rid)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int8) + np.int8(1))], ["rid", "name", "n"])
 
-    return docs.mapInArrow(run, "did long, tag int, name long, n byte")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, name long, n byte")
 
 
-def _candidates(docs: DataFrame, length: int) -> DataFrame:
-    """(did, th, repeated, text) -> did, th, n_bytes, kept_sha256, text, pieces; the text
-    is carried on only with pieces, without them the digest is final."""
+def _candidates(docs: DataFrame, length: int, stretch: int) -> DataFrame:
+    """(rid, doc_id, key, repeated, text) -> rid, doc_id, key, n_bytes, kept_sha256, text, pieces;
+    the text is carried on only with pieces, without them the digest is final."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("owner", pa.int64()), ("s1", pa.int64()), ("s2", pa.int32()), ("again", pa.bool_())]))
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                cols: list[list] = [[], [], [], [], [], []]
+                size, sha, texts, found = [], [], [], []
                 reps = column(part, "repeated")
-                for i, (d, h, t) in enumerate(zip(*(column(part, c).to_pylist() for c in ("did", "th", "text")))):
+                for i, t in enumerate(column(part, "text").to_pylist()):
                     data = t.encode("utf-8")
                     pieces = []
-                    if len(data) >= length and reps[i].is_valid:
-                        pieces = _Text(data, length).pieces(np.sort(reps[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                    row = (d, h, len(data), None if pieces else hashlib.sha256(data).hexdigest(), t if pieces else None, pieces or None)
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                piece = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("owner", pa.int64()), ("s1", pa.int64()), ("s2", pa.int32()), ("again", pa.bool_())]))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), piece)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["did", "th", "n_bytes", "kept_sha256", "text", "pieces"])
-
-    return docs.mapInArrow(run, f"did long, th int, n_bytes long, kept_sha256 string, text string, pieces {_PIECE}")
-
-
-def _names(open_pieces: DataFrame, length: int) -> DataFrame:
-    """(did, th, text, todo) -> did, th, at, h1, h2, known: the name pair of every start."""
+                    if reps[i].is_valid:
+                        known = np.sort(reps[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                        for at, some in _stretches(data, length, stretch):
+                            pieces += [p | {"start": p["start"] + at} for p in _Text(some, length).pieces(known)]
+                    size.append(len(data))
+                    sha.append(None if pieces else hashlib.sha256(data).hexdigest())
+                    texts.append(t if pieces else None)
+                    found.append(pieces or None)
+                made = [pa.array(c, t) for c, t in zip((size, sha, texts, found), (pa.int64(), pa.string(), pa.string(), piece))]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("rid", "doc_id", "key")), *made], ["rid", "doc_id", "key", "n_bytes", "kept_sha256", "text", "pieces"])
+
+    return docs.select("rid", "doc_id", "key", "repeated", "text").mapInArrow(run, f"rid long, doc_id long, key binary, n_bytes long, kept_sha256 string, text string, pieces {_PIECE}")
+
+
+def _anchor_of(text: _Text, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The first occurrence at or after each start of the gram that the start's window picks."""
+    names, which = np.unique(owner, return_inverse=True)
+    at = np.searchsorted(names, text.hash)
+    at[at == len(names)] = 0
+    here = np.flatnonzero(names[at] == text.hash)
+    keys = np.sort(at[here] * (text.n + 1) + here)
+    return keys[np.searchsorted(keys, which * (text.n + 1) + start)] - which * (text.n + 1)
+
+
+def grid_positions(data: np.ndarray, length: int, start: np.ndarray, size: np.ndarray, owner: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+    """The grid positions of the starts of some pieces of a stretch, and the blocks of starts
+    that each stands for: at, near and far (distances of its last and first start), known, edge
+    (the bytes around the ranked ones)."""
+    unit = unit_of(length)
+    step = length - 4 * unit
+    text = _Text(data, length)
+    piece = np.repeat(np.arange(len(start)), size)
+    s = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+    anchor = _anchor_of(text, s, owner[piece])
+    g = anchor - (anchor - s) // step * step
+    first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (piece[1:] != piece[:-1]))))
+    last = np.concatenate((first[1:], [len(s)])) - 1
+    at, far, near = g[first], g[first] - s[first], g[first] - s[last]
+    padded = np.concatenate((np.zeros(step, np.uint8), data, np.zeros(step, np.uint8)))
+    around = np.concatenate((np.arange(1, step), np.arange(step + 4 * unit, 2 * step + 4 * unit)))
+    return {"at": at, "near": near, "far": far, "known": known[piece[first]], "edge": padded[at[:, None] + around[None, :]]}
+
+
+def _positions(todo: DataFrame, length: int, stretch: int) -> DataFrame:
+    """(rid, text, todo) -> the rows of the first sort: rid, at, a, b (names of the first and
+    second unit), whether ``at`` is a grid position, and its blocks of starts."""
+    unit = unit_of(length)
+
+    def block_array(made: dict[str, np.ndarray], order: np.ndarray) -> pa.StructArray:
+        edge = made["edge"][order]
+        ends = (np.arange(len(edge) + 1) * edge.shape[1]).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(edge.tobytes())])
+        return pa.StructArray.from_arrays([pa.array(made["near"][order], pa.int32()), pa.array(made["far"][order], pa.int32()), pa.array(made["known"][order]), held], ["near", "far", "known", "edge"])
+
+    def rows(rid: int, text: str, todo: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = {"at": np.empty(0, np.int64), "near": np.empty(0, np.int64), "far": np.empty(0, np.int64), "known": np.empty(0, bool), "edge": np.empty((0, 2 * (length - 4 * unit) - 1), np.uint8)}
+        ahead = np.empty(0, np.int64)  # positions of the second units
+        parts = list(_stretches(text, length, stretch))
+        for i, (base, data) in enumerate(parts):
+            part = np.sort(todo[(todo["start"] >= base) & (todo["start"] < base + stretch)], order="start")
+            if len(part):
+                made = grid_positions(data, length, part["start"] - base, part["len"], part["owner"].view(np.uint64), part["known"])
+                made["at"] += base
+                held = {k: np.concatenate((held[k], made[k])) for k in held}
+                ahead = np.concatenate((ahead, np.unique(made["at"]) + 2 * unit))
+            # a position is given out once, by the stretch that it lies in
+            ready, near = (x < base + stretch if i + 1 < len(parts) else np.ones(len(x), bool) for x in (held["at"], ahead))
+            grid, count = np.unique(held["at"][ready], return_counts=True)
+            further = np.setdiff1d(ahead[near], grid)
+            at = np.concatenate((grid, further))
+            if len(at):
+                order = np.flatnonzero(ready)[np.argsort(held["at"][ready], kind="stable")]
+                offsets = np.concatenate(([0], np.cumsum(count), np.full(len(further), len(order)))).astype(np.int32)
+                prefix = prefix_hash(data)
+                a, b = (span_hash(prefix, at - base + x, at - base + x + unit).view(np.int64) for x in (0, unit))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), rid, np.int64)), pa.array(at.astype(np.int32)), pa.array(a), pa.array(b), pa.array(np.arange(len(at)) < len(grid)), pa.ListArray.from_arrays(pa.array(offsets), block_array(held, order))],
+                    ["rid", "at", "a", "b", "grid", "blocks"],
+                )
+            held, ahead = {k: v[~ready] for k, v in held.items()}, ahead[~near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (length * 16 + 24) // 25
+        kinds = np.dtype([("start", np.int64), ("len", np.int64), ("owner", np.int64), ("known", bool)])
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for d, h, t, todo in zip(*(column(part, c).to_pylist() for c in ("did", "th", "text", "todo"))):
-                    prefix = prefix_hash(np.frombuffer(t.encode("utf-8"), np.uint8))
-                    sizes = np.array([p["len"] for p in todo])
-                    at = np.concatenate([np.arange(p["start"], p["start"] + p["len"]) for p in todo])
-                    known = np.repeat(np.array([p["known"] for p in todo]), sizes)
-                    h1 = span_hash(prefix, at, at + length).view(np.int64)  # all 64 bits tell strings with a common beginning or end apart
-                    h2 = (span_hash(prefix, at + length - half, at + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    n = len(at)
-                    for i in range(0, n, 1 << 18):
-                        j = slice(i, i + (1 << 18))
-                        m = len(at[j])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, d, np.int64)), pa.array(np.full(m, h, np.int32)), pa.array(at[j].astype(np.int32)), pa.array(h1[j]), pa.array(h2[j]), pa.array(known[j])],
-                            ["did", "th", "at", "h1", "h2", "known"],
-                        )
-
-    return open_pieces.mapInArrow(run, "did long, th int, at int, h1 long, h2 int, known boolean")
+                lists = column(part, "todo")
+                flat, edge = lists.values, lists.offsets.to_numpy()
+                fields = np.empty(len(flat), kinds)
+                for k in kinds.names:
+                    fields[k] = flat.field(k).to_numpy(zero_copy_only=False)
+                held: list[pa.RecordBatch] = []
+                for i, (r, t) in enumerate(zip(column(part, "rid").to_pylist(), column(part, "text").to_pylist())):
+                    held += rows(r, t, fields[edge[i] : edge[i + 1]])
+                if held:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return todo.select("rid", "text", "todo").mapInArrow(run, _POSITION)
+
+
+def rerank(pairs: DataFrame) -> DataFrame:
+    """(rid, at, a, b, ...) -> the rows whose pair (a, b) is not unique, with ``rank``, the
+    place of the pair in sorted order, instead of it."""
+    again = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1")
+    ranks = cut(again.select("a", "b").sort("a", "b").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    out = cut(pairs.join(ranks, ["a", "b"]).drop("a", "b"), "ranked")
+    discard(ranks)
+    return out
+
+
+def doubled(positions: DataFrame, length: int) -> DataFrame:
+    """The rows of ``_positions`` -> rid, at, rank of the grid positions whose 4 * unit bytes
+    are not unique; two have equal ranks when these bytes are equal."""
+    two = rerank(positions.select("rid", "at", "grid", "a", "b"))
+    ahead = two.select("rid", (F.col("at") - 2 * unit_of(length)).alias("at"), F.col("rank").alias("b"))
+    pairs = cut(two.where("grid").select("rid", "at", F.col("rank").alias("a")).join(ahead, ["rid", "at"]), "pairs")
+    four = rerank(pairs)
+    discard(two, pairs)
+    return four
+
+
+def _repeats(positions: DataFrame, length: int) -> DataFrame:
+    """(rid, start, len): the runs of repeated starts of the ranked blocks, but for those
+    known before."""
+    step = length - 4 * unit_of(length)
+    ranked = doubled(positions, length)
+    blocks = cut(positions.where("grid").select("rid", "at", F.inline("blocks")).join(ranked, ["rid", "at"]), "blocks")
+    inside = F.expr(f"substring(edge, {step} - far, far - near + {step})")
+    shaped = blocks.select("rid", "at", "near", "far", "known", "edge", "rank", F.xxhash64("near", "far", inside).alias("h"), F.xxhash64(F.lit(1), inside, "near", "far").alias("k"))
+    ranks = shaped.groupBy("rank").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("c"))
+    ranks = cut(ranks.where("c > 1").select("rank", ((F.col("h0") == F.col("h1")) & (F.col("k0") == F.col("k1"))).alias("even")), "even")
+    joined = cut(shaped.drop("h", "k").join(ranks, "rank"), "joined")
+    whole = joined.where("even and not known").select("rid", (F.col("at") - F.col("far")).alias("start"), (F.col("far") - F.col("near") + 1).alias("len"))
+    starts = joined.where("not even").select("rid", "at", "known", "rank", "edge", F.explode(F.sequence("near", "far")).alias("off"))
+    starts = starts.select("rid", (F.col("at") - F.col("off")).alias("start"), "known", "rank", "off", F.expr(f"substring(edge, {step} - off, {step})").alias("bytes"))
+    name = ["rank", "off", "bytes"]
+    twice = cut(starts.groupBy(*name).agg(F.count("*").alias("c")).where("c > 1").select(*name), "twice")
+    single = starts.where("not known").join(twice, name, "left_semi").select("rid", "start", F.lit(1).alias("len"))
+    out = cut(whole.unionByName(single), "repeats")
+    discard(ranked, blocks, ranks, joined, twice)
+    return out
+
+
+def merged(start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs (begin, end) of the bytes of the strings at runs of starts."""
+    order = np.argsort(start, kind="stable")
+    begin, end = start[order], (start + size - 1 + length)[order]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
+    return begin[first], reach[np.concatenate((first[1:], [len(begin)])) - 1]
 
 
 def _removal(docs: DataFrame, length: int) -> DataFrame:
-    """(did, th, n_bytes, kept_sha256, text, whole, single) -> did, th, n_bytes, n_removed,
+    """(key, doc_id, n_bytes, kept_sha256, text, runs) -> key, doc_id, n_bytes, n_removed,
     n_spans, kept_sha256, kept: removed bytes are those of a string at a repeated start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            names = ("did", "th", "n_bytes", "kept_sha256", "text", "whole", "single")
-            for d, h, n, sha, t, whole, single in zip(*(column(batch, c).to_pylist() for c in names)):
-                removed = spans = 0
-                kept = None
-                if t is not None:
-                    data = np.frombuffer(t.encode("utf-8"), np.uint8)
-                    edge = np.zeros(n + 1, np.int64)
-                    for p in whole or ():
-                        edge[p["start"]] += 1
-                        edge[p["start"] + p["len"] - 1 + length] -= 1
-                    for p in single or ():
-                        at = np.array(p)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + length, -1)
-                    gone = np.cumsum(edge)[:n] > 0
-                    removed = int(gone.sum())
-                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(bool(n) and bool(gone[0]))
-                    kept = data[~gone].tobytes()
-                    sha = hashlib.sha256(kept).hexdigest()
-                for c, v in zip(cols, (d, h, n, removed, spans, sha, kept if removed else None)):
-                    c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], ["did", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return docs.mapInArrow(run, "did long, th int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """did, th, n_bytes, n_removed, n_spans, kept_sha256, kept for every row; ``kept`` (the
-    remaining bytes) is null where nothing is removed. (did, th) is the row key of ``keyed``."""
-    docs = keyed(documents)
-    anchors = cut(_anchors(docs, length), "anchors")
-    repeated = anchors.groupBy("name").agg(F.sum("n").alias("c")).where("c > 1").select("name")
-    tagged = ["did", "tag"]
-    by_doc = anchors.select(*tagged, "name").join(repeated, "name", "left_semi").groupBy(*tagged).agg(F.collect_set("name").alias("repeated"))  # bounded by one id's texts
-    with_tag = docs.withColumn("tag", F.col("th").bitwiseAND(F.lit(0xFF)))
-    found = cut(_candidates(with_tag.join(by_doc, tagged, "left").select(*_KEY, "repeated", "text"), length), "candidates")
-    discard(anchors)
-
-    pieces = found.select(*_KEY, F.inline("pieces"))
+            for part in slices(batch, "text", 4 << 20):
+                lists = column(part, "runs")
+                flat, edge = lists.values, lists.offsets.to_numpy()
+                start, size = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "len"))
+                removed, spans, shas, kepts = [], [], [], []
+                for i, (sha, t) in enumerate(zip(column(part, "kept_sha256").to_pylist(), column(part, "text").to_pylist())):
+                    kept, gone, count = None, 0, 0
+                    if t is not None:
+                        data = t.encode("utf-8")
+                        a, b = edge[i], edge[i + 1]
+                        if lists[i].is_valid and b > a:
+                            begin, end = merged(start[a:b], size[a:b], length)
+                            gone, count = int((end - begin).sum()), len(begin)
+                            data = kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+                        sha = hashlib.sha256(data).hexdigest()
+                    for c, v in zip((removed, spans, shas, kepts), (gone, count, sha, kept)):
+                        c.append(v)
+                made = [pa.array(c, x) for c, x in zip((removed, spans, shas, kepts), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("key", "doc_id", "n_bytes")), *made], ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    names = ("key", "doc_id", "n_bytes", "kept_sha256", "text", "runs")
+    return docs.select(*names).mapInArrow(run, "key binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
+    """key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row; ``kept`` (the
+    remaining bytes) is null where nothing is removed. ``key`` is the row key of ``keyed``.
+    Texts are worked on in stretches of ``stretch`` starts."""
+    docs = numbered(keyed(documents))
+    anchors = cut(_anchors(docs, length, stretch), "anchors")
+    # counts are written before rows are joined with them: Spark splits the rows of a hot name
+    # only where the join stands alone
+    repeated = cut(anchors.groupBy("name").agg(F.sum("n").alias("c")).where("c > 1").select("name"), "repeated")
+    by_doc = anchors.select("rid", "name").join(repeated, "name", "left_semi").groupBy("rid").agg(F.collect_set("name").alias("repeated"))  # bounded by one text
+    found = cut(_candidates(docs.join(by_doc, "rid", "left"), length, stretch), "candidates")
+    discard(anchors, repeated)
+
+    pieces = found.select("rid", F.inline("pieces"))
     name = ["owner", "s1", "s2"]
-    classes = cut(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.max("again").alias("again"), F.min(F.struct(*_KEY, "start", "len")).alias("one")), "classes")
+    # any member of a class may stand for it; all three values are of the same row
+    classes = cut(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.max("again").alias("again"), *[F.first(k).alias(k) for k in ("rid", "start", "len")]), "classes")
     several = classes.groupBy("owner").agg(F.count("*").alias("k"), F.max("again").alias("m")).where("k > 1 or m").select("owner")
-    todo = classes.join(several, "owner", "left_semi").select("one.*", (F.col("c") > 1).alias("known"))
-    todo = todo.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "len", "known")).alias("todo"))  # bounded by one text
-    texts = found.where("text is not null").select(*_KEY, "text")
-    starts = _names(todo.join(texts, _KEY).select(*_KEY, "text", "todo"), length)
-    twice = starts.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    single = starts.where("not known").join(twice, ["h1", "h2"], "left_semi")
-    single = single.groupBy(*_KEY, F.shiftright("at", 14).alias("region")).agg(F.collect_list("at").alias("at")).groupBy(*_KEY).agg(F.collect_list("at").alias("single"))
-    whole = pieces.join(classes.where("c > 1").select(*name), name, "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "len")).alias("whole"))
-    marked = found.drop("pieces").join(whole, _KEY, "left").join(single, _KEY, "left")
-    return _removal(marked.select(*_KEY, "n_bytes", "kept_sha256", "text", "whole", "single"), length)
+    todo = classes.join(several, "owner", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", "len", "owner", (F.col("c") > 1).alias("known"))).alias("todo"))  # bounded by one text
+    texts = found.where("text is not null").select("rid", "text")
+    positions = cut(_positions(todo.join(texts, "rid"), length, stretch), "positions")
+    single = _repeats(positions, length)
+    discard(positions)
+    whole = pieces.join(classes.where("c > 1").select(*name), name, "left_semi").select("rid", "start", "len")
+    runs = cut(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias("runs")), "runs")  # bounded by one text
+    discard(single, classes)
+    out = _removal(found.drop("pieces").join(runs, "rid", "left"), length)
+    out.sources = (found, runs)
+    return out
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``documents``, all columns, without the repeated bytes; characters that a cut divides
     go too, and a column n_chars follows the new text."""
-    spans = repeated_spans(documents, length).where("n_removed > 0").select(*_KEY, "kept").dropDuplicates(_KEY)
+    found = repeated_spans(documents, length)
+    spans = found.where("n_removed > 0").select("key", "kept")
 
     def to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [k.decode("utf-8", "ignore") for k in column(batch, "kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "did"), column(batch, "th"), pa.array(kept, pa.string())], ["did", "th", "new_text"])
-
-    changed = spans.mapInArrow(to_text, "did long, th int, new_text string").withColumn("hit", F.lit(True))
-    joined = with_row(documents).hint("merge").join(changed, _KEY, "left")
+            for part in slices(batch, "kept", 4 << 20):
+                kept = [k.decode("utf-8", "ignore") for k in column(part, "kept").to_pylist()]
+                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(kept, pa.string())], ["key", "new_text"])
+
+    changed = spans.mapInArrow(to_text, "key binary, new_text string").withColumn("n", F.lit(1))
+    changed = cut(changed.groupBy("key").agg(F.first("new_text").alias("new_text")).withColumn("hit", F.lit(True)), "changed")
+    discard(*found.sources)
+    joined = with_row(documents).hint("merge").join(changed, "key", "left")
     columns = []
     for c in documents.columns:
         old = F.col(f"row.`{c}`")
@@ -252,8 +385,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_spans(read_documents(spark, sf_dir))
-    return out.select(doc_id_of("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeated_spans(read_documents(spark, sf_dir))
+    out = cut(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "suffix-dedup")
+    discard(*found.sources)
+    return out
 
 
 ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),

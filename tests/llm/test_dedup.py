@@ -2,9 +2,6 @@ import hashlib
 import re
 from collections import Counter
 
-import numpy as np
-
-from pagewright.llm import _kernels as K
 from pagewright.llm import near_dedup as N
 from pagewright.llm import suffix_dedup as S
 from pagewright.llm._components import components
@@ -33,17 +30,17 @@ def brute_components(rows, percent):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 up[find(i)] = find(j)
-    key = lambda i: -(1 << 63) if rows[i][0] is None else rows[i][0]
-    least = {}
+    groups = {}
     for i in range(len(rows)):
-        least[find(i)] = min(least.get(find(i), key(i)), key(i))
-    return [(key(i), len(sets[i]), least[find(i)]) for i in range(len(rows))]
+        groups.setdefault(find(i), []).append(rows[i][0])
+    least = {k: min(v, key=lambda d: (d is not None, d or 0)) for k, v in groups.items()}
+    return [(rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows))]
 
 
 def test_near_duplicates_against_brute_force(spark):
     for percent in (80, 85):
         got = N.near_duplicates(X.documents(spark), percent).collect()
-        assert Counter((r.did, r.n_shingles, r.component) for r in got) == Counter(brute_components(X.rows(), percent))
+        assert Counter((r.doc_id, r.n_shingles, r.component) for r in got) == Counter(brute_components(X.rows(), percent))
     assert N.near_duplicates(X.empty(spark)).count() == 0
 
 
@@ -57,7 +54,7 @@ def test_near_duplicates_of_one_family(spark):
             w[(i * 13 + k * 29) % len(w)] = f"edit{i}_{k}"
         rows.append((i, " ".join(w), "en", "s", 0))
     got = N.near_duplicates(spark.createDataFrame(rows, X.SCHEMA), 85).collect()
-    assert sorted((r.did, r.n_shingles, r.component) for r in got) == sorted(brute_components(rows, 85))
+    assert sorted((r.doc_id, r.n_shingles, r.component) for r in got) == sorted(brute_components(rows, 85))
 
 
 def test_keep_one_keeps_columns_and_wordless_rows(spark):
@@ -110,16 +107,69 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_position_names_differ_behind_a_common_first_half(spark):
-    head = "".join(chr(97 + i * i % 26) for i in range(256))
-    tails = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 600_000)))
-    a, b = (K.prefix_hash(np.frombuffer(x.encode(), np.uint8)) for x in (head, tails))
-    p, q = K._POWERS.upto(len(tails) + 1)
-    at = np.arange(len(tails) - 144)
-    half = K.mix((a[256] - a[144]) * q[144] + p[112] * ((b[at + 144] - b[at]) * q[at])) >> np.uint64(32)
-    order = np.argsort(half, kind="stable")
-    i = np.flatnonzero(half[order][1:] == half[order][:-1])[0]  # second halves whose hashes share 32 bits
-    rows = [(n, 0, head + tails[j : j + 144], [(0, 1, False)]) for n, j in enumerate(order[i : i + 2].tolist())]
-    assert rows[0][2] != rows[1][2]
-    got = S._names(spark.createDataFrame(rows, "did long, th int, text string, todo array<struct<start:int,len:int,known:boolean>>"), 400).collect()
-    assert len({(r.h1, r.h2) for r in got}) == 2
+def test_rows_of_equal_short_hashes_and_null_ids_stay_apart(spark):
+    """The texts have equal 32-bit Spark hashes, and all rows the null id."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(200_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" common words that follow here")).alias("t"))
+    pair = made.groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1).first().ts[:2]
+    passage = X.prose(33, 90)
+    rows = [(None, t + " " + passage * k, None, None, 0) for k in (0, 1) for t in pair]
+    docs = spark.createDataFrame([r for r in rows for _ in range(2)], X.SCHEMA)
+    same = [r for r in rows for _ in range(2)]
+    got = S.repeated_spans(docs, 60).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute_removal(same, 60))
+    assert Counter((r.doc_id, r.n_shingles, r.component) for r in N.near_duplicates(docs, 85).collect()) == Counter(brute_components(same, 85))
+    one = [r.text for r in N.keep_one(docs, 85).collect()]
+    assert len(one) == len(set(one)) and set(one) <= {r[1] for r in rows}
+
+
+def test_ranks_of_each_round_against_sorted_strings(spark):
+    """Two positions have equal ranks just when their 2 and 4 units of bytes are equal, and
+    unique ones have none."""
+    length = 60
+    unit = S.unit_of(length)
+    texts = [X.prose(i, 60) + " " + X.PASSAGE[: 300 + 7 * i] + X.prose(20 + i, 20) for i in range(6)]
+    data = [t.encode() for t in texts]
+    size = [len(d) - length + 1 for d in data]
+    rows = [(i, at, d[at : at + unit], d[at + unit : at + 2 * unit], at < size[i]) for i, d in enumerate(data) for at in range(len(d) - 2 * unit + 1)]
+    names = {x: k for k, x in enumerate(sorted({x for r in rows for x in r[2:4]}))}
+    positions = spark.createDataFrame([(r[0], r[1], names[r[2]], names[r[3]], r[4]) for r in rows], "rid long, at int, a long, b long, grid boolean")
+    two = {(r.rid, r.at): r.rank for r in S.rerank(positions).collect()}
+    count = Counter(d[at : at + 2 * unit] for d in data for at in range(len(d) - 2 * unit + 1))
+    want = {(i, at): d[at : at + 2 * unit] for i, d in enumerate(data) for at in range(len(d) - 2 * unit + 1) if count[d[at : at + 2 * unit]] > 1}
+    assert set(two) == set(want) and len(set(zip(two.values(), (want[k] for k in two)))) == len(set(two.values())) == len(set(want.values()))
+    four = {(r.rid, r.at): r.rank for r in S.doubled(positions, length).collect()}
+    count = Counter(d[at : at + 4 * unit] for i, d in enumerate(data) for at in range(size[i]))
+    want = {(i, at): d[at : at + 4 * unit] for i, d in enumerate(data) for at in range(size[i]) if count[d[at : at + 4 * unit]] > 1}
+    assert set(four) == set(want) and len(set(zip(four.values(), (want[k] for k in four)))) == len(set(four.values())) == len(set(want.values()))
+
+
+def test_suffix_dedup_of_periods_and_stretches(spark):
+    """Runs, periods, and repeats that cross the stretches of a long text."""
+    base = X.prose(8, 300)
+    texts = ["ab" * 300, "x" * 130 + base[:500] + "x" * 70, base[100:420] + "y" + base[100:420], base, "abc" * 41 + base[600:700] * 3, base[650:900]]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, X.SCHEMA)
+    for stretch in (S.STRETCH, 97):
+        for length in (23, 60, 111):
+            got = S.repeated_spans(docs, length, stretch).collect()
+            assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute_removal(rows, length)), (stretch, length)
+
+
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    """A family whose members all share their signature prefixes, at forced depths and sizes."""
+    base = X.prose(1, 150).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(i % 9):
+            w[(i * 13 + k * 29) % len(w)] = f"edit{i}_{k}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    rows += [(200 + i, X.prose(300 + i, 40), "en", "s", 0) for i in range(20)]
+    want = sorted(brute_components(rows, 85))
+    for crowd, block in ((8, 16), (30, 512), (1024, 10)):
+        monkeypatch.setattr(N, "CROWD", crowd)
+        monkeypatch.setattr(N, "BLOCK", block)
+        got = N.near_duplicates(spark.createDataFrame(rows, X.SCHEMA), 85).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component) for r in got) == want, (crowd, block)

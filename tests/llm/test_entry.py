@@ -39,13 +39,13 @@ def test_pipeline_stages_against_each_other(spark):
     clean = corpus_pipeline.toxicity(spark, docs, DATA).cache()
     assert clean.columns == columns and 0 < clean.count() <= docs.count()
     one = corpus_pipeline.near_dedup(spark, clean, DATA).cache()
-    want = {r.did for r in near_duplicates(clean, 80).collect() if r.did == r.component}
+    want = {r.doc_id for r in near_duplicates(clean, 80).collect() if r.doc_id == r.component}
     assert {r.doc_id for r in one.select("doc_id").collect()} == want
     cut = corpus_pipeline.suffix_dedup(spark, one, DATA).cache()
     assert cut.columns == columns and cut.count() == one.count()
     kept = corpus_pipeline.decontamination(spark, cut, DATA)
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    assert {r.doc_id for r in kept.collect()} == {r.did for r in decontaminate(cut, bench).collect() if not r["items"]}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in decontaminate(cut, bench).collect() if not r["items"]}
     ids = corpus_pipeline.bpe(spark, kept, DATA)
     assert ids.count() == kept.count() and set(ids.columns) >= {"doc_id", "n_tokens"}
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == {r.doc_id for r in ids.collect()}
