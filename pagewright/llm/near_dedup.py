@@ -3,17 +3,20 @@
 1. Every text gets the set of its five-word shingles and a signature of ``HASHES``
    minimum hashes. Texts with equal sets are one *node* from here on.
 2. *Forest.* ``TREES`` different orders of the signature each sort all nodes; nodes
-   that share a prefix of ``DEPTH`` values in an order meet there. The depth adapts to
-   the region: where more than ``CROWD`` nodes share a prefix, a longer one is taken,
-   and a run that is still longer is swept in sorted order by blocks that overlap, so
-   that the neighbours with the longest common prefix always meet. Nodes whose
-   signatures agree closely enough become provisionally linked, by a spanning set of
-   links only.
+   that share a prefix of ``DEPTH`` values in an order meet there and all their pairs
+   are compared by signature. Where more than ``CROWD`` nodes share a prefix, the region
+   is first sorted by a longer one, its depth adapted to the crowd, and the neighbours
+   with the longest common prefix meet in overlapping blocks of the sorted run, which
+   ties the crowd together cheaply. The nodes that this leaves outside of the region's
+   largest group are then compared with all of the region, block by block, so that the
+   longer prefix misses no pair. Nodes whose signatures agree closely enough become
+   provisionally linked, by links to one node of each group only.
 3. *Confirmation.* The provisional groups hold every link with near certainty (see
-   README). All pairs of nodes of a group are compared on their full shingle sets, in
-   blocks: a group of g nodes is dealt to ceil(g / BLOCK) blocks by a hash, each pair
-   of blocks is one bounded unit of work, and only a spanning set of confirmed links
-   leaves it. No pair is dropped, and no pairs are listed.
+   README). A group of at most ``BLOCK`` nodes is compared on the full shingle sets, all
+   pairs at once. Of a larger one, first each block and its links to the group's first
+   block are, then the nodes that remain outside of the largest part with all nodes, in
+   pairs of blocks: a pair within one part needs no comparison. Only links to one
+   node of each group leave a unit of work. No pair is dropped, and no pairs are listed.
 4. Components of the confirmed links give each node, and so each document, its group.
 
 Defined edge cases: fewer words than five give one shingle, the whole sequence; null,
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, cut, discard, doc_id_of, keyed, read_documents, slices, with_row
+from ._common import column, cut, discard, id_order, keyed, read_documents, slices, with_row
 from ._components import components
 from ._kernels import distinct, mix, mix_int, shingles
 
@@ -64,8 +67,23 @@ def _node(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(node, sig) -> node, tree, root for every tree; a root is the name of an order and the
+    prefix of DEPTH values in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(n, HASHES)
+            for t in range(TREES):
+                root = mix(np.ascontiguousarray(sig[:, _ORDERS[t][:DEPTH]]).view(np.uint64).ravel() + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(np.full(n, t, np.int32)), pa.array(root.view(np.int64))], ["node", "tree", "root"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node long, tree int, root long")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(did, th, text) -> did, th, n_shingles, node, sig (null for empty sets)."""
+    """(key, doc_id, text) -> key, doc_id, n_shingles, node, sig (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,78 +95,44 @@ def sketches(docs: DataFrame) -> DataFrame:
                 nodes = [_node(u[a:b]) if b > a else 0 for a, b in zip(off.tolist(), off[1:].tolist())]
                 packed = [s.tobytes() if k else None for s, k in zip(sig, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "did"), column(part, "th"), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["did", "th", "n_shingles", "node", "sig"]
+                    [column(part, "key"), column(part, "doc_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["key", "doc_id", "n_shingles", "node", "sig"]
                 )
 
-    return docs.mapInArrow(run, "did long, th int, n_shingles long, node long, sig binary")
-
-
-def _label(sig: Column, tree: int, depth: int) -> Column:
-    return F.concat(*[F.substring(sig, 2 * int(j) + 1, 2) for j in _ORDERS[tree][:depth]])
-
-
-def _forest_edges(nodes: DataFrame, agree: float) -> DataFrame:
-    """(node, sig), one row a node -> provisional links (a, b)."""
-    met = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(t), _label(F.col("sig"), t, DEPTH)) for t in range(TREES)])).alias("tree", "prefix"))
-    crowds = met.groupBy("tree", "prefix").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    live = met.join(crowds, ["tree", "prefix"]).join(nodes, "node")
-    # one more value of the order for each factor 0.8 by which the region is too crowded
-    depth = F.least(F.lit(DEPTH) + F.ceil(F.log(F.greatest(F.col("crowd") / CROWD, F.lit(1.0))) / float(np.log(1.25))), F.lit(HASHES // 4)).cast("int")
-    labels = F.array(*[_label(F.col("sig"), t, HASHES // 4) for t in range(TREES)])
-    live = live.withColumn("label", F.element_at(labels, F.col("tree") + 1)).withColumn("depth", depth).withColumn("bucket", F.xxhash64("tree", F.expr("substring(label, 1, 2 * depth)")))
-    live = live.select("bucket", "label", "node", "sig").repartition("bucket").sortWithinPartitions("bucket", "label", "node")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, n_shingles long, node long, sig binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sigs = None, [], []
-        out_a: list[int] = []
-        out_b: list[int] = []
-
-        def flush() -> None:
-            if len(names) > 1:
-                for a, b in _spanning_close(np.array(sigs), agree):
-                    out_a.append(names[a])
-                    out_b.append(names[b])
 
-        for batch in batches:
-            for bucket, node, sig in zip(*(column(batch, c).to_pylist() for c in ("bucket", "node", "sig"))):
-                if bucket != key:
-                    flush()
-                    key, names, sigs = bucket, [], []
-                elif len(names) >= 2 * CROWD:
-                    flush()
-                    names, sigs = names[-SWEEP:], sigs[-SWEEP:]
-                names.append(node)
-                sigs.append(np.frombuffer(sig, np.uint16))
-            if len(out_a) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                out_a, out_b = [], []
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return live.mapInArrow(run, "a long, b long").distinct()
-
-
-def _span(n: int, close) -> list[tuple[int, int]]:
-    """Spanning links of the graph in which i is tied to each j < i of ``close(i)``."""
+def _span(n: int, close, first: int = 1) -> np.ndarray:
+    """The group of each row in the graph in which each i >= first is tied to each j < i of
+    ``close(i)``; a group is named by one of its rows."""
     label = np.arange(n)
-    out = []
-    for i in range(1, n):
-        js = close(i)
-        for c in np.unique(label[js]):
+    for i in range(first, n):
+        for c in np.unique(label[close(i)]):
             if c != label[i]:
-                out.append((i, int(js[label[js] == c][0])))
                 label[label == c] = label[i]
-    return out
+    return label
+
+
+def _stars(names: list[int], label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links of each name to the smallest one of its group."""
+    order = np.lexsort((np.array(names, np.int64), label))
+    first = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
+    size = np.diff(np.concatenate((first, [len(order)])))
+    hub = np.repeat(order[first], size)
+    tied = np.flatnonzero(hub != order)
+    return [names[i] for i in order[tied]], [names[i] for i in hub[tied]]
 
 
-def _spanning_close(sig: np.ndarray, agree: float) -> list[tuple[int, int]]:
+def close_groups(sig: np.ndarray, agree: float, first: int = 1) -> np.ndarray:
+    """Groups of the signatures that agree in the share ``agree`` of their values, each row
+    from ``first`` on being compared with the rows before it."""
     need = int(np.ceil(agree * sig.shape[1]))
-    return _span(len(sig), lambda i: np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= need))
+    return _span(len(sig), lambda i: np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= need), first)
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning links among sets of hashes with 100 * intersection >= percent * union,
-    from bit rows over the hashes that at least two of the sets hold."""
+def exact_groups(sets: list[np.ndarray], percent: int, first: int = 1) -> np.ndarray:
+    """Groups of sets of hashes with 100 * intersection >= percent * union, each set from
+    ``first`` on being compared with the sets before it; from bit rows over the hashes that
+    at least two of the sets hold."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     values, which = np.unique(np.concatenate(sets), return_inverse=True)
@@ -162,95 +146,217 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     np.bitwise_or.at(bits, (o, s // 64), np.uint64(1) << (s % 64).astype(np.uint64))
 
     def close(i: int) -> np.ndarray:
-        both = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1, dtype=np.int64)
-        return np.flatnonzero(100 * both >= percent * (size[:i] + size[i] - both))
+        may = np.flatnonzero((100 * size[:i] >= percent * size[i]) & (100 * size[i] >= percent * size[:i]))
+        both = np.bitwise_count(bits[may] & bits[i]).sum(axis=1, dtype=np.int64)
+        return may[100 * both >= percent * (size[may] + size[i] - both)]
 
-    return _span(n, close)
+    return _span(n, close, first)
 
 
-def _confirmed_edges(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node, component, did, th), the provisional groups with a document for each node
-    -> confirmed links (a, b)."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = dealt.join(docs.hint("merge"), ["did", "th"]).select("component", "blocks", "block", "node", "text")
+def _links(units: DataFrame, groups) -> DataFrame:
+    """(unit, side, node, data), the units' rows together, side 0 first -> links (a, b) of the
+    nodes of each unit to the smallest one of their group by ``groups(data, first)``, where the
+    rows from ``first`` on are of side 1 (with no row of side 0 or none of side 1, all meet)."""
+    ordered = units.repartition("unit").sortWithinPartitions("unit", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names, held, first, last = None, [], [], 0, None
+
+        def found() -> pa.RecordBatch:
+            a, b = _stars(names, groups(held, first if first < len(held) else 1)) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                u, _, off = distinct(*shingles(column(part, "text")), part.num_rows)
-                sets = [u[a:b].tobytes() for a, b in zip(off, off[1:])]
-                yield pa.RecordBatch.from_arrays([column(part, c) for c in ("component", "blocks", "block", "node")] + [pa.array(sets, pa.binary())], ["component", "blocks", "block", "node", "hashes"])
+            for u, side, node, data in zip(*(column(batch, c).to_pylist() for c in ("unit", "side", "node", "data"))):
+                if u != unit:
+                    yield found()
+                    unit, names, held, first, last = u, [], [], 0, None
+                if (side, node) == last:  # a row that repeats
+                    continue
+                last = (side, node)
+                if side == 0:
+                    first += 1
+                names.append(node)
+                held.append(data)
+        yield found()
+
+    return ordered.select("unit", "side", "node", "data").mapInArrow(run, "a long, b long")
 
-    sets = rows.mapInArrow(to_sets, "component long, blocks int, block int, node long, hashes binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = sets.select("component", "block", "node", "hashes", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "hashes")
-    units = units.withColumn("unit", F.xxhash64("component", "i", "j")).repartition("unit").sortWithinPartitions("component", "i", "j", "node")
+
+def _by_signature(agree: float):
+    return lambda data, first: close_groups(np.frombuffer(b"".join(data), np.uint16).reshape(len(data), HASHES), agree, max(first, 1))
+
+
+def _by_sets(percent: int):
+    return lambda data, first: exact_groups([np.frombuffer(d, np.uint64) for d in data], percent, max(first, 1))
+
+
+def _outside(rows: DataFrame, size: int) -> DataFrame:
+    """(region, node, part, data), the parts that cheaper comparisons found in each region ->
+    units that compare the nodes outside of a region's largest part with all of its nodes, each
+    pair of different parts at least once. With one part there is no unit."""
+    parts = rows.groupBy("region", "part").agg(F.count("*").alias("n"))
+    best = parts.groupBy("region").agg(F.max_by("part", F.struct("n", "part")).alias("best"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    best = best.where("all > most").select("region", "best", F.ceil(F.col("all") / size).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / size).cast("int").alias("outer"))
+    dealt = rows.join(cut(best, "best"), "region").withColumn("x", F.xxhash64("node"))
+    every = dealt.select("region", "node", "data", F.pmod("x", "blocks").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.lit(0).alias("side"))
+    outer = dealt.where("part <> best").select("region", "node", "data", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.pmod("x", "outer").cast("int").alias("i"), F.lit(1).alias("side"))
+    return every.unionByName(outer).select(F.struct("region", "i", "j").alias("unit"), "side", "node", "data")
+
+
+def _forest_links(nodes: DataFrame, agree: float) -> DataFrame:
+    """(node, sig), one row a node -> provisional links (a, b)."""
+    met = _meetings(nodes)
+    crowds = cut(met.groupBy("root").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
+    live = met.join(crowds, "root").join(nodes.select("node", "sig"), "node")
+    close = _by_signature(agree)
+    plain = live.where(F.col("crowd") <= CROWD).select(F.col("root").alias("unit"), F.lit(0).alias("side"), "node", F.col("sig").alias("data"))
+    links = cut(_links(plain, close).distinct(), "links")
+    if crowds.where(F.col("crowd") > CROWD).isEmpty():
+        discard(crowds)
+        return links
+    crowded = cut(live.where(F.col("crowd") > CROWD), "crowded")
+    deep = cut(_deep_links(crowded, agree).unionByName(links).distinct(), "links")
+    near = components(deep)
+    rows = crowded.join(near, "node", "left").select(F.col("root").alias("region"), "node", F.coalesce("component", "node").alias("part"), F.col("sig").alias("data"))
+    out = cut(deep.unionByName(_links(_outside(rows, CROWD), close)).distinct(), "links")
+    discard(links, deep, near, crowded, crowds)
+    return out
+
+
+def _deep_links(crowded: DataFrame, agree: float) -> DataFrame:
+    """(node, tree, root, crowd, sig) of crowded regions -> links of neighbours in sorted order."""
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(batch.num_rows, HASHES)
+            tree, crowd = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("tree", "crowd"))
+            # one more value of the order for each factor 0.8 by which the region is too crowded
+            depth = np.minimum(DEPTH + np.ceil(np.log(crowd / CROWD) / np.log(1.25)), HASHES // 4).astype(int)
+            order = [sig[i, _ORDERS[t][: HASHES // 4]].astype(">u2").tobytes() for i, t in enumerate(tree)]
+            yield pa.RecordBatch.from_arrays([column(batch, "root"), pa.array([x[: 2 * d] for x, d in zip(order, depth)], pa.binary()), pa.array(order, pa.binary()), column(batch, "node"), column(batch, "sig")], ["root", "bucket", "label", "node", "sig"])
+
+    made = crowded.select("root", "tree", "crowd", "node", "sig").mapInArrow(labels, "root long, bucket binary, label binary, node long, sig binary")
+    live = made.repartition("root", "bucket").sortWithinPartitions("root", "bucket", "label", "node").select("root", "bucket", "node", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, held = None, [], []
+        key, names, sigs = None, [], []
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def flush() -> None:
+            if len(names) > 1:
+                for held, found in zip(out, _stars(names, close_groups(np.array(sigs), agree))):
+                    held.extend(found)
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+        for batch in batches:
+            for root, bucket, node, sig in zip(*(column(batch, c).to_pylist() for c in ("root", "bucket", "node", "sig"))):
+                if (root, bucket) != key:
+                    flush()
+                    key, names, sigs = (root, bucket), [], []
+                elif len(names) >= 2 * CROWD:
+                    flush()
+                    names, sigs = names[-SWEEP:], sigs[-SWEEP:]
+                names.append(node)
+                sigs.append(np.frombuffer(sig, np.uint16))
+            if len(out[0]) > 4096:
+                yield packed()
+                out[0].clear(), out[1].clear()
+        flush()
+        yield packed()
+
+    return live.mapInArrow(run, "a long, b long")
 
-        def links() -> pa.RecordBatch:
-            found = exact_links(held, percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found], pa.int64()), pa.array([names[b] for _, b in found], pa.int64())], ["a", "b"])
 
+def _shingle_sets(rows: DataFrame) -> DataFrame:
+    """(component, size, node, text) -> component, size, node, data (the hashes of its set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, i, j, node, data in zip(*(column(batch, c).to_pylist() for c in ("component", "i", "j", "node", "hashes"))):
-                if (c, i, j) != key:
-                    yield links()
-                    key, names, held = (c, i, j), [], []
-                if not names or names[-1] != node:
-                    names.append(node)
-                    held.append(np.frombuffer(data, np.uint64))
-        yield links()
+            for part in slices(batch, "text"):
+                u, _, off = distinct(*shingles(column(part, "text")), part.num_rows)
+                sets = [u[a:b].tobytes() for a, b in zip(off, off[1:])]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("component", "size", "node")), pa.array(sets, pa.binary())], ["component", "size", "node", "data"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return rows.select("component", "size", "node", "text").mapInArrow(run, "component long, size long, node long, data binary")
+
+
+def _confirmed_links(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(node, component, key), the provisional groups with a document for each node
+    -> confirmed links (a, b)."""
+    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")  # apart, so that the join may split a hot group
+    texts = docs.select("key", "text").hint("merge").join(groups.join(sizes, "component"), "key")
+    sets = cut(_shingle_sets(texts), "sets")  # rows that repeat share a key and so come again
+    discard(sizes)
+    exact = _by_sets(percent)
+    large = F.col("size") > BLOCK
+    small = sets.where(~large).select(F.struct("component", F.lit(0).alias("i")).alias("unit"), F.lit(0).alias("side"), "node", "data")
+    blocks = sets.where(large).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    own = blocks.select(F.struct("component", "i").alias("unit"), F.lit(1).alias("side"), "node", "data")
+    # the group's smallest nodes, one block of each group, meet every block
+    hub = blocks.where("i = 0 and n > 1").select("component", F.explode(F.expr("sequence(1, n - 1)")).alias("i"), "node", "data").select(F.struct("component", "i").alias("unit"), F.lit(0).alias("side"), "node", "data")
+    links = cut(_links(small.unionByName(own).unionByName(hub), exact), "confirmed")
+    if sets.where(large).isEmpty():
+        discard(sets)
+        return links
+    found = components(links)
+    rows = sets.where(large).join(found.withColumnRenamed("component", "part"), "node", "left").select(F.col("component").alias("region"), "node", F.coalesce("part", "node").alias("part"), "data")
+    out = cut(links.unionByName(_links(_outside(rows, BLOCK), exact)), "confirmed")
+    discard(sets, links, found)
+    return out
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """did, th, n_shingles, component, cluster for every row: documents are linked when
+    """key, doc_id, n_shingles, component, cluster for every row: documents are linked when
     100 * intersection >= percent * union of their shingle sets, ``component`` is the
-    smallest did that links reach (did is doc_id, or ``NO_ID`` for null) and ``cluster``
-    names the group (null for an empty set, which is linked with nothing)."""
+    smallest doc_id that links reach (null first) and ``cluster`` names the group (null for
+    an empty set, which is linked with nothing)."""
     docs = keyed(documents)
     all_rows = cut(sketches(docs), "sketches")
     some = all_rows.where("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct("did", "th")).alias("one"), F.min("sig").alias("sig"))
-    nodes = cut(nodes.select("node", "one.did", "one.th", "sig"), "nodes")
+    # any row of a node may stand for it; the smallest id is taken apart, nulls first
+    nodes = some.groupBy("node").agg(F.first("key").alias("key"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"), F.first("sig").alias("sig"))
+    nodes = cut(nodes.select("node", "key", F.when(~F.col("none"), F.col("least")).alias("doc_id"), "sig"), "nodes")
     j = percent / 100
     agree = j - 4 * (j * (1 - j) / HASHES) ** 0.5
-    near = components(_forest_edges(nodes.select("node", "sig"), agree))
-    groups = cut(near.join(nodes.select("node", "did", "th"), "node"), "groups")
-    links = cut(_confirmed_edges(groups, docs, percent), "links")
+    forest = _forest_links(nodes, agree)
+    near = components(forest)
+    groups = cut(near.join(nodes.select("node", "key"), "node"), "groups")
+    links = _confirmed_links(groups, docs, percent)
     parts = components(links)
-    discard(near, groups, links)
-    first = parts.join(nodes.select("node", "did"), "node").groupBy("component").agg(F.min("did").alias("least"))
-    of_node = nodes.select("node", "did").join(parts.join(first, "component").select("node", "least", F.col("component").alias("cluster")), "node", "left").select("node", F.coalesce("least", "did").alias("component"), F.coalesce("cluster", "node").alias("cluster"))
-    joined = all_rows.select("did", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    out = joined.select("did", "th", "n_shingles", F.coalesce("component", "did").alias("component"), "cluster")
-    out.sources = (all_rows, nodes, parts)
+    discard(forest, near, groups, links)
+    first = parts.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none"))
+    of_part = first.select("component", F.when(~F.col("none"), F.col("least")).alias("least"))
+    of_node = parts.join(of_part, "component").select("node", "least", F.col("component").alias("cluster"))
+    lone = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.when(F.col("cluster").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component"), F.coalesce("cluster", "node").alias("cluster"))
+    lone = cut(lone, "near-groups")
+    discard(nodes, parts)
+    joined = all_rows.select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(lone, "node", "left")
+    out = joined.select("key", "doc_id", "n_shingles", F.when(F.col("cluster").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component"), "cluster")
+    out = cut(out, "near-duplicates")
+    discard(all_rows, lone)
     return out
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """``documents``, all columns, with one row of each group of near duplicates: the one of
-    the smallest id. Texts without words all stay."""
-    found = near_duplicates(documents, percent)
-    rows = cut(found, "near-duplicates")
-    discard(*found.sources)
-    grouped = rows.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
-    kept = grouped.unionByName(rows.where("cluster is null").select("did", "th").distinct())
-    out = with_row(documents).hint("merge").join(kept, ["did", "th"], "left_semi")
-    copies = rows.where("cluster is not null").groupBy("did", "th").agg(F.count("*").alias("n")).where("n > 1")
+    """``documents``, all columns, with one row of each group of near duplicates: one of the
+    smallest id. Texts without words all stay."""
+    rows = near_duplicates(documents, percent)
+    grouped = rows.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct(id_order(), "key")).alias("k")).select("k.key")
+    kept = grouped.unionByName(rows.where("cluster is null").select("key").distinct())
+    out = with_row(documents).hint("merge").join(kept, "key", "left_semi")
+    copies = rows.where("cluster is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if not copies.isEmpty():  # whole rows that repeat: one stays
         wordless = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")) == 0
-        out = out.where(~wordless).dropDuplicates(["did", "th"]).unionByName(out.where(wordless))
+        out = out.where(~wordless).dropDuplicates(["key"]).unionByName(out.where(wordless))
     return out.select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_documents(spark, sf_dir), 85)
-    return out.select(doc_id_of("did").alias("doc_id"), "n_shingles", doc_id_of("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS ws FROM documents),
