@@ -13,18 +13,20 @@ and every passage is a query:
 * the others are run through the block-max WAND loop on the blocks that can, which
   returns every item at or above the threshold.
 
-A retrieved item is verified on five-word shingles: at least ``CONTAINED`` of the item's
-shingles must lie in the passage, and at least half of the words of its answer (the last
-sentence, or the last fifth of a single one).
+A retrieved item is verified part by part: at least ``CONTAINED`` of the five-word shingles
+of its question must lie in the passage, and at least ``ANSWER`` of the words of its answer
+(the last sentence, or the last fifth of a single one). A question alone, or an answer
+alone, is no contamination; a part without words asks for nothing.
 
-Items are indexed in blocks of ``INDEX_ITEMS`` of similar length, each a broadcast of
-bounded size and one pass over the texts, so a large benchmark needs more passes,
-not more memory.
+Items are indexed by classes of similar length. Indexes of at most ``INDEX_ITEMS`` items and
+``INDEX_BYTES`` bytes together share one pass over the texts and their hashed words, so a
+large benchmark needs more passes, not more memory.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Defined edge
 cases: null and empty texts are clean; items without words are never found; an item of
-fewer than five words has one shingle, its word sequence; repeated rows get the same
-verdict each; an empty benchmark leaves every text clean; an empty table gives no rows.
+fewer than five words, and a question of fewer, has to occur as its word sequence; repeated
+rows get the same verdict each; an empty benchmark leaves every text clean; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,19 +34,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, doc_id_of, filter_rows, keyed, read_documents, slices
+from ._common import column, cut, filter_rows, keyed, read_documents, slices
 from ._kernels import buffer, combine_words, prefix_hash, span_hash, words
 
 RETRIEVE = 0.5
 CONTAINED = 0.8
 ANSWER = 0.5
 INDEX_ITEMS = 20_000
+INDEX_BYTES = 32 << 20
+ENTRIES = 1 << 21
 ITEM_BLOCK = 2
 K1, B = 1.2, 0.75
 _WORD = np.zeros(256, dtype=bool)
@@ -58,6 +63,23 @@ def _hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (span_hash(prefix_hash(data, lower=True), start, end) if len(start) else np.empty(0, np.uint64)), doc
 
 
+def _by_text(texts) -> list[np.ndarray]:
+    """The word hashes of each text, in order."""
+    hashes, doc = _hashes(pa.array(list(texts), pa.string()))
+    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [hashes[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def _occurs(words: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether a word sequence occurs in the passage; one without words does."""
+    if not len(words):
+        return True
+    same = np.ones(max(len(passage) - len(words) + 1, 0), dtype=bool)
+    for j, w in enumerate(words):
+        same &= passage[j : j + len(same)] == w
+    return bool(same.any())
+
+
 def split_answer(text: str) -> tuple[str, str]:
     """(question, answer) of an item."""
     parts = [p for p in _SENTENCE.split(text.strip()) if p]
@@ -115,12 +137,9 @@ class ItemIndex:
         # direct addressing by 16 bits before the binary search
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        sh, sd = combine_words(hashes, doc, n)
-        edge = np.searchsorted(sd, np.arange(n + 1))
-        self.shingles = [np.unique(sh[a:b]) for a, b in zip(edge, edge[1:])]
-        answers = [split_answer(x)[1] for x in self.texts]
-        ah, ad = _hashes(pa.array(answers, pa.string()))
-        self.answers = [np.unique(ah[ad == i]) for i in range(n)]
+        questions, answers = zip(*map(split_answer, self.texts)) if n else ((), ())
+        self.questions = [q if len(w) >= 5 else w for q, w in zip(_by_text(questions), _by_text(self.texts))]
+        self.answers = [np.unique(a) for a in _by_text(answers)]
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words of no item."""
@@ -182,38 +201,22 @@ class ItemIndex:
         return float(self.block_top[i]) if i < b and self.blocks[i] == block else 0.0
 
     def verify(self, item: int, passage: np.ndarray) -> bool:
-        """Whether the words of a passage hold the item's question and answer."""
-        size = len(self.shingles[item])
-        if not size:
-            return False
-        n = len(passage)
-        count = None
-        sh, _ = combine_words(passage, np.zeros(n, np.int64), 1)
-        if size == 1:
-            count = self._short(item, passage)
-        held = int(np.isin(self.shingles[item], sh).sum()) if count is None else count
-        if held < CONTAINED * size:
-            return False
-        answer = self.answers[item]
+        """Whether the words of a passage hold the item's question and its answer."""
+        question, answer = self.questions[item], self.answers[item]
+        if len(question) < 5:
+            if not _occurs(question, passage):
+                return False
+        else:
+            shingles, held = (np.unique(combine_words(x, np.zeros(len(x), np.int64), 1)[0]) for x in (question, passage))
+            if np.isin(shingles, held, assume_unique=True).sum() < CONTAINED * len(shingles):
+                return False
         return not len(answer) or np.isin(answer, passage).mean() >= ANSWER
 
-    def _short(self, item: int, passage: np.ndarray) -> int | None:
-        """For an item of at most five words: 1 if its word sequence occurs in the passage."""
-        seq, _ = _hashes(pa.array([self.texts[item]], pa.string()))
-        k = len(seq)
-        if len(passage) < k:
-            return 0
-        same = np.ones(len(passage) - k + 1, dtype=bool)
-        for j in range(k):
-            same &= passage[j : j + len(same)] == seq[j]
-        return int(same.any())
-
-    def hits(self, arr: pa.Array) -> list[tuple[int, int, float]]:
-        """(text index, item index, score) of every verified item of every text."""
-        hashes, doc = _hashes(arr)
+    def hits(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> list[tuple[int, int, float]]:
+        """(text index, item index, score) of every verified item of each of n texts, from the
+        hashes of their words and the text of each."""
         if not len(hashes) or not len(self.vocabulary):
             return []
-        n = len(arr)
         step = self.span
         begin = np.searchsorted(doc, np.arange(n + 1))
         count = np.diff(begin)
@@ -231,15 +234,11 @@ class ItemIndex:
         pair = np.unique(window * len(self.vocabulary) + t)
         window, t = pair // len(self.vocabulary), pair % len(self.vocabulary)
         size = self.block_first[t + 1] - self.block_first[t]
-        after = np.cumsum(size)
-        if not len(after) or not after[-1]:
+        if not size.sum():
             return []
-        entry = np.repeat(self.block_first[t] - after + size, size) + np.arange(after[-1])
-        cell = np.repeat(window, size) * self.n_blocks + self.blocks[entry]
-        cells, which = np.unique(cell, return_inverse=True)
-        bound = np.bincount(which, weights=self.block_top[entry]) + self.common_bound[cells % self.n_blocks]
+        cells = self._promising(window, t, size)
         out: dict[tuple[int, int], float] = {}
-        for cell in cells[bound >= RETRIEVE - 1e-9].tolist():
+        for cell in cells.tolist():
             w, block = divmod(cell, self.n_blocks)
             i = int(np.searchsorted(base, w, side="right")) - 1
             a = begin[i] + (w - base[i]) * step
@@ -250,65 +249,92 @@ class ItemIndex:
                     out[i, item] = max(score, out.get((i, item), 0.0))
         return [(i, item, s) for (i, item), s in out.items()]
 
-
-def item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes of at most INDEX_ITEMS items, of lengths within a factor of four."""
+    def _promising(self, window: np.ndarray, t: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(window, block) cells whose bound reaches the threshold, from the sorted (window,
+        term) pairs and the blocks of each term; windows are taken together up to ENTRIES."""
+        first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        upto = np.cumsum(np.add.reduceat(size, first))
+        out, done = [], 0
+        while done < len(first):
+            last = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + ENTRIES, side="right")))
+            pairs = slice(first[done], first[last] if last < len(first) else len(window))
+            w, x, k = window[pairs], t[pairs], size[pairs]
+            after = np.cumsum(k)
+            entry = np.repeat(self.block_first[x] - after + k, k) + np.arange(after[-1])
+            cells, which = np.unique(np.repeat(w, k) * self.n_blocks + self.blocks[entry], return_inverse=True)
+            bound = np.bincount(which, weights=self.block_top[entry], minlength=len(cells)) + self.common_bound[cells % self.n_blocks]
+            out.append(cells[bound >= RETRIEVE - 1e-9])
+            done = last
+        return np.concatenate(out)
+
+
+def item_indexes(benchmark: DataFrame) -> Iterator[list[ItemIndex]]:
+    """Indexes of items of lengths within a factor of four, those of one pass together."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("size", F.floor(F.log(4.0, F.greatest(F.length("text"), F.lit(1)) / 400.0)).cast("int")).withColumn("size", F.greatest("size", F.lit(0)))
-    sizes = rows.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()
+    rows = rows.withColumn("size", F.greatest(F.floor(F.log(4.0, F.greatest(F.length("text"), F.lit(1)) / 400.0)).cast("int"), F.lit(0)))
+    sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).orderBy("size").collect()
+    held, items, size = [], 0, 0
     for s in sizes:
-        parts = -(-s.n // INDEX_ITEMS)
+        parts = max(-(-s.n // INDEX_ITEMS), -(-(s.b or 0) // INDEX_BYTES))
         for p in range(parts):
             block = rows.where((F.col("size") == s["size"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p))
-            found = block.select("item_id", "text").orderBy("item_id", "text").collect()  # about INDEX_ITEMS rows
-            yield ItemIndex([r.item_id for r in found], [r.text for r in found])
+            found = block.select("item_id", "text").orderBy("item_id", "text").collect()  # about INDEX_ITEMS rows, INDEX_BYTES bytes
+            more = sum(len(r.text) for r in found)
+            if held and (items + len(found) > INDEX_ITEMS or size + more > INDEX_BYTES):
+                yield held
+                held, items, size = [], 0, 0
+            held, items, size = [*held, ItemIndex([r.item_id for r in found], [r.text for r in found])], items + len(found), size + more
+    if held:
+        yield held
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(did, th, item_id, score): the verified items of every text; (did, th) is the row key."""
-    docs = keyed(documents)
-    hits = None
-    for index in item_blocks(benchmark):
-        part = docs.mapInArrow(_scan(documents.sparkSession, index), "did long, th int, item_id long, score double")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return documents.sparkSession.createDataFrame([], "did long, th int, item_id long, score double")
-    return hits
+def _hits(indexes: list[ItemIndex], texts: pa.Array) -> Iterator[tuple[int, int, float]]:
+    """(text index, item id, score) of every verified item of the indexes."""
+    hashes, doc = _hashes(texts)
+    for x in indexes:
+        for i, item, score in x.hits(hashes, doc, len(texts)):
+            yield i, x.item_ids[item], score
 
 
-def _scan(spark: SparkSession, index: ItemIndex):
-    held = spark.sparkContext.broadcast(index)
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, item_id, score): the verified items of every text."""
+    docs, spark = keyed(documents), documents.sparkSession
+    found = []
+    for indexes in item_indexes(benchmark):
+        held = spark.sparkContext.broadcast(indexes)
+        found.append(cut(docs.select("key", "text").mapInArrow(_scan(held), "key binary, item_id long, score double"), "contamination"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "key binary, item_id long, score double")
+
 
+def _scan(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = held.value
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                hits = x.hits(column(part, "text"))
+                hits = list(_hits(held.value, column(part, "text")))
                 if hits:
-                    rows = pa.array([h[0] for h in hits], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [column(part, "did").take(rows), column(part, "th").take(rows), pa.array([x.item_ids[h[1]] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())], ["did", "th", "item_id", "score"]
-                    )
+                    rows, items, scores = zip(*hits)
+                    yield pa.RecordBatch.from_arrays([column(part, "key").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64())], ["key", "item_id", "score"])
 
     return run
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """did, th, items (sorted item ids), best_score for every row; no items: clean."""
+    """key, doc_id, items (sorted item ids), best_score for every row; no items: clean."""
     hits = contamination(documents, benchmark)
-    by_doc = hits.groupBy("did", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("best_score"))
-    rows = keyed(documents).select("did", "th")
-    return rows.join(by_doc, ["did", "th"], "left").select("did", "th", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
+    by_doc = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("best_score"))
+    rows = keyed(documents).select("key", "doc_id")
+    return rows.join(by_doc, "key", "left").select("key", "doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, in which no item is found."""
-    for index in item_blocks(benchmark):
-        held = documents.sparkSession.sparkContext.broadcast(index)
+    for indexes in item_indexes(benchmark):
+        held = documents.sparkSession.sparkContext.broadcast(indexes)
 
         def clean(texts: pa.Array, held=held) -> np.ndarray:
             keep = np.ones(len(texts), dtype=bool)
-            keep[[h[0] for h in held.value.hits(texts)]] = False
+            keep[[h[0] for h in _hits(held.value, texts)]] = False
             return keep
 
         documents = filter_rows(documents, clean)
@@ -317,4 +343,4 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select(doc_id_of("did").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "best_score", (F.size("items") == 0).alias("kept"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").alias("n_items"), "items", "best_score", (F.size("items") == 0).alias("kept"))
