@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from ._common import column, read_documents, select_documents, slices
 from ._kernels import mix, shingles
-from .token_files import range_bounds, range_of
 
 BINS = 256
 BITS = 8
+#: Text of a range of documents, which one task fingerprints in order.
+RANGE_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=4096)
@@ -112,29 +114,65 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     return select_documents(documents).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Inner bounds of ranges of (doc_id, text hash); a row equal to a bound lies below it."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for i in np.flatnonzero(low < high):  # rows of an id that is a bound's
+            low[i] += np.searchsorted(self.hashes[low[i] : high[i]], hashes[i], "left")
+        return low
+
+
+#: Sorts null ids first; an id of the same value sorts with them, by its text.
+_FIRST = -(1 << 63)
+
+
+def range_bounds(ids: DataFrame, n_ranges: int) -> Ranges:
+    """(o, h) -> bounds of about ``n_ranges`` ranges of equally many rows, found by Spark's
+    range partitioning of these narrow rows. One row for each range reaches the driver."""
+    parts = ids.repartitionByRange(max(1, n_ranges), "o", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("o", "h")).alias("b"))
+    found = sorted((r.b.o, r.b.h) for r in parts.collect())[:-1]
+    return Ranges(np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], np.int64))
+
+
 def with_successor(documents: DataFrame, n_ranges: int) -> DataFrame:
     """Rows (range, doc_id, text, ahead) so partitioned and sorted that each document is
-    followed by the next one of the whole table: ranges of doc_id, each closed by a copy
-    (``ahead``) of the first document of the next range that has one; the last range is
-    closed by the table's first document. Text moves once."""
-    docs = select_documents(documents)
-    bounds = range_bounds(docs, n_ranges)
-    ids = docs.select("doc_id").withColumn("range", range_of(bounds).cast("int"))
-    low = ids.groupBy("range").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("range").collect()  # a row for each range
-    placed = docs.withColumn("range", range_of(bounds).cast("int"))
-    if not low:
-        return placed.withColumn("ahead", F.lit(False)).select("range", "doc_id", "text", "ahead")
-    starts = {}
-    for i, r in enumerate(low):
-        closes = low[i - 1].range  # for the first range, the last one
-        starts[closes] = (r.range, None if r.nulls else r.low)
-    # the smallest row of a range closes the range before it; among equal ids, the smallest text
-    rows = [(closes, own, first) for closes, (own, first) in starts.items()]
-    marks = documents.sparkSession.createDataFrame(rows, "closes int, own int, first long")
-    joined = placed.select("range", "doc_id", "text").join(F.broadcast(marks), (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    firsts = joined.groupBy("closes").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("f")).select(F.col("closes").alias("range"), "f.doc_id", "f.text", F.lit(True).alias("ahead"))
-    both = placed.withColumn("ahead", F.lit(False)).select("range", "doc_id", "text", "ahead").unionByName(firsts)
-    return both.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    followed by the next one of the whole table: ranges of (doc_id, text hash), each closed
+    by a copy (``ahead``) of the first document of the next range that has one; the last
+    range is closed by the table's first document. Text moves once."""
+    docs = select_documents(documents).select(F.coalesce("doc_id", F.lit(_FIRST)).alias("o"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    bounds = range_bounds(docs.select("o", "h"), n_ranges)
+    held = documents.sparkSession.sparkContext.broadcast(bounds)  # 16 bytes a range
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = held.value.of(*(column(batch, c).to_numpy(zero_copy_only=False) for c in ("o", "h")))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns], ["range", *batch.schema.names])
+
+    firsts = docs.select("o", "h").mapInArrow(ranges, "range int, o long, h long").groupBy("range").agg(F.min(F.struct("o", "h")).alias("f"))
+    low = sorted((r.range, r.f.o, r.f.h) for r in firsts.collect())  # a row for each range
+    closes = {(o, h): low[i - 1][0] for i, (_, o, h) in enumerate(low)}  # the first range's first row closes the last range
+    closing = documents.sparkSession.sparkContext.broadcast(closes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                o, h = (column(part, c).to_numpy(zero_copy_only=False) for c in ("o", "h"))
+                names = ["range", "o", "h", "doc_id", "text", "ahead"]
+                columns = [column(part, c) for c in names[1:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.of(o, h).astype(np.int32)), *columns, pa.array(np.zeros(len(o), bool))], names)
+                also = [(i, closing.value[k]) for i, k in enumerate(zip(o.tolist(), h.tolist())) if k in closing.value]
+                if also:
+                    rows = pa.array([i for i, _ in also])
+                    yield pa.RecordBatch.from_arrays([pa.array([c for _, c in also], pa.int32()), *(c.take(rows) for c in columns), pa.array([True] * len(also))], names)
+
+    placed = docs.mapInArrow(place, "range int, o long, h long, doc_id long, text string, ahead boolean")
+    return placed.repartitionById(len(bounds.ids) + 1, F.col("range")).sortWithinPartitions("range", "ahead", "o", "h", "text").select("range", "doc_id", "text", "ahead")
 
 
 def edited_text(text: str, successor: str) -> str:
@@ -170,6 +208,8 @@ def fingerprint_edits(documents: DataFrame, n_ranges: int) -> DataFrame:
         size = 0
         for batch in batches:
             for d, t, ahead in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "ahead"))):
+                if ahead and not held:  # a copy of a closing row that has done its work
+                    continue
                 if held and (ahead or size > 1 << 20):
                     yield block(held, t)
                     held, size = [], 0
@@ -186,4 +226,4 @@ def fingerprint_edits(documents: DataFrame, n_ranges: int) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_documents(spark, sf_dir)
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return fingerprint_edits(documents, max(1, min(20000, total // (16 << 20))))
+    return fingerprint_edits(documents, max(1, total // RANGE_BYTES))

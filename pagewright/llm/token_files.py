@@ -6,18 +6,20 @@ File layout (all integers little-endian)::
 
 Each frame is one document's ids (uint16 or uint32 by ``id_bytes``), compressed by
 itself and with zstandard's content checksum. The seek table is one zstandard frame
-over arrays of doc_id (int64), frame length (uint32), token count (uint32) and the
-crc32 of the ids as uint32 (uint32). The footer is ``table length u64 | documents
+over arrays of doc_id (int64), frame length (uint32), token count (uint32), the crc32 of
+the ids as uint32 (uint32) and whether the doc_id is null (uint8). The footer is ``table length u64 | documents
 u64 | tokens u64 | id_bytes u32 | magic u32``. A reader fetches the footer, the
 table and then only the frames of the documents that it wants.
 
-Documents lie in ascending doc_id order within and across files; the files are
-ranges of doc_id holding about ``file_bytes`` of text each. Every file is written
-under an attempt's own name and then moved, so a retried task replaces it whole.
+Documents lie in ascending doc_id order within and across files; the files are ranges
+of (doc_id, text hash, row number) holding about ``file_bytes`` of text each, so that even
+rows of one id are dealt to several files. Every file is written under an attempt's own
+name and then moved, so a retried task replaces it whole.
 
 Defined edge cases: a null or empty text gives the end id alone; equal doc_ids lie
-next to one another, ordered by their ids' checksum and length; null doc_ids come
-first; an empty table gives no files and no rows.
+next to one another, ordered by a hash of their texts; null doc_ids come first and are
+marked in the seek table; strings of the vocabulary's special tokens get their ids, as
+the library gives them; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,8 +45,7 @@ from ._kernels import buffer, prefix_hash, span_hash, words
 
 VOCABULARY = "word_bpe_49k.json"
 _FOOTER = struct.Struct("<QQQII")
-_MAGIC = 0x315A4B54
-_NULL_ID = -(1 << 63)
+_MAGIC = 0x325A4B54
 
 
 class WordEncoder:
@@ -55,13 +57,14 @@ class WordEncoder:
     order. A full stop or comma that ends a chunk after a letter is a piece of its
     own for the pattern and so a chunk here. Chunks are known by the 64-bit hash of
     their bytes, A-Z lower-cased; unknown ones are encoded together, with a mark
-    between them that no such chunk holds. The memory is emptied when full."""
+    between them that no such chunk holds. The memory is emptied when full. Texts that
+    hold the string of a special token go to the library whole."""
 
     MARK = "\ue000"
 
     def __init__(self, path: str, capacity: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.capacity = capacity
         self.mark = np.array(self._ids(self.MARK), dtype="<u4")
         self._forget()
@@ -75,8 +78,29 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_many(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets by text) of a string column."""
+        """(all ids, offsets by text) of a string column without nulls."""
         data, offsets = buffer(arr)
+        apart = self._with_special(data, offsets)
+        if not len(apart):
+            return self._encode_chunks(data, offsets)
+        texts = arr.to_pylist()
+        flat, at = self._encode_chunks(*buffer(pa.array(["" if i in set(apart.tolist()) else t for i, t in enumerate(texts)], pa.string())))
+        ids = [flat[a:b] for a, b in zip(at, at[1:])]
+        for i in apart.tolist():
+            ids[i] = np.array(self._ids(texts[i]), dtype="<u4")
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+
+    def _with_special(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold the string of a special token."""
+        raw, found = data.tobytes(), []
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return np.unique(np.searchsorted(offsets, np.array(found, np.int64), side="right") - 1)
+
+    def _encode_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(offsets) - 1
         start, end, doc = _chunks(data, offsets)
         if not len(start):
@@ -155,27 +179,14 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
-def encode_frames(documents: DataFrame, end_id: int, id_bytes: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, frame) for every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=1, write_checksum=True)
-        tail = np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for part in slices(batch, "text"):
-                n, crc, frames = [], [], []
-                flat, at = enc.encode_many(column(part, "text"))
-                for a, b in zip(at.tolist(), at[1:].tolist()):
-                    ids = np.concatenate((flat[a:b], tail))
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(ids.tobytes()))
-                    frames.append(pack.compress(ids.astype(f"<u{id_bytes}").tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())],
-                    ["doc_id", "n_tokens", "ids_crc32", "frame"],
-                )
-
-    return select_documents(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, frame binary")
+def encode_frames(texts: pa.Array, end_id: int, id_bytes: int, vocabulary: str) -> Iterator[tuple[int, int, bytes]]:
+    """(number of ids, their crc32, frame) of each text of a column without nulls."""
+    enc, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=1, write_checksum=True)
+    tail = np.array([end_id], dtype="<u4")
+    flat, at = enc.encode_many(texts)
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        ids = np.concatenate((flat[a:b], tail))
+        yield len(ids), zlib.crc32(ids.tobytes()), pack.compress(ids.astype(f"<u{id_bytes}").tobytes())
 
 
 class FileWriter:
@@ -187,16 +198,16 @@ class FileWriter:
         self.final, self.temporary = f"{root}/{name}", f"{root}/_{name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         self.id_bytes = id_bytes
-        self.rows: list[tuple[int, int, int, int]] = []
+        self.rows: list[tuple[int, int, int, int, bool]] = []
 
     def add(self, doc_id: int | None, n: int, crc: int, frame: bytes) -> None:
         self.out.write(frame)
-        self.rows.append((_NULL_ID if doc_id is None else doc_id, len(frame), n, crc))
+        self.rows.append((doc_id or 0, len(frame), n, crc, doc_id is None))
 
     def close(self) -> tuple[int, int]:
-        ids, lengths, counts, crcs = zip(*self.rows)
+        ids, lengths, counts, crcs, nulls = zip(*self.rows)
         tokens = int(np.sum(counts, dtype=np.int64))
-        table = np.array(ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + np.array(counts, "<u4").tobytes() + np.array(crcs, "<u4").tobytes()
+        table = np.array(ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + np.array(counts, "<u4").tobytes() + np.array(crcs, "<u4").tobytes() + np.array(nulls, "u1").tobytes()
         packed = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(table)
         self.out.write(packed)
         self.out.write(_FOOTER.pack(len(packed), len(ids), tokens, self.id_bytes, _MAGIC))
@@ -217,6 +228,7 @@ class TokenFile:
             raise ValueError(f"{uri} is not a token file")
         raw = zstandard.ZstdDecompressor().decompress(self.file.read_at(table_len, size - _FOOTER.size - table_len))
         self.doc_ids = np.frombuffer(raw, "<i8", n)
+        self.nulls = np.frombuffer(raw, "u1", n, 20 * n).astype(bool)
         lengths, self.counts, self.crcs = (np.frombuffer(raw, "<u4", n, 8 * n + 4 * n * k).astype(np.int64) for k in range(3))
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
         self.unpack = zstandard.ZstdDecompressor()
@@ -247,52 +259,27 @@ class TokenFile:
         self.file.close()
 
 
-def range_bounds(documents: DataFrame, n_ranges: int) -> list[int]:
-    """Upper bounds of ``n_ranges - 1`` ranges of doc_id with about equally many rows,
-    from a sketch of the id column alone (fixed size)."""
-    if n_ranges <= 1:
-        return []
-    marks = [i / n_ranges for i in range(1, n_ranges)]
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile_approx("doc_id", marks, 20000).alias("b")).first().b
-    return sorted(set(found or []))
-
-
-def range_of(bounds: list[int]):
-    """Index of the range that holds doc_id (null ids: the first)."""
-    if not bounds:
-        return F.lit(0)
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(marks, lambda b: b < F.col("doc_id"))), F.lit(0))
-
-
 def write_token_files(documents: DataFrame, folder: str, end_id: int, file_bytes: int = 64 << 20, vocabulary: str = VOCABULARY) -> DataFrame:
     """Write the files and return their manifest (file, n_docs, n_tokens, start), where
     ``start`` is the number of ids in all files before; one row a file."""
-    total = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    bounds = range_bounds(documents, max(1, min(20000, -(-total // file_bytes))))
-    n = len(bounds) + 1
-    frames = encode_frames(documents, end_id, vocabulary=vocabulary).withColumn("file", range_of(bounds).cast("int"))
-    ordered = frames.repartitionById(n, F.col("file")).sortWithinPartitions("file", "doc_id", "ids_crc32", "n_tokens")
+    docs = select_documents(documents)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    ordered = named.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, current, done = None, None, []
-
-        def finish() -> None:
-            if writer is not None:
-                done.append((current, *writer.close()))
-
+        file = TaskContext.get().partitionId()
+        writer = None
         for batch in batches:
-            cols = [column(batch, c).to_pylist() for c in ("file", "doc_id", "n_tokens", "ids_crc32", "frame")]
-            for f, doc_id, count, crc, frame in zip(*cols):
-                if f != current:
-                    finish()
-                    writer, current = FileWriter(folder, f"tokens-{f:06d}.tkz", 2), f
-                writer.add(doc_id, count, crc, frame)
-        finish()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64()))], ["file", "n_docs", "n_tokens"])
-
-    written = cut(ordered.mapInArrow(run, "file int, n_docs long, n_tokens long"), "token-manifest")
+            for part in slices(batch, "text"):
+                for doc_id, made in zip(column(part, "doc_id").to_pylist(), encode_frames(column(part, "text"), end_id, 2, vocabulary)):
+                    writer = writer or FileWriter(folder, f"tokens-{file:06d}.tkz", 2)
+                    writer.add(doc_id, *made)
+        if writer is not None:
+            n_docs, n_tokens = writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["file", "n_docs", "n_tokens"])
+
+    written = cut(ordered.select("doc_id", "text").mapInArrow(run, "file int, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
@@ -311,7 +298,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 t.close()
                 n = np.array(n, np.int64)
                 at = start + np.cumsum(n) - n
-                ids = pa.array(t.doc_ids, pa.int64(), mask=t.doc_ids == _NULL_ID)
+                ids = pa.array(t.doc_ids, pa.int64(), mask=t.nulls)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())

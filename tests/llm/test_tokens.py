@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import zlib
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from pagewright.llm import _kernels as K
 from pagewright.llm import bpe as B
 from pagewright.llm import fingerprints as P
 from pagewright.llm import token_files as T
@@ -16,7 +18,7 @@ from pagewright.llm._common import shared_dir
 
 from . import fixtures as X
 
-_PIECES = ["a", "bc", " ", "  ", "\n", "\t", "'s", "12", "é", " ", "　", "!", "​", "̈", ".", ",", "Σ", "İ", "<|endoftext|>", "\x1c", "\x0b", "\x85", "\ue000"]
+_PIECES = ["a", "bc", " ", "  ", "\n", "\t", "'s", "12", "é", " ", "　", "!", "​", "̈", ".", ",", "Σ", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>.", "<|", "\x1c", "\x0b", "\x85", "\ue000"]
 
 
 def noise(seed, n):
@@ -49,7 +51,6 @@ def test_encode_decode_and_round_trip(spark):
 
 def test_chunk_memory_equals_the_library():
     plain = Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
-    plain.encode_special_tokens = True
     enc = T.WordEncoder(public_tokenizers.path(T.VOCABULARY), capacity=200)
     for k in range(40):
         texts = [noise(1000 + 10 * k + i, 80) for i in range(10)]
@@ -59,18 +60,21 @@ def test_chunk_memory_equals_the_library():
 
 def test_token_files(spark):
     folder = shared_dir(spark, "files")
-    manifest = T.write_token_files(X.documents(spark), folder, end_id=2, file_bytes=20_000)
+    more = [(-(1 << 63), "the smallest id", None, None, 0), (5, "a <|endoftext|> b", None, None, 0), (5, "a <|ENDOFTEXT|> b", None, None, 0)]
+    more += [(7, X.prose(77, 400), None, None, 0)] * 30  # rows of one id, dealt to several files
+    docs = X.documents(spark).select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, X.SCHEMA))
+    manifest = T.write_token_files(docs, folder, end_id=2, file_bytes=20_000)
     assert manifest.count() > 1
     rows = T.read_token_files(manifest, folder).collect()
     plain = Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
-    plain.encode_special_tokens = True
-    ids = {t: plain.encode(t, add_special_tokens=False).ids + [2] for t in {r[1] or "" for r in X.rows()}}
-    want = Counter((r[0], len(ids[r[1] or ""]), zlib.crc32(np.array(ids[r[1] or ""], "<u4").tobytes())) for r in X.rows())
+    ids = {t: plain.encode(t, add_special_tokens=False).ids + [2] for t in {r[1] or "" for r in X.rows() + more}}
+    want = Counter((r[0], len(ids[r[1] or ""]), zlib.crc32(np.array(ids[r[1] or ""], "<u4").tobytes())) for r in X.rows() + more)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
     ordered = sorted(rows, key=lambda r: r.start)
     assert [r.start for r in ordered] == list(np.cumsum([0] + [r.n_tokens for r in ordered])[:-1])
-    keys = [-1 if r.doc_id is None else r.doc_id for r in ordered]
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in ordered]
     assert keys == sorted(keys)
+    assert max(Counter(x for m in manifest.collect() for x in set(T.TokenFile(f"{folder}/tokens-{m.file:06d}.tkz").doc_ids.tolist())).values()) > 1
     f = T.TokenFile(f"{folder}/tokens-{manifest.first().file:06d}.tkz")
     last = len(f.doc_ids) - 1
     (i, got), = f.frames([last])
@@ -96,6 +100,46 @@ def test_fingerprint_estimates():
     assert short[0].likeness(short[1]) == 1.0 and short[0].likeness(short[2]) < 0.3
 
 
+def brute_codes(text, bins=P.BINS, bits=P.BITS):
+    """Bins of the shingle hashes, their minima, densification and low bits, one by one."""
+    h, _ = K.shingles(pa.array([text], pa.string()))
+    least = {}
+    for x in h.tolist():
+        j, rest = x >> (64 - bins.bit_length() + 1), x & ((1 << (64 - bins.bit_length() + 1)) - 1)
+        least[j] = min(least.get(j, rest), rest)
+    if not least:
+        return None
+    out = []
+    for j in range(bins):
+        k, attempt = j, 0
+        while k not in least:
+            attempt += 1
+            k = K.mix_int((j * 0x9E3779B97F4A7C15 + attempt) & ((1 << 64) - 1)) % bins
+        out.append(least[k] & ((1 << bits) - 1))
+    return out
+
+
+def test_fingerprints_against_brute_force():
+    texts = [X.prose(i, n) for i, n in enumerate((1, 4, 5, 6, 20, 100, 900))] + ["", " \n", "é 漢字 x y z w"] + [r[1] or "" for r in X.rows()]
+    for t, f in zip(texts, P.fingerprints(texts)):
+        want = brute_codes(t)
+        assert (None if f.codes is None else f.codes.tolist()) == want
+        assert str(f) == ("" if want is None else base64.b64encode(bytes(want)).decode())
+    some = [f for f in P.fingerprints(texts) if f.codes is not None]
+    for a, b in zip(some, some[1:]):
+        same = sum(x == y for x, y in zip(a.codes.tolist(), b.codes.tolist())) / P.BINS
+        assert abs(a.likeness(b) - min(1, max(0, (same - 1 / 256) / (1 - 1 / 256)))) < 1e-12
+
+
+def test_ranges_split_rows_of_one_id():
+    r = np.random.default_rng(2)
+    rows = sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 4, 300), r.integers(-(1 << 62), 1 << 62, 300))})
+    cuts = sorted(rows[i] for i in r.choice(len(rows), 9, replace=False))
+    ranges = P.Ranges(np.array([a for a, _ in cuts]), np.array([b for _, b in cuts]))
+    got = ranges.of(np.array([a for a, _ in rows]), np.array([b for _, b in rows]))
+    assert got.tolist() == [sum(c < x for c in cuts) for x in rows]
+
+
 def test_edits_follow_the_order_of_ids(spark):
     rows = [(i * 7, X.prose(i, 5 + 9 * i), "en", "s", 0) for i in range(30)] + [(3, None, None, None, 0), (4, "", None, None, 0)]
     want = {}
