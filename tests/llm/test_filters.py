@@ -78,11 +78,13 @@ def brute_hits(texts):
             v = words(text)
             if not v:
                 continue
-            if len(v) < 5:
-                ok = any(w[k : k + len(v)] == v for k in range(len(w)))
+            question, answer = (words(x) for x in D.split_answer(text))
+            question = v if len(v) < 5 else question
+            if len(question) < 5:
+                ok = any(w[k : k + len(question)] == question for k in range(len(w) + 1))
             else:
-                ok = len(grams(v) & grams(w)) >= 0.8 * len(grams(v))
-            if ok:
+                ok = len(grams(question) & grams(w)) >= 0.8 * len(grams(question))
+            if ok and len(set(answer) & set(w)) >= 0.5 * len(set(answer)):
                 hit.append(i)
         out.append(hit)
     return out
@@ -90,7 +92,11 @@ def brute_hits(texts):
 
 def test_decontamination_against_brute_force(spark):
     bench = spark.createDataFrame(items(), "item_id long, text string")
-    planted = [(500 + k, X.prose(600 + k, 40 * k) + " " + (t or "").upper() + " " + X.prose(700 + k, 90), "en", "s", 0) for k, (_, t) in enumerate(items())]
+    quoted = items()[5][1]
+    question, answer = D.split_answer(quoted)
+    assert brute_hits([question, answer, question + " " + answer]) == [[], [], [6]]
+    planted = [(490 + k, X.prose(640 + k, 50) + " " + t + " " + X.prose(740 + k, 50), "en", "s", 0) for k, t in enumerate((question, answer, answer + " and " + question, quoted[: len(quoted) // 2]))]
+    planted += [(500 + k, X.prose(600 + k, 40 * k) + " " + (t or "").upper() + " " + X.prose(700 + k, 90), "en", "s", 0) for k, (_, t) in enumerate(items())]
     docs = X.documents(spark).select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(planted, X.SCHEMA))
     texts = [r[1] for r in X.rows()] + [r[1] for r in planted]
     want = Counter(tuple(h) for h in brute_hits(texts))
@@ -213,6 +219,49 @@ def test_shards(spark):
     assert H.hilbert_shards(X.documents(spark).where("doc_id in (0, 3, 6)"), 8).count() == 3 and H.hilbert_shards(X.empty(spark), 8).count() == 0
 
 
+def brute_shards(rows, n_shards, bits):
+    """The law and the order of cells from sorted values, row by row."""
+    n = len(rows)
+    steps = {}
+    for k, values in enumerate(([r[2] for r in rows], [r[3] for r in rows], [len((r[1] or "").encode()) + 1 for r in rows])):
+        known = sorted(v for v in values if v is not None)
+        top = {}
+        for v in set(known):
+            last = max(i for i, x in enumerate(known) if x == v)
+            step = last * (1 << bits) // len(known)
+            top[step] = max(top.get(step, v), v)
+        bounds = [top[s] for s in sorted(top)][:-1]
+        steps[k] = [0 if v is None else sum(v > b for b in bounds) for v in values]
+    group = {}
+    for i, r in enumerate(rows):
+        group.setdefault(r[1] or "", []).append(i)
+    cell = [None] * n
+    for members in group.values():
+        least = tuple(min(steps[k][i] for i in members) for k in range(3))
+        for i in members:
+            cell[i] = least
+    return cell
+
+
+def test_cells_and_ranks_against_brute_force(spark):
+    rows = X.rows() + [(900 + i, X.prose(900 + i, 5 + 7 * i), "xx"[: 1 + i % 2] + "yz"[i % 2], f"https://host{i % 13}.example/a", 0) for i in range(60)]
+    out = H.hilbert_shards(spark.createDataFrame(rows, X.SCHEMA).repartition(3), 8).collect()
+    cells = brute_shards(rows, 8, H.BITS)
+    assert len({c[1] for c in cells}) > 10  # sources that share a long beginning
+    point = spark.createDataFrame([(*c,) for c in sorted(set(cells))], "a int, b int, c int")
+    index = {(r.a, r.b, r.c): r.h for r in point.withColumn("h", H.hilbert_index([F.col(k) for k in "abc"], H.BITS)).collect()}
+    want = Counter((r[0], zlib.crc32((r[1] or "").encode()), index[c]) for r, c in zip(rows, cells))
+    assert Counter((r.doc_id, r.text_crc32, r.cell) for r in out) == want
+    ordered = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert [r.cell for r in ordered] == sorted(r.cell for r in out)
+    n = len(rows)
+    assert [(r.shard, r.slot) for r in ordered] == [(i * 8 // n, i - -(-(i * 8 // n) * n // 8)) for i in range(n)]
+    places = {}
+    for i, r in enumerate(ordered):
+        places.setdefault((r.text_crc32, r["size"]), []).append(i)
+    assert all(p == list(range(p[0], p[0] + len(p))) for p in places.values())  # equal texts lie together
+
+
 def test_crowded_cells_are_salted(spark, monkeypatch):
     monkeypatch.setattr(H, "CROWD", 10)
     docs = spark.createDataFrame([(i, "same text", "en", "s", 9) for i in range(101)], X.SCHEMA)
