@@ -3,7 +3,8 @@
 Words and character n-grams are hashed to buckets, each bucket has a learned
 vector, a document is the mean of its vectors and a softmax layer gives the
 label; both layers are trained together by numpy stochastic gradient descent on
-a bounded sample of labelled rows (``max_per_class``). Since the output layer is
+a bounded sample of labelled rows (``max_per_class`` rows of a class, none of them of over
+``max_bytes`` bytes, all whole). Since the output layer is
 linear, scoring needs only one number per bucket (the vector times the difference
 of the class weights), so the shipped model is ``2**bits`` floats whatever the corpus.
 
@@ -91,7 +92,7 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 16, epo
     for text in texts:
         ids = [b[s[0] : e[0]] for b, s, e in feature_blocks(pa.array([text]), bits)]
         u, c = np.unique(np.concatenate(ids), return_counts=True)
-        docs.append((u, (c / max(c.sum(), 1)).astype(np.float32)))
+        docs.append((u.astype(np.uint16 if bits <= 16 else np.int64), (c / max(c.sum(), 1)).astype(np.float32)))
     share = np.bincount(labels, minlength=2) / len(labels)
     weight = 0.5 / share
     steps, step = epochs * len(docs), 0
@@ -119,21 +120,23 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_per_class: int) -> tuple[list[str], np.ndarray]:
-    """At most ``max_per_class`` labelled texts of each class (the documented bound),
-    chosen by a hash of the id; whole texts."""
-    texts: list[str] = []
-    ys: list[int] = []
+def bounded_texts(documents: DataFrame, chosen: DataFrame, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """Whole texts and y of the chosen ids (doc_id, y), a bounded number, ordered by id. Texts
+    of over ``max_bytes`` bytes are left out, so that the driver's share is bounded."""
+    found = select_documents(documents).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+    return found.column("text").to_pylist(), found.column("y").to_numpy().astype(np.int64)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_per_class: int, max_bytes: int) -> tuple[list[str], np.ndarray]:
+    """At most ``max_per_class`` labelled texts of each class, each of at most ``max_bytes``
+    bytes (the documented bounds), chosen by a hash of the id; whole texts."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null")
     picked = None
     for y in (0, 1):
         part = rows.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    found = select_documents(documents).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.y, r.text)):  # bounded: 2 * max_per_class labelled rows
-        texts.append(r.text)
-        ys.append(r.y)
-    return texts, np.array(ys, dtype=np.int64)
+    return bounded_texts(documents, picked, max_bytes)
 
 
 def score_documents(documents: DataFrame, model, score_column: str = "score") -> DataFrame:
@@ -150,9 +153,9 @@ def score_documents(documents: DataFrame, model, score_column: str = "score") ->
     return select_documents(documents).mapInArrow(run, f"doc_id long, {score_column} double")
 
 
-def quality_classifier(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_per_class: int = 1500) -> DataFrame:
+def quality_classifier(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_per_class: int = 1500, max_bytes: int = 1 << 15) -> DataFrame:
     """doc_id, score, predicted for every row of ``documents``, learned from the given labels."""
-    model = fit(*labelled_sample(documents, labels, "quality", max_per_class))
+    model = fit(*labelled_sample(documents, labels, "quality", max_per_class, max_bytes))
     return score_documents(documents, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

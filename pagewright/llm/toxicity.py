@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filter_rows, read_documents, select_documents
+from ._common import filter_rows, read_documents
 from ._kernels import buffer, prefix_hash, span_hash, words
-from .quality import held_out, score_documents
+from .quality import bounded_texts, held_out, score_documents
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -77,7 +77,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _matrix(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+def _matrix(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, values) of each text."""
     out = []
     for i in range(0, len(texts), 256):
         part = texts[i : i + 256]
@@ -86,8 +87,9 @@ def _matrix(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]
         d = key >> BITS
         v = value(count, n_words[d])
         edges = np.searchsorted(d, np.arange(len(part) + 1))
-        out += [(key[a:b] & ((1 << BITS) - 1), v[a:b]) for a, b in zip(edges, edges[1:])]
-    return out, len(out)
+        bucket, v = (key & ((1 << BITS) - 1)).astype(np.int32), v.astype(np.float32)
+        out += [(bucket[a:b].copy(), v[a:b].copy()) for a, b in zip(edges, edges[1:])]
+    return out
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 192, epochs: int = 600, rate: float = 0.3, decay: float = 1e-4, ascent: float = 0.0, seed: int = 11) -> ToxicityModel:
@@ -95,8 +97,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: in
     none = ToxicityModel(np.zeros(1 << BITS, np.int32), np.zeros(1), -30.0)
     if not positive or not unlabelled:
         return none
-    p, _ = _matrix(positive)
-    u, _ = _matrix(unlabelled)
+    p, u = _matrix(positive), _matrix(unlabelled)
     mass = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for m, rows in zip(mass, (p, u)):
         for ids, v in rows:
@@ -143,10 +144,10 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: in
     return ToxicityModel(slot, w, float(b))
 
 
-def training_texts(documents: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, usable=None) -> tuple[list[str], list[str], float]:
+def training_texts(documents: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, max_bytes: int, usable=None) -> tuple[list[str], list[str], float]:
     """At most ``max_positive`` confirmed toxic texts, at most ``max_unlabelled`` further
-    texts (the documented bounds, both chosen by a hash of the id among the rows that
-    ``usable`` admits) and the class prior, the toxic share of the labelled rows."""
+    texts, none of over ``max_bytes`` bytes (the documented bounds, both chosen by a hash of
+    the id among the rows that ``usable`` admits), and the class prior, the toxic share of the labelled rows."""
     usable = F.lit(True) if usable is None else usable
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     n, n_pos = rows.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -155,20 +156,19 @@ def training_texts(documents: DataFrame, labels: DataFrame, max_positive: int, m
     chosen = positive.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).withColumn("y", F.lit(1))
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & usable)
     other = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).dropDuplicates(["doc_id"]).withColumn("y", F.lit(0))
-    found = select_documents(documents).join(F.broadcast(chosen.unionByName(other)), "doc_id")
-    rows = sorted(found.select("doc_id", "y", "text").collect(), key=lambda r: (r.doc_id, r.y, r.text))  # bounded as documented
-    return [r.text for r in rows if r.y == 1], [r.text for r in rows if r.y == 0], prior
+    texts, y = bounded_texts(documents, chosen.unionByName(other), max_bytes)
+    return [t for t, k in zip(texts, y) if k == 1], [t for t, k in zip(texts, y) if k == 0], prior
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_positive: int = 1200, max_unlabelled: int = 4000, usable=None) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_positive: int = 1200, max_unlabelled: int = 4000, max_bytes: int = 1 << 15, usable=None) -> DataFrame:
     """doc_id, score, predicted for every row of ``documents``."""
-    model = fit(*training_texts(documents, labels, max_positive, max_unlabelled, usable))
+    model = fit(*training_texts(documents, labels, max_positive, max_unlabelled, max_bytes, usable))
     return score_documents(documents, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_positive: int = 1200, max_unlabelled: int = 4000) -> DataFrame:
+def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_positive: int = 1200, max_unlabelled: int = 4000, max_bytes: int = 1 << 15) -> DataFrame:
     """The rows of ``documents``, all columns, that score below the threshold."""
-    model = fit(*training_texts(documents, labels, max_positive, max_unlabelled))
+    model = fit(*training_texts(documents, labels, max_positive, max_unlabelled, max_bytes))
     held = documents.sparkSession.sparkContext.broadcast(model)
     return filter_rows(documents, lambda texts: held.value.score(texts) < threshold)
 
