@@ -7,11 +7,16 @@ from dataclasses import dataclass
 #: The accepted spellings of the mode settings.
 OFF_MODES = ("0", "false", "no", "off", "none", "disabled")
 ON_MODES = ("1", "true", "yes", "on", "all", "full")
+IMAGE_ALL_MODES = ("1", "true", "yes", "on")
+IMAGE_NONE_MODES = ("0", "false", "no", "off", "asset", "asset-only")
+UNCAPTIONED_MODES = ("complex_uncaptioned", "complex-uncaptioned", "uncaptioned", "no-caption")
+OCR_MODES = ("auto", "tesseract", "ocr", "hybrid", "hybrid_ocr")
 DEFER_MODES = ("defer", "deferred", "async", "candidate", "candidates", "vlm")
 
 
 @dataclass(frozen=True)
 class Config:
+    # fixed values: the defaults of all thresholds
     # routing
     dense_chars: int = 500
     dense_ratio: float = 0.20
@@ -74,11 +79,9 @@ def native_tables(mode: str) -> str:
 
 
 def image_mode(mode: str | None) -> str:
-    """all, none or the literal lower-cased mode; empty means none."""
-    m = (mode or "").strip().lower()
-    if m in ("1", "true", "yes", "on", "all"):
-        return "all"
-    return "none" if not m or m in OFF_MODES or m in ("asset", "asset_only") else m
+    """all, none or the literal lower-cased mode; unset means none."""
+    m = "none" if mode is None else mode.strip().lower()
+    return "all" if m in IMAGE_ALL_MODES else "none" if m in IMAGE_NONE_MODES else m
 
 
 def scan_ocr_enabled(mode: str) -> bool:

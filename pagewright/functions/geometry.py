@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from pagewright.config import DEFAULT, Config
 
 
+def rounded(x: Column, places: int = 2) -> Column:
+    """``x`` rounded by its exact binary value, ties to even. The error of the scaled product
+    is found by splitting the factors, so that no value near a tie goes the wrong way."""
+    scale = float(10**places)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - product) + (x - high) * scale
+    near = F.rint(product)
+    off = product - near
+    step = F.when((off > 0.5) | ((off == 0.5) & (error > 0)), 1.0).when((off < -0.5) | ((off == -0.5) & (error < 0)), -1.0).otherwise(0.0)
+    return (near + step) / scale
+
+
+def rounded_box(b: Column) -> Column:
+    """A box to two places; null stays null."""
+    return F.transform(b, lambda x: rounded(x))
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(*[c.cast("double") for c in (x0, y0, x1, y1)])
 

@@ -42,6 +42,11 @@ def _tidy_lines(x: Column) -> Column:
     return F.regexp_replace(one, r"^[ \n]+|[ \n]+$", "")
 
 
+def clean_lines(x: Column) -> Column:
+    """Each line cleaned, blank lines dropped."""
+    return _tidy_lines(x)
+
+
 def clean_cell(x: Column) -> Column:
     """Junk glyphs gone, CR as LF, each line cleaned, blank lines dropped."""
     return _tidy_lines(F.translate(F.coalesce(x, F.lit("")), CELL_JUNK, ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.config import DEFAULT, Config
@@ -12,29 +12,28 @@ from pagewright.functions import text as T
 
 from .captions import deferred_tables
 
-ITEM = "struct<bbox:array<double>,text:string>"
-
-
 def merge_items(items: Column, config: Config = DEFAULT) -> Column:
     """Greedy chunks of an ordered array of (bbox, text): an item starts a new chunk when the
-    lengths so far (separators not counted) and its own pass the target."""
+    lengths so far (separators not counted) and its own pass the target. The fold carries
+    the open chunk's length and the places where chunks start; texts are joined once."""
     target = max(config.chunk_floor, config.chunk_chars)
-    empty = F.struct(F.array().cast("array<struct<n:int,bbox:array<double>,text:string>>").alias("done"))
-
-    def step(acc: Column, item: Column) -> Column:
-        done = acc["done"]
-        last = F.get(done, F.size(done) - 1)
-        n = F.length(item["text"])
-        fresh = F.struct(n.cast("int").alias("n"), item["bbox"].alias("bbox"), item["text"].alias("text"))
-        grown = F.struct(
-            (last["n"] + n).cast("int").alias("n"),
-            G.union_of(F.array(last["bbox"], item["bbox"])).alias("bbox"),
-            F.concat(last["text"], F.lit("\n"), item["text"]).alias("text"),
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = (F.size(acc["starts"]) == 0) | (acc["n"] + x["n"] > target)
+        return F.struct(
+            F.when(opens, x["n"]).otherwise(acc["n"] + x["n"]).cast("int").alias("n"),
+            F.when(opens, F.concat(acc["starts"], F.array(x["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
-        opens = (F.size(done) == 0) | (F.coalesce(last["n"], F.lit(0)) + n > target)
-        return F.struct(F.when(opens, F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).alias("done"))
 
-    return F.aggregate(items, empty, step, lambda acc: F.transform(acc["done"], lambda c: F.struct(c["bbox"].alias("bbox"), c["text"].alias("text"))))
+    sizes = F.transform(items, lambda x, i: F.struct(F.length(x["text"]).alias("n"), i.cast("int").alias("i")))
+    ranges = F.aggregate(sizes, start, step, lambda acc: F.transform(acc["starts"], lambda s, i: F.struct(s.alias("s"), F.get(acc["starts"], i + 1).alias("e"))))
+
+    def chunk(r: Column) -> Column:
+        own = F.slice(items, r["s"] + 1, F.coalesce(r["e"], F.size(items)) - r["s"])
+        return F.struct(G.rounded_box(G.union_of(F.transform(own, lambda x: x["bbox"]))).alias("bbox"), F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("text"))
+
+    return F.transform(ranges, chunk)
 
 
 def block_id(job: Column, page: Column, index: Column, kind: Column, source: Column, text: Column, bbox: Column) -> Column:
@@ -54,19 +53,20 @@ def task_id(job: Column, block: Column, kind: Column, crop_path: Column) -> Colu
 
 def native_tables(config: Config = DEFAULT) -> Column:
     """The usable tables of a routed page: bbox, text, rows, table_index, needs_vision."""
-    found = F.transform(F.col("tables"), lambda t, i: F.struct(t["bbox"].alias("bbox"), TB.normalise(t["rows"]).alias("rows"), i.cast("int").alias("table_index")))
-    usable = F.filter(found, lambda t: TB.is_usable(t["rows"]))
-    out = F.transform(
-        usable,
-        lambda t: F.struct(t["bbox"].alias("bbox"), TB.to_markdown(t["rows"]).alias("text"), t["rows"].alias("rows"), t["table_index"].alias("table_index"), T.needs_vision(TB.to_markdown(t["rows"])).alias("needs_vision")),
-    )
+    found = F.transform(F.col("tables"), lambda t, i: F.struct(G.rounded_box(t["bbox"]).alias("bbox"), TB.normalise(t["rows"]).alias("rows"), i.cast("int").alias("table_index")))
+    made = F.transform(F.filter(found, lambda t: TB.is_usable(t["rows"])), lambda t: F.struct(t["bbox"].alias("bbox"), TB.to_markdown(t["rows"]).alias("text"), t["rows"].alias("rows"), t["table_index"].alias("table_index")))
+    out = F.transform(made, lambda t: F.struct(t["bbox"].alias("bbox"), t["text"].alias("text"), t["rows"].alias("rows"), t["table_index"].alias("table_index"), T.needs_vision(t["text"]).alias("needs_vision")))
     return F.when(T.extract_native_tables(F.col("text"), F.col("reason"), config), out).otherwise(F.slice(out, 1, 0))
 
 
 _META = (
     ("route_reason", "string"), ("native_table", "boolean"), ("native_table_needs_vlm", "boolean"), ("native_table_deferred", "boolean"), ("table_candidate", "boolean"),
-    ("table_index", "int"), ("table_rows", "array<array<string>>"), ("table_caption", "string"), ("image_candidate", "boolean"), ("xref", "int"), ("image_width", "int"), ("image_height", "int"),
+    ("table_index", "int"), ("table_rows", "array<array<string>>"), ("table_caption", "string"), ("image_candidate", "boolean"), ("xref", "int"), ("width", "int"), ("height", "int"),
     ("vector_graphics_candidate", "boolean"), ("figure_caption_candidate", "boolean"), ("drawing_threshold", "int"), ("force_vlm", "boolean"), ("page_vlm", "boolean"), ("scan_ocr", "boolean"),
+    ("archive", "string"), ("raw", "string"),
+    # set where a block becomes a candidate of the vision queue
+    ("crop_path", "string"), ("crop_bbox", "array<double>"), ("crop_padding", "double"), ("crop_scale", "double"), ("image_vlm_mode", "string"), ("image_asset_only", "boolean"),
+    ("enhancement_priority", "string"), ("max_image_width", "int"),
 )
 
 
@@ -79,33 +79,34 @@ def fast_blocks(routed: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Blocks of the pages on the fast route: text, tables and captions in reading order, then
     images, then a region of vector graphics."""
     pages = routed.where(F.col("route") == "fast_pymupdf").withColumn("_native", native_tables(config))
-    keep = pages.withColumn("_items", F.filter(F.transform("items", lambda i, p: F.struct(i["bbox"].alias("bbox"), T.clean(i["text"]).alias("clean"), i["text"].alias("text"), p.cast("int").alias("pos"))), lambda i: i["clean"] != ""))
-    keep = deferred_tables(keep, config)  # adds _deferred: bbox, text, caption, needs_vision
+    tidy = F.transform("items", lambda i, p: F.struct(G.rounded_box(i["bbox"]).alias("bbox"), T.clean(i["text"]).alias("text"), i["text"].alias("raw"), p.cast("int").alias("pos")))
+    keep = pages.withColumn("_items", F.filter(tidy, lambda i: i["text"] != ""))
     covered = lambda i, ts: F.exists(ts, lambda t: G.overlap_ratio(i["bbox"], t["bbox"]) >= config.overlap_drop)
-    keep = keep.withColumn("_text", F.filter("_items", lambda i: ~covered(i, F.col("_native")) & ~covered(i, F.col("_deferred"))))
-    hint = F.exists("_text", lambda i: T.looks_like_table(i["text"]))
-    plain = (F.size("_native") == 0) & (F.size("_deferred") == 0) & ~F.col("reason").contains("table_candidate") & ~hint
-    order = F.array_sort(F.transform("_text", lambda i: F.struct(i["bbox"][1].alias("y"), i["bbox"][0].alias("x"), i["pos"].alias("pos"), i["bbox"].alias("bbox"), i["text"].alias("text"))))
-    items = F.transform(order, lambda o: F.struct(o["bbox"].alias("bbox"), o["text"].alias("text")))
-    keep = keep.withColumn("_merged", F.when(plain, merge_items(items, config)).otherwise(items))
+    keep = keep.withColumn("_items", F.filter("_items", lambda i: ~covered(i, F.col("_native"))))
+    keep = deferred_tables(keep, config)  # adds _deferred: bbox, text, caption
+    keep = keep.withColumn("_items", F.filter("_items", lambda i: ~covered(i, F.col("_deferred"))))
+    keep = keep.withColumn("_items", F.transform("_items", lambda i: F.struct(i["bbox"].alias("bbox"), i["text"].alias("text"), T.looks_like_table(i["raw"]).alias("hint"))))
+    plain = (F.size("_native") == 0) & (F.size("_deferred") == 0) & ~F.col("reason").contains("table_candidate") & ~F.exists("_items", lambda i: i["hint"])
+    chunks = F.transform(merge_items(F.col("_items"), config), lambda c: F.struct(c["bbox"].alias("bbox"), c["text"].alias("text"), F.lit(False).alias("hint")))
+    keep = keep.withColumn("_merged", F.when(plain, chunks).otherwise(F.col("_items")))
 
     def entry(phase: int, kind: str, b: Column, text: Column, pos: Column, meta: Column) -> Column:
         return F.struct(F.lit(phase).alias("phase"), b[1].alias("y"), b[0].alias("x"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), text.alias("text"), b.alias("bbox"), meta.alias("metadata"))
 
     r = F.col("reason")
-    texts = F.transform("_merged", lambda t, p: entry(0, "text", t["bbox"], t["text"], p, metadata(route_reason=r, table_candidate=T.looks_like_table(t["text"]))))
-    deferred = F.transform("_deferred", lambda t, p: entry(0, "text", t["bbox"], t["text"], p + 100_000, metadata(route_reason=r, table_candidate=F.lit(True), native_table_deferred=F.lit(True), native_table_needs_vlm=t["needs_vision"], table_caption=t["caption"])))
+    texts = F.transform("_merged", lambda t, p: entry(0, "text", t["bbox"], t["text"], p, metadata(route_reason=r, table_candidate=t["hint"])))
+    deferred = F.transform("_deferred", lambda t, p: entry(0, "text", t["bbox"], t["text"], p + 100_000, metadata(route_reason=r, table_candidate=F.lit(True), native_table_deferred=F.lit(True), table_caption=t["caption"])))
     native = F.transform("_native", lambda t, p: entry(0, "native_table", t["bbox"], t["text"], p + 200_000, metadata(route_reason=r, native_table=F.lit(True), table_candidate=F.lit(False), native_table_needs_vlm=t["needs_vision"], table_index=t["table_index"], table_rows=t["rows"])))
     number = F.col("page_index").cast("string")
     images = F.transform(
         "images",
-        lambda i, p: entry(1, "image", i["bbox"], F.concat(F.lit("[image page="), number, F.lit(" xref="), i["xref"].cast("string"), F.lit("]")), p, metadata(route_reason=r, image_candidate=F.lit(True), xref=i["xref"], image_width=i["width"], image_height=i["height"])),
+        lambda i, p: entry(1, "image", G.rounded_box(i["bbox"]), F.concat(F.lit("[image page="), number, F.lit(" xref="), i["xref"].cast("string"), F.lit("]")), p, metadata(route_reason=r, image_candidate=F.lit(True), xref=i["xref"], width=i["width"], height=i["height"])),
     )
     caption = T.has_figure_caption(F.col("text"))
     threshold = F.when(caption & F.lit(config.drawing_threshold > 0), F.lit(min(config.drawing_threshold, config.figure_drawing_threshold))).otherwise(F.lit(config.drawing_threshold))
-    region = G.vector_region(F.transform("drawings", lambda d: d["bbox"]), F.col("width"), F.col("height"), threshold)
-    vector = F.when(region.isNull(), F.slice(images, 1, 0)).otherwise(
-        F.array(entry(2, "image", region, F.concat(F.lit("[vector graphics page="), number, F.lit("]")), F.lit(0), metadata(route_reason=r, image_candidate=F.lit(True), vector_graphics_candidate=F.lit(True), figure_caption_candidate=caption, drawing_threshold=threshold)))
+    keep = keep.withColumn("_region", G.rounded_box(G.vector_region(F.transform("drawings", lambda d: d["bbox"]), F.col("width"), F.col("height"), threshold)))
+    vector = F.when(F.col("_region").isNull(), F.slice(images, 1, 0)).otherwise(
+        F.array(entry(2, "image", F.col("_region"), F.concat(F.lit("[vector graphics page="), number, F.lit("]")), F.lit(0), metadata(route_reason=r, image_candidate=F.lit(True), vector_graphics_candidate=F.lit(True), figure_caption_candidate=caption, drawing_threshold=threshold)))
     )
     rows = keep.select("job_id", "page_index", F.posexplode(_in_order(F.concat(texts, deferred, native), images, vector)).alias("block_index", "b"))
     out = rows.select("job_id", "page_index", "block_index", F.lit("fast_pymupdf").alias("source"), "b.kind", "b.text", "b.bbox", "b.metadata")
@@ -126,13 +127,15 @@ def page_vision_blocks(routed: DataFrame) -> DataFrame:
     """One whole-page block for each page on the vision route."""
     pages = routed.where(F.col("route") == "vlm")
     text = F.concat(F.lit("[page vlm page="), F.col("page_index").cast("string"), F.lit("]"))
-    meta = metadata(route_reason=F.col("reason"), image_candidate=F.lit(True), force_vlm=F.lit(True), page_vlm=F.lit(True))
-    box = G.box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))
+    meta = metadata(route_reason=F.col("reason"), image_candidate=F.lit(True), force_vlm=F.lit(True), page_vlm=F.lit(True), image_asset_only=F.lit(False))
+    box = G.rounded_box(G.box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")))
     out = pages.select("job_id", "page_index", F.lit(0).alias("block_index"), F.lit("async_page_vlm").alias("source"), F.lit("image").alias("kind"), text.alias("text"), box.alias("bbox"), meta.alias("metadata"))
     return with_block_ids(out)
 
 
-def number_blocks(items: DataFrame, order: list[Column]) -> DataFrame:
-    """block_index by position within a page."""
-    w = Window.partitionBy("job_id", "page_index").orderBy(*order)
-    return items.withColumn("block_index", F.row_number().over(w) - 1)
+def append_blocks(blocks: DataFrame, more: DataFrame) -> DataFrame:
+    """``blocks`` and the blocks that another extraction of the same pages found: these are
+    numbered on from the page's own, and get the ids of their new places."""
+    shift = blocks.groupBy("job_id", "page_index").agg(F.count("*").cast("int").alias("_shift"))
+    moved = more.join(shift, ["job_id", "page_index"], "left").withColumn("block_index", (F.col("block_index") + F.coalesce("_shift", F.lit(0))).cast("int"))
+    return blocks.unionByName(with_block_ids(moved.drop("_shift", "block_id")).select(*blocks.columns))

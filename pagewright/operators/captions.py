@@ -15,7 +15,7 @@ from pagewright.functions import text as T
 
 
 def cluster(items: Column, caption: Column, page_width: Column, above: bool, config: Config = DEFAULT) -> Column:
-    """Items (bbox, text, pos) of the run next to a caption, in reading order."""
+    """Items (bbox, text, pos; text as extracted) of the run next to a caption, in reading order."""
     reach = G.caption_bounds(caption["bbox"], page_width, config)
     far = lambda b: caption["bbox"][1] - b[3] if above else b[1] - caption["bbox"][3]
     pool = F.filter(
@@ -65,19 +65,26 @@ def keep_first(tables: Column, ratio: float = 0.75) -> Column:
 
 
 def deferred_tables(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Adds ``_deferred`` (bbox, text, caption, needs_vision) to pages with ``_items``."""
-    empty = F.array().cast("array<struct<bbox:array<double>,text:string,caption:string,needs_vision:boolean>>")
+    """Adds ``_deferred`` (bbox, text, caption) to pages with ``_items`` (bbox, raw, pos)."""
+    empty = F.array().cast("array<struct<bbox:array<double>,text:string,caption:string>>")
     if native_tables(config.native_table_mode) != "defer":
         return pages.withColumn("_deferred", empty)
-    items = F.transform("_items", lambda i: F.struct(i["bbox"].alias("bbox"), i["text"].alias("text"), i["pos"].alias("pos")))
+    items = F.transform("_items", lambda i: F.struct(i["bbox"].alias("bbox"), i["raw"].alias("text"), i["pos"].alias("pos")))
     captions = F.filter(items, lambda i: T.is_strict_table_caption(i["text"]))
 
-    def table(caption: Column, run: Column, above: bool) -> Column:
-        boxes = F.concat(F.transform(run, lambda i: i["bbox"]), F.array(caption["bbox"]))
-        texts = F.transform(run, lambda i: i["text"])
-        text = F.array_join(F.concat(texts, F.array(caption["text"])) if above else F.concat(F.array(caption["text"]), texts), "\n")
-        made = F.struct(G.union_of(boxes).alias("bbox"), text.alias("text"), caption["text"].alias("caption"), T.needs_vision(text).alias("needs_vision"))
-        return F.when((F.size(run) > 0) & queue_gate(run, caption, config), made)
-
-    found = F.transform(captions, lambda c: F.coalesce(*[table(c, cluster(items, c, F.col("width"), above, config), above) for above in (True, False)]))
-    return pages.withColumn("_deferred", keep_first(F.filter(found, lambda t: t.isNotNull()), config.overlap_drop))
+    def table(caption: Column, run: Column) -> Column:
+        parts = F.concat(run, F.array(F.struct(caption["bbox"].alias("bbox"), caption["text"].alias("text"), caption["pos"].alias("pos"))))
+        # ties of place keep the order of the run, the caption last
+        order = F.array_sort(F.transform(parts, lambda i, p: F.struct(i["bbox"][1].alias("y"), i["bbox"][0].alias("x"), p.alias("p"), i["text"].alias("text"))))
+        text = T.clean_lines(F.array_join(F.transform(order, lambda o: o["text"]), "\n"))
+        made = F.struct(G.rounded_box(G.union_of(F.transform(parts, lambda i: i["bbox"]))).alias("bbox"), text.alias("text"), T.clean(caption["text"]).alias("caption"))
+        return F.when((F.size(run) > 0) & queue_gate(run, caption, config) & (text != ""), made)
+
+    def near(caption: Column) -> Column:
+        """The run above a caption, or else the one below it."""
+        both = F.struct(*[cluster(items, caption, F.col("width"), x, config).alias(n) for x, n in ((True, "above"), (False, "below"))])
+        return F.element_at(F.transform(F.array(both), lambda b: F.when(F.size(b["above"]) > 0, b["above"]).otherwise(b["below"])), 1)
+
+    found = F.transform(F.transform(captions, lambda c: F.struct(c.alias("c"), near(c).alias("run"))), lambda x: table(x["c"], x["run"]))
+    none = F.size("_native") == 0  # tables are deferred only where none was found
+    return pages.withColumn("_deferred", F.when(none, keep_first(F.filter(found, lambda t: t.isNotNull()), config.overlap_drop)).otherwise(empty))

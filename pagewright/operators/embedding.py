@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.geometry import rounded
 from pagewright.functions.text import clean
 
 
@@ -36,7 +37,7 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     total = F.aggregate(pairs, zero, lambda s, p: F.zip_with(s, p["v"], lambda a, b: a + b * p["m"]))
     mean = F.transform(total, lambda x: x / n)
     norm = F.greatest(F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
-    return F.transform(mean, lambda x: F.round(x / norm, 6))
+    return F.transform(mean, lambda x: rounded(x / norm, 6))
 
 
 class EmbeddingProvider(ABC):
@@ -69,13 +70,60 @@ class HashProvider(EmbeddingProvider):
         return out
 
 
-PROVIDERS: dict[str, Callable[..., EmbeddingProvider]] = {"hash": HashProvider}
+def in_index_order(data: list[dict]) -> list[list[float]]:
+    """The vectors of a remote response by the ``index`` of each, which the response's order
+    need not follow."""
+    return [list(map(float, d["embedding"])) for d in sorted(data, key=lambda d: int(d["index"]))]
+
+
+class RemoteProvider(EmbeddingProvider):
+    """A service that embeds lists of texts: ``post(url, body, key)`` sends JSON and returns JSON.
+    The transport is given by the caller; a key is required."""
+
+    provider = "remote"
+
+    def __init__(self, post: Callable[[str, dict, str], dict], url: str, model: str, key: str, dim: int = 0) -> None:
+        if not key:
+            raise ValueError("the remote embedding provider needs a key")
+        self.post, self.url, self.model, self.key, self.dim = post, url.rstrip("/"), model, key, dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        vectors = in_index_order(self.post(f"{self.url}/embeddings", {"model": self.model, "input": texts}, self.key)["data"])
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors
+
+
+class PooledProvider(EmbeddingProvider):
+    """A token model behind ``encode(texts)``, which gives token vectors and masks; vectors are
+    the masked means, scaled to length one."""
+
+    provider = "pooled"
+
+    def __init__(self, encode: Callable[[list[str]], tuple], model: str, dim: int) -> None:
+        self.encode, self.model, self.dim = encode, model, dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        vectors, mask = (np.asarray(x, float) for x in self.encode(texts))
+        mean = (vectors * mask[..., None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+        unit = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+        return [[round(x, 6) for x in v] for v in unit.tolist()]
+
+
+PROVIDERS: dict[str, Callable[..., EmbeddingProvider]] = {"hash": HashProvider, "remote": RemoteProvider, "pooled": PooledProvider}
+_made: dict[tuple, EmbeddingProvider] = {}
 
 
 def provider(name: str, **options) -> EmbeddingProvider:
+    """A provider by name, made once in each process for the same options."""
     if name not in PROVIDERS:
         raise ValueError(f"unknown embedding provider {name!r}; known: {sorted(PROVIDERS)}")
-    return PROVIDERS[name](**options)
+    key = (name, *sorted((k, repr(v)) for k, v in options.items()))
+    if key not in _made:
+        _made[key] = PROVIDERS[name](**options)
+    return _made[key]
 
 
 def embed_blocks(blocks: DataFrame, dim: int = 32) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,54 +61,97 @@ def _string(v) -> str | None:
     return None if v is None or v == "" else str(v)
 
 
-def _rows(data: bytes) -> Iterator[dict]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        found = False
-        for name in names:
-            if not name.endswith(("content_list.json", "content_list_v2.json")):
-                continue
+#: Endings of content lists, and how much of an archive's names and text is kept.
+CONTENT_ENDINGS = ("content_list.json", "content_list_v2.json")
+PAGE_NAMES, WORKER_NAMES, PREVIEW_CHARS = 40, 80, 2000
+
+
+class _Archive:
+    """A ZIP of results: its names, its readable content lists, its Markdown files."""
+
+    def __init__(self, data: bytes) -> None:
+        self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.names = self.zip.namelist()
+
+    def text(self, name: str) -> str:
+        return self.zip.read(name).decode("utf-8", errors="replace")
+
+    def content(self) -> Iterator[tuple[str, object]]:
+        for name in filter(lambda n: n.endswith(CONTENT_ENDINGS), self.names):
             try:
-                payload = json.loads(z.read(name).decode("utf-8", errors="replace"))
+                yield name, json.loads(self.text(name))
             except json.JSONDecodeError:
-                continue
-            for item in flatten(payload):
-                row = {k: _string(item.get(k)) for k in TEXT_KEYS}
-                if any(v and v.split() for v in row.values()):
-                    found = True
-                    yield row | {"archive": name, "kind": str(item.get("type") or item.get("kind") or "text"), "bbox": item_box(item)}
-        if not found:
-            for name in names:
-                if name.endswith(".md"):
-                    text = z.read(name).decode("utf-8", errors="replace")
-                    if text.split():
-                        yield dict.fromkeys(TEXT_KEYS) | {"archive": name, "kind": "markdown", "bbox": None, "markdown": text}
-                        return
+                pass
 
+    def markdown(self) -> Iterator[tuple[str, str]]:
+        return ((n, self.text(n)) for n in self.names if n.endswith(".md"))
 
-def archive_items(archives: DataFrame) -> DataFrame:
-    """job_id, page_index, content (a ZIP) -> its items in order, or else its first Markdown
-    file. A broken archive gives one row whose ``error`` says so."""
+
+def _each_archive(archives: DataFrame, read: Callable[[_Archive], list[dict]], schema: str) -> DataFrame:
+    """job_id, page_index, content (a ZIP) -> the rows that ``read`` gives for each, or one row
+    whose ``error`` says that the archive is broken."""
+    columns = ["job_id", "page_index", *(re.sub("`", "", c.split(" ")[0]) for c in schema.split(", ")), "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["job_id", "page_index", "archive", "position", "kind", "bbox", *TEXT_KEYS, "error"]
         for b in batches:
-            out = []
+            out: list[dict] = []
             for job, page, data in zip(b["job_id"], b["page_index"], b["content"]):
+                own = {"job_id": job, "page_index": page}
                 try:
-                    out += [{"job_id": job, "page_index": page, "position": i, "error": None} | r for i, r in enumerate(_rows(bytes(data)))]
-                except zipfile.BadZipFile as e:
-                    out.append(dict.fromkeys(columns) | {"job_id": job, "page_index": page, "position": 0, "error": str(e)})
-            yield pd.DataFrame({c: pd.Series([r[c] for r in out], dtype=object) for c in columns})
+                    out += [own | r for r in read(_Archive(bytes(data)))]
+                except (zipfile.BadZipFile, ValueError) as e:
+                    out.append(own | {"error": str(e)})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=object) for c in columns})
+
+    return archives.select("job_id", "page_index", "content").mapInPandas(run, f"job_id string, page_index int, {schema}, error string")
+
 
-    return archives.select("job_id", "page_index", "content").mapInPandas(run, f"job_id string, page_index int, {_ITEMS}, error string")
+def archive_items(archives: DataFrame) -> DataFrame:
+    """The content items of each page archive in order, or else its first Markdown file with
+    text: archive, position, kind, bbox, the text fields and the item as JSON (raw)."""
+
+    def read(a: _Archive) -> list[dict]:
+        rows = []
+        for name, payload in a.content():
+            for item in flatten(payload):
+                fields = {k: _string(item.get(k)) for k in TEXT_KEYS}
+                if any(v and v.split() for v in fields.values()):
+                    rows.append(fields | {"archive": name, "kind": str(item.get("type") or item.get("kind") or "text"), "bbox": item_box(item), "raw": json.dumps(item, ensure_ascii=False)})
+        if not rows:
+            rows = [{"archive": n, "kind": "markdown", "markdown": t} for n, t in a.markdown() if t.split()][:1]
+        return [r | {"position": i} for i, r in enumerate(rows)]
 
+    return _each_archive(archives, read, f"{_ITEMS}, raw string")
 
-def archive_blocks(archives: DataFrame) -> DataFrame:
+
+def archive_summary(archives: DataFrame) -> DataFrame:
+    """The first names of each page archive, and the beginning of the Markdown that stands in
+    where no content list has an item with text."""
+
+    def read(a: _Archive) -> list[dict]:
+        items = any(_string(x.get(k)) and str(x[k]).split() for _, p in a.content() for x in flatten(p) for k in TEXT_KEYS)
+        preview = None if items else next((t[:PREVIEW_CHARS] for _, t in a.markdown() if t.split()), None)
+        return [{"zip_entries": a.names[:PAGE_NAMES], "markdown_preview": preview}]
+
+    return _each_archive(archives, read, "zip_entries array<string>, markdown_preview string")
+
+
+def worker_results(archives: DataFrame) -> DataFrame:
+    """Archives as a worker reports them: the first names, the first Markdown file as it is
+    (empty for none), and the items of all content lists that are lists, as JSON."""
+
+    def read(a: _Archive) -> list[dict]:
+        items = [x for _, p in a.content() if isinstance(p, list) for x in flatten(p)]
+        return [{"zip_entries": a.names[:WORKER_NAMES], "markdown": next((t for _, t in a.markdown()), ""), "content_items": json.dumps(items, ensure_ascii=False), "n_items": len(items)}]
+
+    return _each_archive(archives, read, "zip_entries array<string>, markdown string, content_items string, n_items int")
+
+
+def archive_blocks(archives: DataFrame, source: str = "archive_vlm") -> DataFrame:
     """Blocks of page archives, in archive order."""
     items = archive_items(archives).where("error is null")
     text = T.item_text({k: F.col(k) for k in TEXT_KEYS})
-    out = items.select("job_id", "page_index", F.col("position").alias("block_index"), F.lit("archive_vlm").alias("source"), "kind", text.alias("text"), "bbox", metadata(page_vlm=F.lit(True)).alias("metadata"))
+    out = items.select("job_id", "page_index", F.col("position").alias("block_index"), F.lit(source).alias("source"), "kind", text.alias("text"), "bbox", metadata(archive=F.col("archive"), raw=F.col("raw")).alias("metadata"))
     return with_block_ids(out)
 
 
@@ -122,22 +166,52 @@ def content_markdown(results: DataFrame) -> DataFrame:
                     items = list(flatten_content(json.loads(p))) if p else []
                 except json.JSONDecodeError:
                     items = []
-                parts = []
-                for i in items:
-                    hit = next((i[k].strip() for k in ("markdown", "content", "text", "html", "latex") if isinstance(i.get(k), str) and i[k].strip()), None)
-                    if hit:
-                        parts.append(hit)
                 counts.append(len(items))
-                texts.append("\n\n".join(parts))
+                texts.append(markdown_of(items))
             yield pd.DataFrame({"task_id": b["task_id"], "n_items": counts, "markdown": texts})
 
     return results.select("task_id", "payload").mapInPandas(run, "task_id string, n_items int, markdown string")
 
 
-def split_batch(raw: list, n_tasks: int) -> list:
+def jsonable(value):
+    """Any provider value as JSON types: models by their fields, other iterables as lists, the
+    rest as text."""
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return value
+    for method in ("model_dump", "dict"):
+        if not isinstance(value, dict) and callable(getattr(value, method, None)):
+            value = getattr(value, method)()
+            break
+    if isinstance(value, dict):
+        return {str(k): jsonable(v) for k, v in value.items()}
+    try:
+        return [jsonable(v) for v in value]
+    except TypeError:
+        return str(value)
+
+
+def split_batch(raw, n_tasks: int) -> list:
     """One result for each task of a batch; a wrong number is an error."""
+    found = jsonable(raw)
     if n_tasks == 1:
-        return [raw]
-    if len(raw) != n_tasks:
-        raise ValueError(f"{len(raw)} results for {n_tasks} tasks")
-    return list(raw)
+        return [found]
+    if not isinstance(found, list) or len(found) != n_tasks:
+        raise ValueError(f"VLM returned {type(found).__name__} for {n_tasks} tasks")  # fixed text
+    return found
+
+
+def markdown_of(items: list[dict]) -> str:
+    """The first filled text field of each item, in paragraphs."""
+    keys = ("markdown", "content", "text", "html", "latex")
+    texts = (next((i[k].strip() for k in keys if isinstance(i.get(k), str) and i[k].strip()), "") for i in items)
+    return "\n\n".join(filter(None, texts))
+
+
+def task_result(crop_path: str, raw, image_size: tuple[int, int], batch_seconds: float, max_image_width: int | None, backend: str = "direct") -> dict:
+    """What a worker reports for a task."""
+    held = jsonable(raw)
+    items = list(flatten_content(held))
+    return {
+        "backend": backend, "elapsed_seconds": batch_seconds, "crop_path": crop_path, "image_size": list(image_size), "max_image_width": max_image_width,
+        "raw_result": held, "content_items": items, "markdown": markdown_of(items),
+    }

@@ -37,8 +37,8 @@ def claim(tasks: DataFrame, now, limit: int = 1, worker_id: str = "", lease_seco
     carries the claimed state; ``apply_claim`` merges it back."""
     open_ = F.col("status") == "queued"
     if lease_seconds is not None:
-        limit_at = F.lit(now).cast(tasks.schema["leased_at"].dataType) - F.make_dt_interval(secs=F.lit(float(lease_seconds)))
-        over = F.col("leased_at").isNull() | (F.col("leased_at") <= limit_at)
+        limit_at = F.lit(now).cast(tasks.schema["leased_at"].dataType) - F.make_dt_interval(secs=F.lit(max(0.0, float(lease_seconds))))
+        over = F.col("leased_at") <= limit_at  # a task without a lease time is not taken over
         open_ = open_ | ((F.col("status") == "processing") & over)
     found = tasks.where(open_)
     if job_id:

@@ -48,7 +48,7 @@ def render_blocks(blocks: DataFrame, results: DataFrame, assets: DataFrame | Non
     return b.withColumn("markdown", F.when(F.col("kind") == "image", image).otherwise(body)).drop("_n", "_result", "_text", "result", "asset_name")
 
 
-def render_documents(jobs: DataFrame, blocks: DataFrame, tasks: DataFrame, policy: str = "required", assets: DataFrame | None = None) -> DataFrame:
+def render_documents(jobs: DataFrame, blocks: DataFrame, tasks: DataFrame, policy: str = "all", assets: DataFrame | None = None) -> DataFrame:
     """job_id, markdown: front matter, then the pages and their blocks in order. Blocks beyond
     the page count are left out; a document is gathered from its own blocks only."""
     rendered = render_blocks(blocks, chosen_results(blocks, tasks, policy), assets)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry as G
+
 from .tasks import bench_priority
 
 
@@ -17,6 +19,7 @@ def job_totals(jobs: DataFrame) -> DataFrame:
     zero = F.lit(0)
     sums = ("page_count", "fast_page_count", "vlm_page_count", "block_count", "embedding_count")
     return jobs.agg(
+        F.count("*").alias("total"),
         *[F.coalesce(F.sum(c), zero).cast("long").alias(c) for c in sums],
         F.coalesce(F.avg("elapsed_seconds"), F.lit(0.0)).alias("avg_elapsed_seconds"),
         F.coalesce(F.max("elapsed_seconds"), F.lit(0.0)).alias("max_elapsed_seconds"),
@@ -25,18 +28,19 @@ def job_totals(jobs: DataFrame) -> DataFrame:
 
 def runtime_stats(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     """One row: jobs, pages, blocks and embeddings, coverage and the task backlog. Counts come
-    from the job rows; each table is read once and only one row of each meets the other."""
+    from the job rows; the oldest times are epoch seconds, 0 for none; each table is read once and only one row of each meets the other."""
     j = jobs.agg(
         F.struct(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "processing", "completed", "failed")]).alias("jobs"),
         F.struct(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("page_count", "total"), ("fast_page_count", "fast"), ("vlm_page_count", "vlm"))]).alias("pages"),
         F.coalesce(F.sum("block_count"), F.lit(0)).cast("long").alias("blocks"),
         F.coalesce(F.sum("embedding_count"), F.lit(0)).cast("long").alias("embeddings"),
-        F.struct(F.coalesce(F.avg("elapsed_seconds"), F.lit(0.0)).alias("avg"), F.coalesce(F.max("elapsed_seconds"), F.lit(0.0)).alias("max")).alias("elapsed"),
-    ).withColumn("coverage", F.when(F.col("blocks") > 0, F.round(F.col("embeddings") / F.col("blocks"), 4)).otherwise(0.0))
+        F.struct(G.rounded(F.coalesce(F.avg("elapsed_seconds"), F.lit(0.0)), 3).alias("avg"), G.rounded(F.coalesce(F.max("elapsed_seconds"), F.lit(0.0)), 3).alias("max")).alias("elapsed"),
+    ).withColumn("coverage", F.when(F.col("blocks") > 0, G.rounded(F.try_divide(F.col("embeddings").cast("double"), F.col("blocks").cast("double")), 4)).otherwise(0.0))
+    seconds = lambda c: F.coalesce(F.unix_micros(F.min(c).cast("timestamp")) / 1e6, F.lit(0.0))
     t = tasks.agg(
         F.struct(
             F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "processing", "completed", "failed")],
-            F.min("created_at").alias("oldest_created_at"), F.min(F.when(F.col("status") == "queued", F.col("created_at"))).alias("oldest_queued_at"),
+            seconds(F.col("created_at")).alias("oldest_created_at"), seconds(F.when(F.col("status") == "queued", F.col("created_at"))).alias("oldest_queued_at"),
         ).alias("tasks")
     )
     return j.withColumn("_k", F.lit(1)).join(F.broadcast(t.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -59,19 +63,29 @@ def bench_summary(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(f"{s}_tasks") for s in ("queued", "processing", "completed", "failed")],
         *[F.count_if(F.col("priority") == s).alias(f"{s}_priority_tasks") for s in ("required", "optional", "asset_only")],
     )
-    rate = lambda c: F.when(F.col(c) > 0, F.round(F.col("page_count") / F.col(c), 3)).otherwise(0.0)
+    rate = lambda c: F.when(F.col(c) > 0, G.rounded(F.try_divide(F.col("page_count").cast("double"), F.col(c).cast("double")), 3)).otherwise(0.0)
     return jobs.join(t, "job_id", "left").fillna(0).withColumns({"pages_per_second": rate("wall_seconds"), "parse_pages_per_second": rate("parse_wall_seconds")})
 
 
-def load_summary(runs: DataFrame) -> DataFrame:
-    """status, page_count, wall_seconds, service_seconds -> one row over all runs."""
+#: The phases that a load report names.
+PHASES = ("routing_seconds", "vlm_seconds", "embedding_seconds", "storage_seconds", "total_seconds")
+
+
+def load_summary(runs: DataFrame, total_seconds: float) -> DataFrame:
+    """status, page_count, block_count, service_seconds, wall_seconds, timings map -> one row over
+    all runs that took ``total_seconds`` together: counts, pages a second, and mean and maximum
+    of service, wall and phase seconds of the completed ones, a missing time counting as 0."""
     done = F.col("status") == "completed"
+    of = lambda c: F.when(done, F.coalesce(c, F.lit(0.0)))
+    times = {"service": F.col("service_seconds"), "wall": F.col("wall_seconds")} | {p: F.try_element_at(F.col("timings"), F.lit(p)) for p in PHASES}
+    pages = F.coalesce(F.sum(F.when(done, F.col("page_count"))), F.lit(0)).cast("long")
     return runs.agg(
-        F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum(F.when(done, F.col("page_count"))), F.lit(0)).cast("long").alias("pages"),
-        F.avg("wall_seconds").alias("mean_wall_seconds"), F.max("wall_seconds").alias("max_wall_seconds"), F.avg("service_seconds").alias("mean_service_seconds"), F.max("service_seconds").alias("max_service_seconds"),
+        F.count_if(done).alias("completed"), F.count_if(~done).alias("failed"), pages.alias("pages"), F.coalesce(F.sum(F.when(done, F.col("block_count"))), F.lit(0)).cast("long").alias("blocks"),
+        G.rounded(pages.cast("double") / F.lit(float(total_seconds)), 3).alias("pages_per_second"),
+        *[G.rounded(f(of(c)), 3).alias(f"{k}_{n}") for k, c in times.items() for n, f in (("avg", F.avg), ("max", F.max))],
     )
 
 
-def phase_timings(runs: DataFrame) -> DataFrame:
-    """timings map<string,double> -> mean and maximum of each phase."""
-    return runs.select(F.explode("timings").alias("phase", "seconds")).groupBy("phase").agg(F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("max_seconds"))
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """Outcome events of one round -> claimed, completed, failed."""
+    return outcomes.agg(F.count("*").alias("claimed"), F.count_if(F.col("event") == "completed").alias("completed"), F.count_if(F.col("event") == "failed").alias("failed"))

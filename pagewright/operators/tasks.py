@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.config import DEFAULT, Config, image_mode
+from pagewright.config import DEFAULT, UNCAPTIONED_MODES, Config, image_mode
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 
@@ -34,7 +34,7 @@ def queues_image(meta: Column, config: Config = DEFAULT) -> Column:
         return F.lit(True)
     if mode == "none":
         return forced
-    if "uncaptioned" in mode:
+    if mode in UNCAPTIONED_MODES:
         return forced | (vector & ~flag(meta, "figure_caption_candidate"))
     return forced | vector
 
@@ -84,40 +84,52 @@ def worker_width(meta: Column, kind: Column, config: Config = DEFAULT) -> Column
     return F.when(flag(meta, "page_vlm") & whole.isNotNull(), whole).otherwise(F.coalesce(own, table))
 
 
-def crop_columns(blocks: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Candidate blocks with kind, crop box, crop path and padding of their crop."""
-    size = pages.select("job_id", "page_index", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    out = blocks.where(is_candidate(F.col("metadata"), F.col("bbox"))).join(size, ["job_id", "page_index"])
-    out = out.withColumn("task_kind", task_kind(F.col("metadata")))
-    image = F.col("task_kind") == "image_candidate"
-    digits = lambda c: F.lpad(F.col(c).cast("string"), F.greatest(F.lit(4), F.length(F.col(c).cast("string"))), "0")
-    return out.withColumns(
-        {
-            "crop_padding": F.when(image, config.image_padding).otherwise(config.table_padding),
-            "crop_scale": F.when(image, config.image_scale).otherwise(config.table_scale),
-            "crop_path": F.concat(F.col("job_id"), F.lit("/page-"), digits("page_index"), F.lit("-block-"), digits("block_index"), F.lit(".png")),
-        }
-    ).withColumn("crop_bbox", G.crop(F.col("bbox"), F.col("crop_padding"), F.col("_w"), F.col("_h")))
+_MARKS = ("crop_path", "crop_bbox", "crop_padding", "crop_scale", "image_vlm_mode", "image_asset_only", "enhancement_priority", "max_image_width")
 
 
-def tasks_from_blocks(blocks: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Queued tasks: task_id, job_id, block_id, page_index, kind, status, crop_path, bbox, metadata."""
+def mark_candidates(blocks: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``blocks`` with the marks of the vision queue in the metadata of its candidates: crop path,
+    box, padding and scale, whether an image is a mere asset, priority and width limit."""
+    size = pages.select("job_id", "page_index", F.col("width").alias("_w"), F.col("height").alias("_h"))
     m = F.col("metadata")
-    c = crop_columns(blocks, pages, config)
-    c = c.where((F.col("task_kind") != "image_candidate") | queues_image(m, config))
-    c = c.withColumn("priority", block_priority(m, F.col("text"), F.lit(False)))
-    c = c.withColumn("limit", max_image_width(F.col("task_kind"), F.col("priority"), is_complex(m, F.col("text"), F.col("crop_bbox"), config), config))
-    keys = ("vector_graphics_candidate", "native_table", "native_table_needs_vlm", "scan_ocr", "force_vlm", "page_vlm")
-    meta = F.struct(
-        F.col("source"), m["route_reason"].alias("route_reason"), F.lit(image_mode(config.image_mode)).alias("image_vlm_mode"), F.lit(False).alias("image_asset_only"), *[flag(m, k).alias(k) for k in keys],
-        F.col("priority").alias("enhancement_priority"), "crop_padding", "crop_scale", F.col("limit").alias("max_image_width"),
-    )
+    own = F.coalesce(is_candidate(m, F.col("bbox")), F.lit(False))
+    image = task_kind(m) == "image_candidate"
+    digits = lambda c: F.lpad(F.col(c).cast("string"), F.greatest(F.lit(4), F.length(F.col(c).cast("string"))), "0")
+    padding = F.when(image, config.image_padding).otherwise(config.table_padding)
+    asset = F.when(image, ~queues_image(m, config)).otherwise(m["image_asset_only"])
+    priority = F.when(image & F.col("_asset"), "asset_only").otherwise(block_priority(m, F.col("text"), F.coalesce(F.col("_asset"), F.lit(False))))
+    limit = max_image_width(task_kind(m), F.col("_priority"), is_complex(m, F.col("text"), F.col("_crop"), config), config)
+    out = blocks.join(size, ["job_id", "page_index"], "left").withColumns({"_own": own, "_asset": asset})
+    out = out.withColumns({"_priority": priority, "_crop": G.rounded_box(G.crop(F.col("bbox"), padding, F.col("_w"), F.col("_h")))})
+    marks = {
+        "crop_path": F.concat(F.col("job_id"), F.lit("/page-"), digits("page_index"), F.lit("-block-"), digits("block_index"), F.lit(".png")),
+        "crop_bbox": F.col("_crop"), "crop_padding": padding, "crop_scale": F.when(image, config.image_scale).otherwise(config.table_scale),
+        "image_vlm_mode": F.when(image, F.lit(image_mode(config.image_mode))), "image_asset_only": F.col("_asset"), "enhancement_priority": F.col("_priority"), "max_image_width": limit,
+    }
+    changed = m.withField("crop_path", marks["crop_path"])
+    for k in _MARKS[1:]:
+        changed = changed.withField(k, marks[k].cast({"crop_bbox": "array<double>", "crop_padding": "double", "crop_scale": "double", "image_asset_only": "boolean", "max_image_width": "int"}.get(k, "string")))
+    return out.withColumn("metadata", F.when(F.col("_own"), changed).otherwise(m)).select(*blocks.columns)
+
+
+def queued_tasks(marked: DataFrame) -> DataFrame:
+    """The queued tasks of blocks that ``mark_candidates`` marked: task_id, job_id, block_id,
+    page_index, kind, status, crop_path, bbox, metadata."""
+    m = F.col("metadata")
+    c = marked.where(m["crop_path"].isNotNull() & ~((task_kind(m) == "image_candidate") & flag(m, "image_asset_only")))
+    flags = ("image_asset_only", "vector_graphics_candidate", "native_table", "native_table_needs_vlm", "scan_ocr", "force_vlm", "page_vlm")
+    meta = F.struct(F.col("source"), m["route_reason"].alias("route_reason"), m["image_vlm_mode"].alias("image_vlm_mode"), *[flag(m, k).alias(k) for k in flags], *[m[k].alias(k) for k in ("enhancement_priority", "crop_padding", "crop_scale", "max_image_width")])
     return c.select(
-        task_id(F.col("job_id"), F.col("block_id"), F.col("task_kind"), F.col("crop_path")).alias("task_id"), "job_id", "block_id", "page_index",
-        F.col("task_kind").alias("kind"), F.lit("queued").alias("status"), "crop_path", F.col("crop_bbox").alias("bbox"), meta.alias("metadata"),
+        task_id(F.col("job_id"), F.col("block_id"), task_kind(m), m["crop_path"]).alias("task_id"), "job_id", "block_id", "page_index",
+        task_kind(m).alias("kind"), F.lit("queued").alias("status"), m["crop_path"].alias("crop_path"), m["crop_bbox"].alias("bbox"), meta.alias("metadata"),
     )
 
 
+def tasks_from_blocks(blocks: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The queued tasks of blocks."""
+    return queued_tasks(mark_candidates(blocks, pages, config))
+
+
 def uses_task(priority: Column, policy: str) -> Column:
     """Whether a wait policy takes a task's result."""
     if policy not in ("none", "required", "all"):

@@ -12,7 +12,7 @@ _ROUTED = f"""SELECT *, CASE WHEN text_chars >= 500 AND image_area_ratio < 0.2 T
   WHEN text_chars >= 220 AND image_area_ratio < 0.35 AND image_count <= 2 THEN 'editable_text_moderate' || CASE WHEN has_table_hint THEN '_table_candidate' ELSE '' END
   WHEN has_table_hint THEN 'table_hint' WHEN image_area_ratio >= 0.35 OR text_chars < 80 THEN 'scan_or_image_heavy' ELSE 'mixed_or_low_confidence' END AS reason FROM ({_SIGNALS})"""
 
-_PAGES = """SELECT doc_id, p AS page_index, list_slice(ls, p * 40 + 1, p * 40 + 40) AS ls FROM (
+PAGES = """SELECT doc_id, p AS page_index, list_slice(ls, p * 40 + 1, p * 40 + 40) AS ls FROM (
   SELECT doc_id, ls, unnest(range(0, (len(ls) - 1) // 40 + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 
 _EVENTS = """SELECT user_id::VARCHAR AS task_id, 'job-' || (user_id % 7)::VARCHAR AS job_id, CASE WHEN user_id % 3 = 0 THEN 'image_candidate' ELSE 'table_candidate' END AS kind, ts, event_id AS seq,
@@ -21,7 +21,7 @@ _EVENTS = """SELECT user_id::VARCHAR AS task_id, 'job-' || (user_id % 7)::VARCHA
   FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')"""
 
 _NTH = "row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC)"
-_FOLD = f"""WITH e AS ({_EVENTS}), l AS (SELECT * FROM (SELECT *, {_NTH} AS n FROM e) WHERE n = 1),
+FOLD = f"""WITH e AS ({_EVENTS}), l AS (SELECT * FROM (SELECT *, {_NTH} AS n FROM e) WHERE n = 1),
   c AS (SELECT task_id, min(ts) AS created_at FROM e WHERE event = 'created' GROUP BY task_id),
   k AS (SELECT task_id, max(ts) AS leased_at FROM e WHERE event = 'claimed' GROUP BY task_id),
   w AS (SELECT task_id, worker_id FROM (SELECT *, {_NTH} AS n FROM e WHERE event <> 'created') WHERE n = 1),
@@ -36,7 +36,7 @@ _BLOCK = """CASE WHEN {asset} THEN 'asset_only' WHEN force_vlm OR scan_ocr OR (n
 _EXPORT = "CASE WHEN image_asset_only THEN 'asset_only' WHEN scan_ocr OR force_vlm OR (native_table_needs_vlm AND native_table) THEN 'required' ELSE 'optional' END"
 _KIND = "CASE WHEN image_candidate THEN 'image_candidate' ELSE 'table_candidate' END"
 
-_TEXTS = ", ".join("({}, {})".format(i, "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'") for i, t in enumerate(TEXTS))
+_TEXTS = ", ".join("({}, {})".format(-1 - i, "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'") for i, t in enumerate(TEXTS))
 _BOX = "(p_partkey % 560)::DOUBLE AS bx0, ((p_partkey * 7) % 800)::DOUBLE AS by0, (p_partkey % 560 + p_size)::DOUBLE AS bx1, ((p_partkey * 7) % 800 + p_size * 2)::DOUBLE AS by1"
 
 _OVERLAPS = " AND ".join(
@@ -48,27 +48,25 @@ ORACLES: dict[str, str] = {
     "route_counters": f"SELECT route, reason, count(*) AS pages, sum(block_count)::BIGINT AS blocks FROM ({_ROUTED}) GROUP BY route, reason",
     "page_routes": f"SELECT doc_id, route, reason FROM ({_ROUTED})",
     "page_signals": f"""SELECT doc_id::VARCHAR AS job_id, page_index::INTEGER AS page_index, length(trim(array_to_string(ls, chr(10)), ' ' || chr(10) || chr(9) || chr(13)))::BIGINT AS text_chars,
-      len(list_filter(ls, lambda x: trim(x) <> ''))::BIGINT AS block_count, (doc_id % 4)::BIGINT AS image_count FROM ({_PAGES})""",
+      len(list_filter(ls, lambda x: trim(x) <> ''))::BIGINT AS block_count, (doc_id % 4)::BIGINT AS image_count FROM ({PAGES})""",
     "clean_text": r"SELECT doc_id, length(x)::BIGINT AS clean_chars, md5(x) AS clean_md5 FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)",
     "text_chunks": """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
       s AS (SELECT doc_id, ls, 1 AS i, 0::BIGINT AS chunk, length(ls[1])::BIGINT AS n FROM l
         UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN n + length(ls[i + 1]) > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN n + length(ls[i + 1]) > 200 THEN length(ls[i + 1]) ELSE n + length(ls[i + 1]) END FROM s WHERE i < len(ls)),
       g AS (SELECT doc_id, chunk, string_agg(ls[i], chr(10) ORDER BY i) AS t, max(72.0 + 18 * (i - 1))::DOUBLE AS bottom FROM s GROUP BY doc_id, chunk)
       SELECT doc_id, chunk, length(t)::BIGINT AS chars, md5(t) AS text_md5, bottom FROM g""",
-    "blocks_with_embeddings": """SELECT lang, count(*) AS blocks, count(dim) AS embeddings, coalesce(sum(dim), 0)::BIGINT AS numbers FROM documents LEFT JOIN (SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings) e ON doc_id = vec_id GROUP BY lang""",
-    "queue_fold": f"{_FOLD} SELECT * FROM f",
-    "queue_claim": f"""{_FOLD} SELECT task_id, 'processing' AS status, 'worker-9' AS worker_id, created_at FROM f WHERE status = 'queued' OR (status = 'processing' AND (leased_at IS NULL OR leased_at <= TIMESTAMP '{NOW}' - INTERVAL 3600 SECOND))
+    "queue_fold": f"{FOLD} SELECT * FROM f",
+    "queue_claim": f"""{FOLD} SELECT task_id, 'processing' AS status, 'worker-9' AS worker_id, created_at FROM f WHERE status = 'queued' OR (status = 'processing' AND (leased_at <= TIMESTAMP '{NOW}' - INTERVAL 3600 SECOND))
       ORDER BY created_at NULLS FIRST, task_id LIMIT 10""",
-    "queue_claim_kind": f"""{_FOLD} SELECT task_id, kind, 'processing' AS status FROM f WHERE kind = 'image_candidate' AND (status = 'queued' OR (status = 'processing' AND (leased_at IS NULL OR leased_at <= TIMESTAMP '{NOW}')))
+    "queue_claim_kind": f"""{FOLD} SELECT task_id, kind, 'processing' AS status FROM f WHERE kind = 'image_candidate' AND (status = 'queued' OR (status = 'processing' AND (leased_at <= TIMESTAMP '{NOW}')))
       ORDER BY created_at NULLS FIRST, task_id LIMIT 100""",
-    "queue_stats": f"""{_FOLD} SELECT kind, count(*) AS total, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'completed') AS completed,
-      count(*) FILTER (WHERE status = 'failed') AS failed, min(created_at) AS oldest_created_at, min(created_at) FILTER (WHERE status = 'queued') AS oldest_queued_at FROM f GROUP BY kind""",
-    "interrupted_jobs": f"""{_FOLD} SELECT task_id AS job_id, CASE WHEN status IN ('queued', 'processing') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('queued', 'processing') THEN 'interrupted by service restart' ELSE error END AS error FROM f""",
-    "queue_stream": f"{_FOLD} SELECT task_id, status, worker_id, result, error, events FROM f",
-    "job_totals": """SELECT count(*)::BIGINT AS page_count, sum(doc_id % 2)::BIGINT AS fast_page_count, sum(1 - doc_id % 2)::BIGINT AS vlm_page_count, sum(len(string_split(text, chr(10))))::BIGINT AS block_count,
+    "interrupted_jobs": f"""{FOLD} SELECT task_id AS job_id, CASE WHEN status IN ('queued', 'processing') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('queued', 'processing') THEN 'interrupted by service restart' ELSE error END AS error FROM f""",
+    "queue_stream": f"{FOLD} SELECT * FROM f",
+    "job_totals": """SELECT count(*) AS total, count(*)::BIGINT AS page_count, sum(doc_id % 2)::BIGINT AS fast_page_count, sum(1 - doc_id % 2)::BIGINT AS vlm_page_count, sum(len(string_split(text, chr(10))))::BIGINT AS block_count,
       sum(doc_id % 3)::BIGINT AS embedding_count, avg((doc_id % 16) / 8.0) AS avg_elapsed_seconds, max((doc_id % 16) / 8.0)::DOUBLE AS max_elapsed_seconds FROM documents""",
-    "load_summary": """SELECT count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, coalesce(sum(event_id % 9) FILTER (WHERE event_type <> 'error'), 0)::BIGINT AS pages,
-      avg((event_id % 32) / 8.0) AS mean_wall_seconds, max((event_id % 32) / 8.0)::DOUBLE AS max_wall_seconds, avg((event_id % 16) / 8.0) AS mean_service_seconds, max((event_id % 16) / 8.0)::DOUBLE AS max_service_seconds FROM events""",
+    "load_summary": """SELECT count(*) FILTER (WHERE ok) AS completed, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(sum(event_id % 9) FILTER (WHERE ok), 0)::BIGINT AS pages, coalesce(sum(event_id % 5) FILTER (WHERE ok), 0)::BIGINT AS blocks,
+      round(sum(event_id % 9) FILTER (WHERE ok) / 4096.0, 3)::DOUBLE AS pages_per_second, (max(event_id % 16) FILTER (WHERE ok) / 8.0)::DOUBLE AS service_max, (max(event_id % 32) FILTER (WHERE ok) / 8.0)::DOUBLE AS wall_max, (max(event_id % 64) FILTER (WHERE ok) / 4.0)::DOUBLE AS vlm_seconds_max, 0.0::DOUBLE AS total_seconds_avg,
+      round_even(avg(event_id % 16) FILTER (WHERE ok), 0)::BIGINT AS service_avg_eighths, round_even(avg(event_id % 32) FILTER (WHERE ok), 0)::BIGINT AS wall_avg_eighths, round_even(avg(event_id % 64) FILTER (WHERE ok) * 2, 0)::BIGINT AS vlm_seconds_avg_eighths FROM (SELECT *, event_type <> 'error' AS ok FROM events)""",
     "task_priorities": f"""SELECT id, table_candidate OR image_candidate OR native_table_needs_vlm AS candidate, {_KIND} AS kind, {_BLOCK.format(asset="image_asset_only")} AS block_priority, {_EXPORT} AS export_priority,
       CASE WHEN image_asset_only THEN 'asset_only' WHEN scan_ocr OR force_vlm THEN 'required' ELSE 'optional' END AS bench_priority, force_vlm AS queued_none, true AS queued_all,
       force_vlm OR (vector_graphics_candidate AND NOT figure_caption_candidate) AS queued_uncaptioned, force_vlm OR vector_graphics_candidate AS queued_vector,
@@ -77,21 +75,14 @@ ORACLES: dict[str, str] = {
     "crops": f"""SELECT p_partkey, greatest(0.0, bx0 - 40)::DOUBLE AS x0, greatest(0.0, by0 - 40)::DOUBLE AS y0, least(595.0, bx1 + 40)::DOUBLE AS x1, least(842.0, by1 + 40)::DOUBLE AS y1,
       greatest(0.0, least(bx1, 300.0) - greatest(bx0, 100.0)) / greatest(1.0, bx1 - bx0) >= 0.25 AS related,
       (greatest(0.0, least(bx1, 256.0) - greatest(bx0, 0.0)) * greatest(0.0, least(by1, 256.0) - greatest(by0, 0.0)) / greatest(1.0, (bx1 - bx0) * (by1 - by0)))::DOUBLE AS overlap FROM (SELECT p_partkey, {_BOX} FROM part)""",
-    "covered_items": f"""SELECT doc_id::VARCHAR AS job_id, page_index::BIGINT AS page_index, count(*) AS items, count(*) FILTER (WHERE {_OVERLAPS}) AS free FROM (SELECT doc_id, page_index, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM ({_PAGES})) GROUP BY doc_id, page_index""",
+    "covered_items": f"""SELECT doc_id::VARCHAR AS job_id, page_index::BIGINT AS page_index, count(*) AS items, count(*) FILTER (WHERE {_OVERLAPS}) AS free FROM (SELECT doc_id, page_index, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM ({PAGES})) GROUP BY doc_id, page_index""",
     "text_predicates": rf"""SELECT id, len(list_filter(string_split(x, chr(10)), lambda r: trim(r) <> '' AND length(r) - length(replace(r, chr(9), '')) >= 2)) > 0
         OR len(list_filter(string_split(x, chr(10)), lambda r: regexp_matches(r, '\S+([ \t]{{2,}}\S+){{3,}}'))) >= 2 AS table_like,
       regexp_matches(x, '(?i)(^|\n)\s*Table\s+\d+[.:]?') AS table_caption, regexp_matches(x, '(?i)^\s*Table\s+\d+\s*[.:]') AS strict_caption, regexp_matches(x, '(?i)(^|\n)\s*(Figure|Fig\.)\s+\d+[.:]?') AS figure_caption,
-      regexp_matches(x, '×\s*×|,,|\d+\s+\d+×\s*×\d+') AS needs_vision, len(list_distinct(regexp_extract_all(x, '(?i)\b(?:Table|Fig(?:ure)?\.?)\s*\d+\s*[.:]')))::BIGINT AS n_captions FROM (VALUES {_TEXTS}) AS t(id, x)""",
+      regexp_matches(x, '×\s*×|,,|\d+\s+\d+×\s*×\d+') AS needs_vision, len(list_distinct(regexp_extract_all(x, '(?i)\b(?:Table|Fig(?:ure)?\.?)\s*\d+\s*[.:]')))::BIGINT AS n_captions FROM (SELECT * FROM (VALUES {_TEXTS}) AS t(id, x) UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)""",
     "table_markdown": r"""SELECT r_name, '| key | name | mark |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey::VARCHAR || ' | ' || n_name || ' | a\|' || n_nationkey::VARCHAR || ' |', chr(10) ORDER BY n_nationkey) AS markdown, true AS usable
       FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
-    "ocr_lines": """WITH w AS (SELECT doc_id, line, unnest(string_split(t, ' ')) AS w, unnest(range(0, len(string_split(t, ' ')))) AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents)),
-      g AS (SELECT doc_id, line, word, lag(word) OVER (PARTITION BY doc_id, line ORDER BY word) AS before FROM w WHERE w <> ''),
-      l AS (SELECT doc_id, line, count(*) + sum(CASE WHEN before IS NULL THEN 0 ELSE least(12, greatest(1, (2 * (word - before) - 1))) END) AS chars, max(word * 64.0 + 32.0) AS "right", max(line * 16.0 + 8) AS bottom FROM g GROUP BY doc_id, line)
-      SELECT doc_id::VARCHAR AS job_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::BIGINT AS line_index, chars::BIGINT AS chars, "right"::DOUBLE AS "right", bottom::DOUBLE AS bottom FROM l""",
-    "ordered_markdown": """SELECT conv_id, md5(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM conversations GROUP BY conv_id""",
-    "listing": """SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, count(*) AS turns FROM conversations GROUP BY conv_id""",
-    "caption_clusters": """SELECT doc_id, CASE WHEN n >= 3 THEN 3 WHEN n >= 1 THEN n END::BIGINT AS above, CASE WHEN n > 4 THEN n - 4 ELSE 0 END::BIGINT AS below FROM (SELECT doc_id, least(12, len(string_split(text, chr(10)))) AS n FROM documents)""",
-    "caption_clusters_all": """WITH l AS (SELECT doc_id, 60.0 + 20 * i AS y0, 72.0 + 20 * i AS y1 FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
+    "caption_clusters": """WITH l AS (SELECT doc_id, 60.0 + 20 * i AS y0, 72.0 + 20 * i AS y1 FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
       a AS (SELECT doc_id, y0, coalesce(lag(y0) OVER w, 120) - y1 <= CASE WHEN lag(y0) OVER w IS NULL THEN 64 ELSE 18 END AS near FROM l WHERE 120 - y1 BETWEEN 0 AND 220 WINDOW w AS (PARTITION BY doc_id ORDER BY y0 DESC)),
       b AS (SELECT doc_id, y0, y0 - coalesce(lag(y1) OVER w, 132) <= CASE WHEN lag(y1) OVER w IS NULL THEN 64 ELSE 24 END AS near FROM l WHERE y0 - 132 BETWEEN 0 AND 220 WINDOW w AS (PARTITION BY doc_id ORDER BY y0)),
       x AS (SELECT doc_id, count(*) FILTER (WHERE run) AS n FROM (SELECT doc_id, bool_and(near) OVER (PARTITION BY doc_id ORDER BY y0 DESC) AS run FROM a) GROUP BY doc_id),

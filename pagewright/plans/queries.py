@@ -15,10 +15,8 @@ from pagewright.functions import text as T
 from pagewright.operators import blocks as BL
 from pagewright.operators import captions as CP
 from pagewright.operators import embedding as EM
-from pagewright.operators import ocr as OC
 from pagewright.operators import pages as PG
 from pagewright.operators import queue as QU
-from pagewright.operators import reflow as RF
 from pagewright.operators import stats as ST
 from pagewright.operators import tasks as TK
 from pagewright.sources.geometry import pages_of_documents
@@ -71,14 +69,6 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(v).alias("dim", "value")).select("doc_id", F.col("dim").cast("long").alias("dim"), "value")
 
 
-def blocks_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blocks, left-joined to vectors that exist for some."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), "lang")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("block_id"), F.size("embedding").cast("long").alias("dim"))
-    j = d.join(e, "block_id", "left")
-    return j.groupBy("lang").agg(F.count("*").alias("blocks"), F.count("dim").alias("embeddings"), F.coalesce(F.sum("dim"), F.lit(0)).alias("numbers"))
-
-
 def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a task log: signup creates, view claims, purchase completes,
     error fails; other events are none."""
@@ -106,14 +96,6 @@ def queue_claim_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claimed.select("task_id", "kind", "status")
 
 
-def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = QU.fold(queue_events(spark, sf_dir))
-    return t.groupBy("kind").agg(
-        F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "processing", "completed", "failed")],
-        F.min("created_at").alias("oldest_created_at"), F.min(F.when(F.col("status") == "queued", F.col("created_at"))).alias("oldest_queued_at"),
-    )
-
-
 def interrupted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = QU.fold(queue_events(spark, sf_dir)).select(F.col("task_id").alias("job_id"), "status", "error", F.lit(None).cast("timestamp").alias("completed_at"))
     return QU.interrupt_jobs(states, NOW).select("job_id", "status", "error")
@@ -130,11 +112,14 @@ def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as load-test runs that took 4096 seconds together."""
     runs = table(spark, sf_dir, "events").select(
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.pmod("event_id", F.lit(9)).alias("page_count"),
-        (F.pmod("event_id", F.lit(32)) / 8.0).alias("wall_seconds"), (F.pmod("event_id", F.lit(16)) / 8.0).alias("service_seconds"),
+        F.pmod("event_id", F.lit(5)).alias("block_count"), (F.pmod("event_id", F.lit(32)) / 8.0).alias("wall_seconds"), (F.pmod("event_id", F.lit(16)) / 8.0).alias("service_seconds"),
+        F.create_map(F.lit("vlm_seconds"), F.pmod("event_id", F.lit(64)) / 4.0).alias("timings"),
     )
-    return ST.load_summary(runs)
+    out = ST.load_summary(runs, 4096.0)
+    return out.select("completed", "failed", "pages", "blocks", "pages_per_second", "service_max", "wall_max", "vlm_seconds_max", "total_seconds_avg", *[F.bround(F.col(c) * 8).cast("long").alias(f"{c}_eighths") for c in ("service_avg", "wall_avg", "vlm_seconds_avg")])
 
 
 _FLAGS = ("table_candidate", "image_candidate", "native_table_needs_vlm", "native_table", "native_table_deferred", "scan_ocr", "force_vlm", "vector_graphics_candidate", "figure_caption_candidate", "image_asset_only")
@@ -187,8 +172,10 @@ TEXTS = (
 
 
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicates on fixed texts that fit each of them, and on all documents."""
     x = F.col("x")
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, x string")
+    fixed = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TEXTS)], "id long, x string")
+    rows = fixed.unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("x")))
     return rows.select("id", T.looks_like_table(x).alias("table_like"), T.has_table_caption(x).alias("table_caption"), T.is_strict_table_caption(x).alias("strict_caption"), T.has_figure_caption(x).alias("figure_caption"), T.needs_vision(x).alias("needs_vision"), F.size(T.caption_ids(x)).cast("long").alias("n_captions"))
 
 
@@ -200,38 +187,6 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("r_name").agg(rows.alias("rows")).select("r_name", TB.to_markdown(TB.normalise(F.col("rows"))).alias("markdown"), TB.is_usable(TB.normalise(F.col("rows"))).alias("usable"))
 
 
-def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first words per line as OCR words: positions follow their number."""
-    d = table(spark, sf_dir, "documents")
-    w = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("word", "w")).where("w <> ''")
-    x = F.col("word") * 64.0
-    rows = w.select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("page_index"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.col("line").alias("line_num"), F.col("word").alias("word_num"), F.array(x, F.col("line") * 16.0, x + 32.0, F.col("line") * 16.0 + 8).alias("bbox"), F.lit("w").alias("text"))
-    out = OC.lines(rows)
-    return out.select("job_id", F.col("line_index").cast("long").alias("line_index"), F.length("text").cast("long").alias("chars"), F.col("bbox")[2].alias("right"), F.col("bbox")[3].alias("bottom"))
-
-
-def ordered_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation joined in order."""
-    c = table(spark, sf_dir, "conversations")
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text").alias("t"))))
-    j = c.groupBy("conv_id").agg(parts.alias("p"))
-    return j.select("conv_id", F.md5(F.encode(F.array_join(F.transform("p", lambda e: e["t"]), "\n\n"), "UTF-8")).alias("markdown_md5"))
-
-
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest turn of each conversation as an upsert would leave it."""
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"), F.count("*").alias("turns"))
-
-
-def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole parse of the derived geometry table, counted by source and kind."""
-    from pagewright.engine import Engine
-
-    p = Engine().parse(pages_of_documents(table(spark, sf_dir, "documents")), embed=False)
-    return p.blocks.groupBy("source", "kind").agg(F.count("*").alias("blocks"), F.count("block_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
-
-
 def _caption_sizes(d: DataFrame, lines: Column) -> DataFrame:
     items = F.transform(lines, lambda x, i: F.struct(F.array(F.lit(50.0), 60.0 + 20 * i, F.lit(300.0), 72.0 + 20 * i).alias("bbox"), x.alias("text"), i.cast("int").alias("pos")))
     caption = F.struct(F.array(F.lit(50.0), F.lit(120.0), F.lit(300.0), F.lit(132.0)).alias("bbox"), F.lit("Table 1. Sums").alias("text"), F.lit(-1).alias("pos"))
@@ -240,25 +195,10 @@ def _caption_sizes(d: DataFrame, lines: Column) -> DataFrame:
 
 
 def caption_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions planted between each document's first 12 lines and the blocks that join them."""
-    return _caption_sizes(table(spark, sf_dir, "documents"), F.slice(F.split("text", "\n"), 1, 12))
-
-
-def caption_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions planted between all of each document's lines and the blocks that join them."""
     return _caption_sizes(table(spark, sf_dir, "documents"), F.split("text", "\n"))
 
 
-def inline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Table 1. Errors\ngroup name warping error\nA 1. first .5 0.25\nrest",), ("no table here",)]
-    return spark.createDataFrame(rows, "x string").select("x", RF.reflow_udf("x").alias("markdown"))
-
-
-def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("<table><tr><td rowspan=2>a</td><td colspan=2>b &amp; c</td></tr><tr><td>d</td><td>e|f</td></tr></table>",), ("plain",)]
-    return spark.createDataFrame(rows, "x string").select("x", RF.convert_tables_udf("x").alias("markdown"))
-
-
 def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log drained as a stream; equal to the batch fold."""
     from pagewright.sources.shared import scratch
@@ -268,8 +208,9 @@ def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, marks = scratch(spark, "queue-stream"), scratch(spark, "queue-marks")
     q = fold_stream(events).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
     q.awaitTermination()
-    last = spark.read.parquet(out).groupBy("task_id").agg(F.max_by(F.struct("status", "worker_id", "result", "error", "events"), "batch").alias("s"))
-    return last.select("task_id", "s.status", "s.worker_id", "s.result", "s.error", "s.events")
+    fields = ("job_id", "kind", "status", "created_at", "leased_at", "worker_id", "result", "error", "events")
+    last = spark.read.parquet(out).groupBy("task_id").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
+    return last.select("task_id", *[f"s.{f}" for f in fields])
 
 
 class _AsStream:
@@ -287,7 +228,7 @@ class _AsStream:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        route_counters, page_routes, page_signals, clean_text, text_chunks, hash_embedding, blocks_with_embeddings, queue_fold, queue_claim, queue_claim_kind, queue_stats, interrupted_jobs, job_totals,
-        load_summary, task_priorities, wait_policies, crops, covered_items, text_predicates, table_markdown, ocr_lines, ordered_markdown, listing, parse_documents, caption_clusters, caption_clusters_all, inline_tables, html_tables, queue_stream,
+        route_counters, page_routes, page_signals, clean_text, text_chunks, hash_embedding, queue_fold, queue_claim, queue_claim_kind, interrupted_jobs, job_totals,
+        load_summary, task_priorities, wait_policies, crops, covered_items, text_predicates, table_markdown, caption_clusters, queue_stream,
     )
 }

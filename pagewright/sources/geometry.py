@@ -14,6 +14,7 @@ PAGE_SCHEMA = (
     "items array<struct<bbox:array<double>,text:string>>, images array<struct<xref:int,width:int,height:int,bbox:array<double>>>, "
     "drawings array<struct<bbox:array<double>>>, tables array<struct<bbox:array<double>,rows:array<array<string>>>>"
 )
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 LINES_PER_PAGE = 40
 
 
@@ -28,13 +29,23 @@ class FailingExtractor(PageExtractor):
     """Stands in where no document library is installed."""
 
     def pages(self, job_id: str, data: bytes) -> Iterator[dict]:
-        raise RuntimeError("Failed to open PDF: no document library is configured")
+        raise RuntimeError("no document library is configured")
+
+
+def accepted(file_name: str) -> str:
+    """The name under which an upload is saved; only PDF names are accepted."""
+    if not file_name.lower().endswith(".pdf"):
+        raise ValueError(f"only PDF files are accepted, not {file_name!r}")
+    return file_name
+
+
+def as_jobs(files: DataFrame) -> DataFrame:
+    return files.select(F.sha1("path").alias("job_id"), "path", "content")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded files (only ``*.pdf``) as job_id, path, content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select(F.sha1("path").alias("job_id"), "path", "content")
+    return as_jobs(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path))
 
 
 def extract_pages(files: DataFrame, extractor: type[PageExtractor] = FailingExtractor) -> DataFrame:
@@ -44,7 +55,12 @@ def extract_pages(files: DataFrame, extractor: type[PageExtractor] = FailingExtr
         e = extractor()
         names = [c.split(" ")[0] for c in ("job_id s", "page_index s", "width s", "height s", "text s", "items s", "images s", "drawings s", "tables s")]
         for b in batches:
-            rows = [r for job, data in zip(b["job_id"], b["content"]) for r in e.pages(job, bytes(data))]
+            rows = []
+            for job, data in zip(b["job_id"], b["content"]):
+                try:
+                    rows += e.pages(job, bytes(data))
+                except Exception as x:
+                    raise ValueError(f"Failed to open PDF: {x}") from x  # fixed text
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("job_id", "content").mapInPandas(run, PAGE_SCHEMA)

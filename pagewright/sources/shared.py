@@ -10,6 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or under a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"pagewright-{os.getpid()}")
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, a local one on a
+    local master, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"pagewright-{os.getpid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,13 +1,15 @@
 import datetime as dt
 import io
 import json
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.config import Config
+from pagewright.config import Config, image_mode
 from pagewright.engine import Engine
+from pagewright.functions import geometry as G
 from pagewright.operators import blocks as BL
 from pagewright.operators import embedding as EM
 from pagewright.operators import ocr as OC
@@ -17,9 +19,12 @@ from pagewright.operators import queue as QU
 from pagewright.operators import render as RE
 from pagewright.operators import stats as ST
 from pagewright.operators import tasks as TK
-from pagewright.sources.geometry import PAGE_SCHEMA
-from pagewright.sources.store import Store
-from pagewright.streaming.queue import debounce, run_provider
+from pagewright.session import start
+from pagewright.sources.geometry import PAGE_SCHEMA, PageExtractor, accepted
+from pagewright.sources.store import SCHEMAS, Store
+from pagewright.streaming.jobs import jobs_stream, parse_files
+from pagewright.streaming.queue import debounce, fold_stream, run_provider, run_tasks
+from pagewright.streaming.worker import EventLog, Worker
 
 SIGNALS = [
     (1200, 10, 0, 0.01, False, "fast_pymupdf", "editable_text_dense"), (0, 0, 1, 0.92, False, "vlm", "scan_or_image_heavy"), (120, 8, 0, 0.0, True, "vlm", "table_hint"),
@@ -162,6 +167,7 @@ def render_case(spark, policy, result, text="Table 1. a", meta=None, priority="o
 
 
 def test_render_policies_and_gate(spark):
+    assert RE.render_documents.__defaults__[0] == "all"
     assert "Table 1. a" in render_case(spark, "none", "Table 1. new") and "new" not in render_case(spark, "required", "Table 1. new")
     md = render_case(spark, "all", "Table 1. new")
     assert "Table 1. new\n\ntail\n" in md and 'title: "T \\"q\\""' in md and md.startswith("---\n") and "## Page 1" in md
@@ -192,13 +198,190 @@ def test_archive_payloads(spark):
         PL.split_batch([1], 2)
 
 
-def test_store_replaces_one_job(spark, tmp_path):
+def test_store_replaces_all_rows_of_a_job(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/store")
+    s.init()
     df = lambda rows: spark.createDataFrame(rows, "job_id string, page_index int, block_index int, text string")
     s.replace("blocks", df([("a", 0, 0, "x"), ("a", 0, 1, "y"), ("b", 0, 0, "z")]))
     s.replace("blocks", df([("a", 0, 0, "new")]))
     assert [(r.job_id, r.text) for r in s.read("blocks").orderBy("job_id").collect()] == [("a", "new"), ("b", "z")]
     assert s.blocks("a").count() == 1
+    task = spark.createDataFrame([("t", "a", "k", 0)], "task_id string, job_id string, block_id string, page_index int")
+    s.save(task, enhancement_tasks=task, blocks=df([("a", 0, 0, "kept")]))
+    s.save(task, enhancement_tasks=task.limit(0))  # parsed again without tasks: none is left
+    assert s.enhancement_tasks("a").count() == 0 and [r.text for r in s.blocks("a").collect()] == ["kept"]
+    assert s.vacuum(f"file://{tmp_path}/copy").read("blocks").count() == 2
+    with pytest.raises(KeyError):
+        s.job("nobody")
+
+
+def test_start_fails_open_jobs_and_updates_elapsed(spark, tmp_path):
+    store, n = start(f"file://{tmp_path}/store", spark)
+    assert n == 0
+    t0 = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", "processing", t0), ("b", "completed", t0)], "job_id string, status string, created_at timestamp")
+    full = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMAS["jobs"].split(", "))])
+    store.replace("jobs", full)
+    store.update_elapsed("b", 1.25, {"total_seconds": 1.25})
+    again, n = start(f"file://{tmp_path}/store", spark, dt.datetime(2024, 1, 2))
+    got = {r.job_id: (r.status, r.error, r.elapsed_seconds) for r in again.read("jobs").collect()}
+    assert n == 1 and got == {"a": ("failed", "interrupted by service restart", None), "b": ("completed", None, 1.25)}
+    assert again.job("b").first().timings == {"total_seconds": 1.25}
+
+
+def test_claims_need_a_lease_time_and_clamp_timeouts(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    tasks = spark.createDataFrame([("a", "processing", t0, None), ("b", "processing", t0, t0), ("c", "queued", t0, None)], "task_id string, status string, created_at timestamp, leased_at timestamp").withColumns({"worker_id": F.lit(None).cast("string"), "error": F.lit("e")})
+    got = lambda s: {r.task_id for r in QU.claim(tasks, t0, 9, "w", lease_seconds=s).collect()}
+    assert got(None) == {"c"} and got(0) == {"b", "c"} and got(-5) == {"b", "c"} and got(1) == {"c"}
+
+
+def test_image_modes_and_assets(spark):
+    modes = {"asset-only": "none", "asset": "none", "off": "none", "none": "none", None: "none", "Yes": "all", "all": "all", "disabled": "disabled", "asset_only": "asset_only", "No-Caption": "no-caption"}
+    assert {m: image_mode(m) for m in modes} == modes
+    meta = lambda **k: BL.metadata(image_candidate=F.lit(True), **{n: F.lit(v) for n, v in k.items()})
+    captioned, vector, plain_, forced = meta(vector_graphics_candidate=True, figure_caption_candidate=True), meta(vector_graphics_candidate=True), meta(), meta(force_vlm=True)
+    for mode, want in (("none", [0, 0, 0, 1]), ("all", [1, 1, 1, 1]), ("no-caption", [0, 1, 0, 1]), ("complex-uncaptioned", [0, 1, 0, 1]), ("disabled", [1, 1, 0, 1])):
+        assert list(spark.range(1).select(*[TK.queues_image(m, Config(image_mode=mode)).cast("int") for m in (captioned, vector, plain_, forced)]).first()) == want
+    lines = spark.createDataFrame([("j", 0, 0, "some text", [0.0, 0.0, 9.0, 9.0])], "job_id string, page_index int, line_index int, text string, bbox array<double>")
+    pages = spark.createDataFrame([("j", 0, 595.276, 841.8898, "scan_or_image_heavy")], "job_id string, page_index int, width double, height double, reason string")
+    b = OC.blocks_from_lines(lines, pages)
+    assert b.where("block_index = 0").first().bbox == [0.0, 0.0, 595.28, 841.89]
+    assert TK.tasks_from_blocks(b, pages).count() == 0
+    (task,) = TK.tasks_from_blocks(b, pages, Config(image_mode="all")).collect()
+    assert (task.kind, task.metadata.enhancement_priority, task.metadata.image_asset_only, task.metadata.image_vlm_mode) == ("image_candidate", "required", False, "all")
+    marked = TK.mark_candidates(b, pages).where("block_index = 0").first().metadata
+    assert (marked.enhancement_priority, marked.image_asset_only, marked.crop_path, marked.crop_padding, marked.crop_scale) == ("asset_only", True, "j/page-0000-block-0000.png", 8.0, 2.0)
+
+
+def test_stream_takes_events_in_any_order(spark, tmp_path):
+    """Events split over micro-batches in any order give the batch fold."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    e = [("a", "j", "k", at(0), 1, "created", None, None, None), ("a", "j", "k", at(5), 2, "claimed", "w1", None, None), ("a", "j", "k", at(9), 3, "completed", "w1", "r1", None), ("a", "j", "k", at(20), 5, "failed", "w2", None, "x" * 4100), ("a", "j", "k", at(12), 4, "claimed", "w2", None, None),
+         ("b", "j", "k", at(3), 1, "created", None, None, None), ("b", "j", "k", at(1), 0, "created", None, None, None), ("b", "j", "k", at(4), 2, "claimed", "w3", None, None)]
+    schema = "task_id string, job_id string, kind string, ts timestamp, seq long, event string, worker_id string, result string, error string"
+    for k, i in enumerate((4, 3, 7, 2, 0, 1, 6, 5)):
+        spark.createDataFrame([e[i]], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = fold_stream(events).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/marks").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/out")).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.select("batch").distinct().count() > 2
+    names = ["task_id", "job_id", "kind", "status", "created_at", "leased_at", "worker_id", "result", "error", "events"]
+    last = out.groupBy("task_id").agg(F.max_by(F.struct(*names[1:]), "batch").alias("s")).select("task_id", "s.*")
+    want = QU.fold(spark.createDataFrame(e, schema)).select(*names)
+    assert sorted(map(tuple, last.select(*names).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_worker_rounds(spark, tmp_path):
+    log = EventLog(spark, f"{tmp_path}/log")
+    tasks = spark.createDataFrame([(f"t{i}", "j", "image_candidate" if i == 3 else "table_candidate", i) for i in range(5)], "task_id string, job_id string, kind string, page_index int")
+
+    def call(task):
+        if task["task_id"] == "t1":
+            time.sleep(3)
+        if task["task_id"] == "t2":
+            raise RuntimeError("bad")
+        return "r"
+
+    worker = Worker(log, lambda df, w: run_tasks(df, call, w, 0.5, 2), "w", limit=3)
+    assert worker.once() == {"claimed": 0, "completed": 0, "failed": 0, "claim_errors": 1}  # there is no log yet
+    log.create(tasks, dt.datetime(2024, 1, 1))
+    seen = []
+    assert worker.loop(0.0, rounds=3, report=seen.append) == {"claimed": 5, "completed": 3, "failed": 2}
+    assert [c["claimed"] for c in seen] == [3, 2, 0]
+    state = {r.task_id: (r.status, r.error, r.result, r.worker_id) for r in log.tasks().collect()}
+    assert state["t1"] == ("failed", "VLM crop parse timed out after 0.5s", None, "w") and state["t2"] == ("failed", "bad", None, "w") and state["t3"] == ("completed", None, "r", "w")
+
+
+class Pages(PageExtractor):
+    def pages(self, job_id, data):
+        if data == b"broken":
+            raise OSError("no pages")
+        for i in range(len(data)):
+            yield {"job_id": job_id, "page_index": i, "width": 595.0, "height": 842.0, "text": "w " * 400, "items": [{"bbox": [0.0, 0.0, 9.0, 9.0], "text": "w  w"}], "images": [], "drawings": [], "tables": []}
+
+
+def test_files_become_jobs(spark, tmp_path):
+    (tmp_path / "up").mkdir()
+    for name, data in (("a.pdf", b"xx"), ("b.txt", b"x"), ("c.pdf", b"x")):
+        (tmp_path / "up" / name).write_bytes(data)
+    store, _ = start(f"file://{tmp_path}/store", spark)
+    parsed = parse_files(spark, f"file://{tmp_path}/up", Pages, store=store)
+    assert parsed.blocks.count() == 3 and {(r.file_name, r.status, r.page_count, r.block_count) for r in store.read("jobs").collect()} == {("a.pdf", "completed", 2, 2), ("c.pdf", "completed", 1, 1)}
+    job = store.read("jobs").where("file_name = 'a.pdf'").first().job_id
+    assert [r.text for r in store.blocks(job).collect()] == ["w w", "w w"] and store.job(job).count() == 1
+    (tmp_path / "up" / "d.pdf").write_bytes(b"broken")
+    jobs_stream(spark, f"file://{tmp_path}/up", store, f"{tmp_path}/marks", Pages).awaitTermination()
+    got = {r.file_name: (r.status, r.error) for r in store.read("jobs").collect()}
+    assert set(got) == {"a.pdf", "c.pdf", "d.pdf"} and got["d.pdf"][0] == "failed" and "Failed to open PDF" in got["d.pdf"][1]
+    assert accepted("x.PDF") == "x.PDF"
+    with pytest.raises(ValueError):
+        accepted("x.txt")
+
+
+def test_scanner_reasons(spark):
+    images = spark.createDataFrame([("j", i, bytes([i])) for i in range(3)], "job_id string, page_index int, image binary")
+
+    class Scan(OC.Scanner):
+        def scan(self, image):
+            return [(TSV, "ok"), ("level\n", "ok"), (None, "tesseract_error:late")][image[0]]
+
+    got = {r.page_index: (r.available, r.reason) for r in OC.scan_pages(images, Scan).collect()}
+    assert got == {0: (True, "ok"), 1: (False, "no_ocr_lines"), 2: (False, "tesseract_error:late")}
+    assert OC.scan_pages(images, Scan, Config(ocr_mode="magic")).first().reason == "unsupported_scan_ocr_mode:magic"
+    assert OC.CommandScanner("no-such-command").scan(b"") == (None, "tesseract_not_found")
+
+
+def test_providers_and_results():
+    def post(url, body, key):
+        return {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    remote = EM.provider("remote", post=post, url="http://h/v1/", model="m", key="k")
+    assert remote.embed(["a", "bbb"]) == [[1.0], [3.0]] and EM.provider("remote", post=post, url="http://h/v1/", model="m", key="k") is remote
+    with pytest.raises(ValueError):
+        EM.RemoteProvider(post, "u", "m", "")
+    pooled = EM.PooledProvider(lambda texts: ([[[1.0, 0.0], [0.0, 1.0], [9.0, 9.0]]], [[1, 1, 0]]), "m", 2)
+    assert pooled.embed(["x"]) == [[0.707107, 0.707107]]
+
+    class Model:
+        def model_dump(self):
+            return {"content": " c ", 3: (1, {2})}
+
+    assert PL.jsonable([Model(), object]) == [{"content": " c ", "3": [1, [2]]}, str(object)]
+    r = PL.task_result("p.png", [[Model()], {"x": {"text": "t"}}], (3, 4), 1.5, 640)
+    assert (r["markdown"], r["image_size"], r["max_image_width"], len(r["content_items"]), r["crop_path"]) == ("c\n\nt", [3, 4], 640, 2, "p.png")
+
+
+def test_archives_of_workers_and_their_limits(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("b.md", " first \n" + "x" * 3000)
+        for i in range(90):
+            z.writestr(f"n{i}", "")
+        z.writestr("q_content_list.json", json.dumps([{"text": "a"}, [{"type": "t"}]]))
+        z.writestr("r_content_list_v2.json", json.dumps({"text": "not a list"}))
+    df = spark.createDataFrame([("j", 0, data.getvalue()), ("k", 1, b"?")], "job_id string, page_index int, content binary")
+    a, b = PL.worker_results(df).orderBy("job_id").collect()
+    assert len(a.zip_entries) == 80 and a.markdown.startswith(" first \n") and json.loads(a.content_items) == [{"text": "a"}, {"type": "t"}] and a.n_items == 2
+    assert b.error and b.markdown is None
+    s = PL.archive_summary(df).orderBy("job_id").first()
+    assert len(s.zip_entries) == 40 and s.markdown_preview is None
+
+
+def test_rounding_is_of_the_binary_value(spark):
+    values = [2.675, 0.125, 1.005, 0.375, -2.675, -0.125, 595.276, 1e9 + 0.015, 0.0, 2.5, 0.005, 1.115, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (2, 3, 4):
+        assert [r[0] for r in df.select(G.rounded(F.col("x"), places)).collect()] == [round(v, places) for v in values]
+
+
+def test_appended_blocks_are_numbered_on(spark):
+    b = BL.with_block_ids(blocks_frame(spark, [dict(job_id="j", page_index=0, block_index=i, kind="text", text="t") for i in range(2)]).withColumn("metadata", BL.metadata()))
+    more = b.where("block_index = 0").unionByName(BL.with_block_ids(blocks_frame(spark, [dict(job_id="j", page_index=1, block_index=0, kind="text", text="u")]).withColumn("metadata", BL.metadata())))
+    out = BL.append_blocks(b, more).orderBy("page_index", "block_index").collect()
+    assert [(r.page_index, r.block_index) for r in out] == [(0, 0), (0, 1), (0, 2), (1, 0)] and len({r.block_id for r in out}) == 4
 
 
 def test_engine_end_to_end(spark):

@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans.oracles import ORACLES
-from pagewright.plans.queries import QUERIES
+from pagewright.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,7 +39,7 @@ def test_against_duckdb(spark, name):
 def test_caption_clusters_reach_as_far_as_the_lookback(spark, tmp_path):
     docs = [(n, "\n".join("x" * n)) for n in (1, 4, 12, 13, 15, 16, 40)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.above, r.below) for r in QUERIES["caption_clusters_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.above, r.below) for r in QUERIES["caption_clusters"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 0), 4: (3, 0), 12: (3, 8), 13: (3, 9), 15: (3, 11), 16: (3, 11), 40: (3, 11)}
 
 
