@@ -131,7 +131,10 @@ def hilbert_shards(documents: DataFrame, n_shards: int = 8, bits: int = BITS) ->
     numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy(*division).orderBy("doc_id", "row")) - 1)
     ranked = numbered.join(offsets, division).withColumn("rank", F.col("first") + F.col("offset") + F.col("i"))
     shard = F.expr(f"cast((rank * {n_shards}) div total as int)")
-    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "cell", "shard", F.expr(f"rank - ((shard * total + {n_shards - 1}) div {n_shards})").cast("long").alias("slot"))
+    out = ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "cell", "shard", F.expr(f"rank - ((shard * total + {n_shards - 1}) div {n_shards})").cast("long").alias("slot"))
+    out = cut(out, "shards")
+    discard(rows, cells)
+    return out
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

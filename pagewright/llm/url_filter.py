@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, discard
 
 ORDER = 3
 STRENGTH = 2.0
@@ -130,9 +130,13 @@ def score_urls(urls: DataFrame, model: DataFrame) -> DataFrame:
     texts = cut(keyed.select("_key").distinct().withColumn("_n", F.monotonically_increasing_id()), "url-texts")
     padded = texts.select("_n", _padded(F.col("_key")).alias("u"))
     chars = padded.select("_n", "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("i")).select("_n", F.substring(F.col("u"), F.col("i") - ORDER, F.lit(ORDER + 1)).alias("gram"))
-    values = cut(gram_values(cut(chars.select("gram").distinct(), "url-distinct-grams"), model), "url-values")
+    grams = cut(chars.select("gram").distinct(), "url-distinct-grams")
+    values = cut(gram_values(grams, model), "url-values")
+    discard(grams)
     scores = chars.join(values, "gram").groupBy("_n").agg(F.round(F.avg("x"), 9).alias("score"))
-    return keyed.join(texts.join(scores, "_n").drop("_n"), "_key").drop("_key")
+    out = keyed.join(texts.join(scores, "_n").drop("_n"), "_key").drop("_key")
+    out.sources = (texts, values)
+    return out
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -156,8 +160,11 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     judged = rows.withColumns({"rule": rule, "by_rule": verdict})
     judged = judged.withColumn("accepted", F.col("by_rule") == "allow")
     known = judged.where("by_rule is not null").select("url", "accepted")
-    model = cut(model_row(log_ratios(cut(gram_counts(known), "url-grams"))), "url-model")
-    scored = cut(score_urls(judged, model), "url-scores")
+    grams = cut(gram_counts(known), "url-grams")
+    model = cut(model_row(log_ratios(grams)), "url-model")
+    judged = score_urls(judged, model)
+    scored = cut(judged, "url-scores")
+    discard(grams, model, *judged.sources)
     limit = calibrate(scored.where("accepted is not null"))
     return scored.select("page_id", "url", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= limit, "allow").otherwise("block")).alias("verdict"), "score")
 
