@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages from raw documents to verified token ids.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and reread
-as the next one's ``docs``. All but the last return the columns of ``documents``.
+as the next one's ``docs``. All but the last return the columns of ``documents``, further
+ones of any name with them.
+
+Defined edge cases, for every stage: a null text counts as empty and stays null; null and
+repeated doc_ids are kept and told apart by their texts; no stage caps or samples rows; an
+empty table gives an empty one. Empty texts are neither toxic nor copies nor contaminated and
+have no tokens. Rows that repeat in id and text are copies of one another: one stays.
 """
 
 from __future__ import annotations
@@ -20,22 +26,24 @@ REPEAT_BYTES = 240
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go; without confirmed examples all stay."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one of the smallest id (null
+    first); texts without words all stay."""
     return keep_one(docs, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts."""
+    """Repeated passages go from the texts, all occurrences; texts shorter than a passage stay as
+    they are, and a text of passages only becomes empty."""
     return remove_repeats(docs, REPEAT_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold an item's question and answer go; without items all stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
