@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pagewright.llm import _kernels as K
 from pagewright.llm import decontaminate as D
 from pagewright.llm import quality as Q
 from pagewright.llm import sharding as H
@@ -57,6 +58,58 @@ def test_toxicity_held_out(spark):
     assert T.toxicity(X.empty(spark), labels).count() == 0
 
 
+LONG = X.prose(4321, 30_000)
+
+
+def test_quality_scores_against_features_one_by_one():
+    r = np.random.default_rng(0)
+    model = Q.QualityModel(r.normal(0, 3, 1 << 16).astype(np.float32), 0.25, 16)
+    texts = ["", " \n", "a", "ab cd", "é漢字 x", "Word word WORD", X.prose(5, 40), LONG] + [r[1] or "" for r in X.rows()][:8]
+    got = model.score(pa.array(texts))
+    for t, score in zip(texts, got):
+        ids = [int(K.span_hash(K.prefix_hash(np.frombuffer(w.encode(), np.uint8)), np.array([0]), np.array([len(w.encode())]))[0]) >> 48 for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        for k in Q.ORDERS:
+            for i in range(len(t) - k + 1):
+                g = k
+                for j in range(k):
+                    g = (g ^ ord(t[i + j])) * int(Q._MULT[j]) & 0xFFFFFFFF
+                g = (g ^ g >> 15) * int(Q._MULT[4]) & 0xFFFFFFFF
+                ids.append(g >> 16)
+        z = float(np.sum(model.weights[ids], dtype=np.float64)) / max(len(ids), 1) + 0.25
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_scores_against_features_one_by_one():
+    r = np.random.default_rng(1)
+    slot = np.zeros(1 << T.BITS, np.int32)
+    slot[r.choice(1 << T.BITS, 1 << 16, replace=False)] = np.arange(1, (1 << 16) + 1)
+    model = T.ToxicityModel(slot, np.concatenate(([0.0], r.normal(0, 1, 1 << 16))), -0.5)
+    texts = ["", "12 34", "word", "Wordly wordly! words", "éléphant été", X.prose(6, 60), LONG]
+    hash_of = lambda b: int(K.span_hash(K.prefix_hash(np.frombuffer(b, np.uint8), lower=True), np.array([0]), np.array([len(b)]))[0])
+    for t, score in zip(texts, model.score(pa.array(texts))):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())
+        seen = Counter()
+        for w in words:
+            seen[hash_of(w) >> (64 - T.BITS)] += 1
+            for k in T.PREFIXES:
+                if len(w) > k:
+                    seen[(hash_of(w[:k]) ^ (0xABCDEF0123456789 + k)) >> (64 - T.BITS)] += 1
+        slots = Counter()
+        for b, n in seen.items():
+            slots[int(slot[b])] += n
+        z = -0.5 + sum(model.weights[s] * 4.0 * n / (n + 1.0 + len(words) / 250.0) for s, n in slots.items() if s)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_classifiers_take_very_long_texts(spark):
+    docs, labels = labelled(spark, lambda i, y: X.prose(i, 30) + (" vileword" * 3 if y else ""))
+    more = docs.unionByName(spark.createDataFrame([(9000, LONG, "en", "s", 0), (9001, LONG + " vileword" * 4000, "en", "s", 0)], X.SCHEMA))
+    more_labels = labels.unionByName(spark.createDataFrame([(9000, 0, 0), (9001, 1, 1)], "doc_id long, quality int, toxic int"))  # too long to be learned from
+    for out in (Q.quality_classifier(more, more_labels), T.toxicity(more, more_labels)):
+        got = {r.doc_id: r.score for r in out.where("doc_id >= 9000").collect()}
+        assert len(got) == 2 and got[9001] > got[9000] and all(0 <= s <= 1 for s in got.values())
+
+
 def test_risk_is_non_negative_and_clean_text_scores_low():
     model = T.fit([X.prose(i, 30) + " curse" for i in range(40)], [X.prose(100 + i, 30) + (" curse" if i % 10 == 0 else "") for i in range(200)], 0.1)
     s = model.score(pa.array([X.prose(900, 30) + " curse", X.prose(901, 30), ""]))
