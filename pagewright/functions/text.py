@@ -11,8 +11,9 @@ from pagewright.config import DEFAULT, Config, native_tables
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Line ends: LF CR CRLF VT FF FS GS RS NEL LS PS.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-#: Fixed patterns of captions and table-like rows.
-TABLE_ROW = r"(?U)\S+(?:[^\S\r\n]{2,}\S+){3,}"
+#: Fixed patterns of captions and table-like rows. Three gaps are enough to find a row; asking
+#: for more would make the matcher recurse over a long line.
+TABLE_ROW = r"(?U)\S+(?:[^\S\r\n]{2,}\S+){3}"
 TABLE_CAPTION = r"(?iU)(^|\n)\s*Table\s+\d+[.:]?"
 TABLE_CAPTION_START = r"(?iU)^\s*Table\s+\d+\s*[.:]"
 FIGURE_CAPTION = r"(?iU)(^|\n)\s*(Figure|Fig\.)\s+\d+[.:]?"

