@@ -25,8 +25,9 @@ def words(pages: DataFrame, config: Config = DEFAULT, scale: float = 2.0) -> Dat
     """job_id, page_index, tsv -> one row a word with its box. Only word rows with text and
     readable numbers count; a confidence below the limit drops a word, a negative one does
     not. Quoting is not interpreted."""
-    # the cells come out of the generator, so that a row is split once however often they are read
-    rows = pages.select("job_id", "page_index", F.explode(F.transform(T.lines(F.col("tsv")), lambda x: F.split(x, "\t"))).alias("_c"))
+    rows = pages.select("job_id", "page_index", F.explode(T.lines(F.col("tsv"))).alias("_line"))
+    # the cells come out of a generator, so that a row is split once however often they are read
+    rows = rows.select("job_id", "page_index", F.explode(F.array(F.split("_line", "\t"))).alias("_c"))
     c = F.col("_c")
     sizes = {k: _number(c, k, "double") / scale for k in _SIZES}
     box = G.box(sizes["left"], sizes["top"], sizes["left"] + sizes["width"], sizes["top"] + sizes["height"])

@@ -442,9 +442,24 @@ def _tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("page_index"), F.concat(F.lit("\t".join(OC._FIELDS) + "\n"), F.array_join(rows, "\n")).alias("tsv"))
 
 
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document read back from TSV, by line."""
+    w = OC.words(_tsv(spark, sf_dir))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_num", "text"))), lambda x: x["text"]), " ")
+    return w.groupBy("job_id", "line_num").agg(F.count("*").alias("words"), _md5(joined).alias("text_md5"), F.sum(F.col("bbox")[0] + F.col("bbox")[3]).alias("places"))
+
+
+def _placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words as rows: the doubtful ones are left out."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.posexplode(F.split("text", "\n")).alias("line_num", "t"))
+    w = d.select("job_id", "line_num", F.posexplode(F.split("t", " ")).alias("word_num", "text")).where("text <> '' and word_num % 7 <> 6")
+    x, y = F.col("word_num") * 64.0, F.col("line_num") * 16.0
+    return w.select("job_id", F.lit(0).alias("page_index"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), "line_num", "word_num", F.array(x, y, x + 32.0, y + 8.0).alias("bbox"), "text")
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document read back from TSV and put together to lines."""
-    out = OC.lines(OC.words(_tsv(spark, sf_dir)))
+    """Every word of every document put together to lines."""
+    out = OC.lines(_placed_words(spark, sf_dir))
     return out.select("job_id", F.col("line_index").cast("long").alias("line_index"), _md5(F.col("text")).alias("text_md5"), F.col("bbox")[2].alias("right"), F.col("bbox")[3].alias("bottom"))
 
 
@@ -452,6 +467,7 @@ _WORDS = """w AS (SELECT doc_id, line, unnest(string_split(t, ' ')) AS w, unnest
   g AS (SELECT doc_id, line, i, w, lag(i) OVER v AS bi, lag(w) OVER v AS bw FROM w WHERE w <> '' AND i % 7 <> 6 WINDOW v AS (PARTITION BY doc_id, line ORDER BY i)),
   c AS (SELECT *, 64.0 * (i - bi) - 32 AS gap, greatest(3.5, 32.0 / length(bw)) AS ch FROM g),
   l AS (SELECT doc_id, line, string_agg(CASE WHEN bi IS NULL THEN w ELSE repeat(' ', CASE WHEN gap > ch * 1.5 THEN greatest(1, least(12, round_even(gap / ch, 0)))::INTEGER ELSE 1 END) || w END, '' ORDER BY i) AS t, max(i * 64.0 + 32) AS r, max(line * 16.0 + 8) AS b FROM c GROUP BY doc_id, line)"""
+SQL["ocr_words"] = f"""WITH {_WORDS} SELECT doc_id::VARCHAR AS job_id, line::INTEGER AS line_num, count(*) AS words, md5(string_agg(w, ' ' ORDER BY i)) AS text_md5, sum(i * 64.0 + line * 16.0 + 8)::DOUBLE AS places FROM g GROUP BY doc_id, line"""
 SQL["ocr_lines"] = f"""WITH {_WORDS} SELECT doc_id::VARCHAR AS job_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::BIGINT AS line_index, md5(t) AS text_md5, r::DOUBLE AS "right", b::DOUBLE AS bottom FROM l"""
 
 
@@ -460,7 +476,7 @@ def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     far below the last."""
     k = F.col("line_index")
     shift = F.floor(k / 17) * 100.0
-    rows = OC.lines(OC.words(_tsv(spark, sf_dir))).withColumn("text", F.when(F.pmod(k, F.lit(20)) == 12, F.concat(F.lit("Table "), k.cast("string"), F.lit(". x"))).otherwise(F.col("text")))
+    rows = OC.lines(_placed_words(spark, sf_dir)).withColumn("text", F.when(F.pmod(k, F.lit(20)) == 12, F.concat(F.lit("Table "), k.cast("string"), F.lit(". x"))).otherwise(F.col("text")))
     b = F.col("bbox")
     rows = rows.withColumn("bbox", F.array(b[0], k * 16.0 + shift, b[2], k * 16.0 + shift + 8))
     pages = rows.select("job_id", "page_index").distinct().select("*", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.lit("scan_or_image_heavy").alias("reason"))
@@ -476,5 +492,5 @@ SQL["ocr_blocks"] = f"""WITH {_WORDS}, n AS (SELECT doc_id, row_number() OVER (P
 
 FLOWS = (
     parse_documents, parse_tasks, parse_counters, block_ids, vector_regions, image_ratios, crop_images, worker_widths, block_tasks, blocks_with_embeddings, rendered_documents, asset_names, stored_blocks, upserted_jobs,
-    queue_stats, job_counters, bench_summary, worker_round, job_states, html_tables, page_tables, inline_tables, archive_blocks, worker_archives, ocr_lines, ocr_blocks,
+    queue_stats, job_counters, bench_summary, worker_round, job_states, html_tables, page_tables, inline_tables, archive_blocks, worker_archives, ocr_words, ocr_lines, ocr_blocks,
 )
