@@ -62,7 +62,7 @@ class WordEncoder:
 
     MARK = "\ue000"
 
-    def __init__(self, path: str, capacity: int = 1_000_000) -> None:
+    def __init__(self, path: str, capacity: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.capacity = capacity
