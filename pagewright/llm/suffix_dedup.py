@@ -135,9 +135,9 @@ def _anchors(docs: DataFrame, length: int, stretch: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "rid long, name long, n byte")
 
 
-def _candidates(docs: DataFrame, length: int, stretch: int) -> DataFrame:
+def _candidates(docs: DataFrame, length: int, stretch: int, texts_too: bool) -> DataFrame:
     """(rid, doc_id, key, repeated, text) -> rid, doc_id, key, n_bytes, kept_sha256, text, pieces;
-    the text is carried on only with pieces, without them the digest is final."""
+    without pieces the digest is final and the text is carried on only with ``texts_too``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("owner", pa.int64()), ("s1", pa.int64()), ("s2", pa.int32()), ("again", pa.bool_())]))
@@ -154,7 +154,7 @@ def _candidates(docs: DataFrame, length: int, stretch: int) -> DataFrame:
                             pieces += [p | {"start": p["start"] + at} for p in _Text(some, length).pieces(known)]
                     size.append(len(data))
                     sha.append(None if pieces else hashlib.sha256(data).hexdigest())
-                    texts.append(t if pieces else None)
+                    texts.append(t if pieces or texts_too else None)
                     found.append(pieces or None)
                 made = [pa.array(c, t) for c, t in zip((size, sha, texts, found), (pa.int64(), pa.string(), pa.string(), piece))]
                 yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("rid", "doc_id", "key")), *made], ["rid", "doc_id", "key", "n_bytes", "kept_sha256", "text", "pieces"])
@@ -300,8 +300,9 @@ def merged(start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _removal(docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, n_bytes, kept_sha256, text, runs) -> key, doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, kept: removed bytes are those of a string at a repeated start."""
+    """(key, doc_id, n_bytes, text, runs) -> key, doc_id, n_bytes, n_removed, n_spans,
+    kept_sha256, kept_text: removed bytes are those of a string at a repeated start, and the
+    text loses what is left of characters that a cut divides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,36 +311,32 @@ def _removal(docs: DataFrame, length: int) -> DataFrame:
                 flat, edge = lists.values, lists.offsets.to_numpy()
                 start, size = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "len"))
                 removed, spans, shas, kepts = [], [], [], []
-                for i, (sha, t) in enumerate(zip(column(part, "kept_sha256").to_pylist(), column(part, "text").to_pylist())):
-                    kept, gone, count = None, 0, 0
-                    if t is not None:
-                        data = t.encode("utf-8")
-                        a, b = edge[i], edge[i + 1]
-                        if lists[i].is_valid and b > a:
-                            begin, end = merged(start[a:b], size[a:b], length)
-                            gone, count = int((end - begin).sum()), len(begin)
-                            data = kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
-                        sha = hashlib.sha256(data).hexdigest()
-                    for c, v in zip((removed, spans, shas, kepts), (gone, count, sha, kept)):
+                for i, t in enumerate(column(part, "text").to_pylist()):
+                    gone, count, data = 0, 0, t.encode("utf-8")
+                    a, b = edge[i], edge[i + 1]
+                    if lists[i].is_valid and b > a:
+                        begin, end = merged(start[a:b], size[a:b], length)
+                        gone, count = int((end - begin).sum()), len(begin)
+                        data = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+                    for c, v in zip((removed, spans, shas, kepts), (gone, count, hashlib.sha256(data).hexdigest(), data.decode("utf-8", "ignore"))):
                         c.append(v)
-                made = [pa.array(c, x) for c, x in zip((removed, spans, shas, kepts), (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("key", "doc_id", "n_bytes")), *made], ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                made = [pa.array(c, x) for c, x in zip((removed, spans, shas, kepts), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("key", "doc_id", "n_bytes")), *made], ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    names = ("key", "doc_id", "n_bytes", "kept_sha256", "text", "runs")
-    return docs.select(*names).mapInArrow(run, "key binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.select("key", "doc_id", "n_bytes", "text", "runs").mapInArrow(run, "key binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
-    """key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row; ``kept`` (the
-    remaining bytes) is null where nothing is removed. ``key`` is the row key of ``keyed``.
-    Texts are worked on in stretches of ``stretch`` starts."""
+def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = STRETCH, texts_too: bool = False) -> DataFrame:
+    """key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row; the
+    remaining text may be null where nothing is removed, but for ``texts_too``. ``key`` is the
+    row key of ``keyed``. Texts are worked on in stretches of ``stretch`` starts."""
     docs = numbered(keyed(documents))
     anchors = cut(_anchors(docs, length, stretch), "anchors")
     # counts are written before rows are joined with them: Spark splits the rows of a hot name
     # only where the join stands alone
     repeated = cut(anchors.groupBy("name").agg(F.sum("n").alias("c")).where("c > 1").select("name"), "repeated")
     by_doc = anchors.select("rid", "name").join(repeated, "name", "left_semi").groupBy("rid").agg(F.collect_set("name").alias("repeated"))  # bounded by one text
-    found = cut(_candidates(docs.join(by_doc, "rid", "left"), length, stretch), "candidates")
+    found = cut(_candidates(docs.join(by_doc, "rid", "left"), length, stretch, texts_too), "candidates")
     discard(anchors, repeated)
 
     pieces = found.select("rid", F.inline("pieces"))
@@ -348,14 +345,16 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = ST
     classes = cut(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.max("again").alias("again"), *[F.first(k).alias(k) for k in ("rid", "start", "len")]), "classes")
     several = classes.groupBy("owner").agg(F.count("*").alias("k"), F.max("again").alias("m")).where("k > 1 or m").select("owner")
     todo = classes.join(several, "owner", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", "len", "owner", (F.col("c") > 1).alias("known"))).alias("todo"))  # bounded by one text
-    texts = found.where("text is not null").select("rid", "text")
+    texts = found.where("pieces is not null").select("rid", "text")
     positions = cut(_positions(todo.join(texts, "rid"), length, stretch), "positions")
     single = _repeats(positions, length)
     discard(positions)
     whole = pieces.join(classes.where("c > 1").select(*name), name, "left_semi").select("rid", "start", "len")
     runs = cut(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias("runs")), "runs")  # bounded by one text
     discard(single, classes)
-    out = _removal(found.drop("pieces").join(runs, "rid", "left"), length)
+    # texts without pieces stay where they are
+    fine = found.where("pieces is null").select("key", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.col("text").alias("kept_text"))
+    out = _removal(found.where("pieces is not null").drop("pieces").join(runs, "rid", "left"), length).unionByName(fine)
     out.sources = (found, runs)
     return out
 
@@ -364,16 +363,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``documents``, all columns, without the repeated bytes; characters that a cut divides
     go too, and a column n_chars follows the new text."""
     found = repeated_spans(documents, length)
-    spans = found.where("n_removed > 0").select("key", "kept")
-
-    def to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "kept", 4 << 20):
-                kept = [k.decode("utf-8", "ignore") for k in column(part, "kept").to_pylist()]
-                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(kept, pa.string())], ["key", "new_text"])
-
-    changed = spans.mapInArrow(to_text, "key binary, new_text string").withColumn("n", F.lit(1))
-    changed = cut(changed.groupBy("key").agg(F.first("new_text").alias("new_text")).withColumn("hit", F.lit(True)), "changed")
+    spans = found.where("n_removed > 0").select("key", "kept_text")
+    changed = cut(spans.groupBy("key").agg(F.first("kept_text").alias("new_text")).withColumn("hit", F.lit(True)), "changed")
     discard(*found.sources)
     joined = with_row(documents).hint("merge").join(changed, "key", "left")
     columns = []
@@ -385,13 +376,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(read_documents(spark, sf_dir))
-    out = cut(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), "suffix-dedup")
+    """The digest columns, and the remaining text."""
+    found = repeated_spans(read_documents(spark, sf_dir), texts_too=True)
+    out = cut(found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text")), "suffix-dedup")
     discard(*found.sources)
     return out
 
 
-ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+#: A well-formed character in bytes written as hexadecimal numbers, a blank before each.
+_TAIL = " [89AB][0-9A-F]"
+_CHARACTER = "|".join([" [0-7][0-9A-F]", f" (?:C[2-9A-F]|D[0-9A-F]){_TAIL}", f" E0 [AB][0-9A-F]{_TAIL}", f" E[1-9A-CEF]{_TAIL * 2}", f" ED [89][0-9A-F]{_TAIL}", f" F0 [9AB][0-9A-F]{_TAIL * 2}", f" F[1-3]{_TAIL * 3}", f" F4 8[0-9A-F]{_TAIL * 2}"])
+ORACLE = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
   p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
   r AS (SELECT doc_id, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
   b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
@@ -399,6 +394,7 @@ ORACLE = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strl
   s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run),
   k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last FROM s GROUP BY doc_id),
   o AS (SELECT s.doc_id, s.a, coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS y FROM s),
-  t AS (SELECT o.doc_id, string_agg(substr(d.h, 2 * o.y + 1, 2 * (o.a - o.y)), '' ORDER BY o.a) AS kept FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
-  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
-    sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE t.kept || substr(d.h, 2 * k.last + 1) END)) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+  t AS (SELECT o.doc_id, string_agg(substr(d.h, 2 * o.y + 1, 2 * (o.a - o.y)), '' ORDER BY o.a) AS kept FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id),
+  f AS (SELECT d.doc_id, d.n, d.x, k.n_removed, k.n_spans, CASE WHEN k.doc_id IS NULL THEN d.h ELSE t.kept || substr(d.h, 2 * k.last + 1) END AS h FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id)
+  SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256,
+    CASE WHEN n_removed IS NULL THEN x ELSE decode(unhex(replace(array_to_string(regexp_extract_all(regexp_replace(h, '(..)', ' \1', 'g'), '{_CHARACTER}'), ''), ' ', ''))) END AS text FROM f"""

@@ -84,8 +84,10 @@ def brute_removal(rows, length):
 
 def test_suffix_dedup_against_brute_force(spark):
     for length in (60, 400):
-        got = S.repeated_spans(X.documents(spark), length).collect()
+        got = S.repeated_spans(X.documents(spark), length, texts_too=True).collect()
         assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute_removal(X.rows(), length))
+        assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.n_bytes == len(r.kept_text.encode()) + r.n_removed)
+        assert sorted(r.kept_text for r in got if not r.n_removed) == sorted(x[1] or "" for x, y in zip(X.rows(), brute_removal(X.rows(), length)) if not y[1])
     assert S.repeated_spans(X.empty(spark)).count() == 0
 
 
