@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ class Parsed:
     embeddings: DataFrame
     jobs: DataFrame
 
+    def in_order(self) -> Parsed:
+        """Pages by number, blocks by page and place, tasks by page and id."""
+        by = {"pages": ("page_index",), "blocks": ("page_index", "block_index"), "tasks": ("page_index", "task_id")}
+        return replace(self, **{k: getattr(self, k).orderBy("job_id", *c) for k, c in by.items()})
+
 
 class Engine:
     def __init__(self, config: Config = DEFAULT) -> None:

@@ -147,6 +147,29 @@ def worker_results(archives: DataFrame) -> DataFrame:
     return _each_archive(archives, read, "zip_entries array<string>, markdown string, content_items string, n_items int")
 
 
+class ServiceCall:
+    """A vision service behind ``post(task)``, which gives (status, body): a status of 400 and more
+    fails with the beginning of the body, an archive that can't be read with its error. The result
+    is JSON text for the event log."""
+
+    def __init__(self, post: Callable[[dict], tuple[int, bytes]], error_chars: int = 4000) -> None:
+        self.post, self.error_chars = post, error_chars
+
+    def __call__(self, task: dict) -> str:
+        status, body = self.post(task)
+        if status >= 400:
+            raise RuntimeError(body.decode("utf-8", errors="replace")[: self.error_chars])
+        a = _Archive(body)
+        items = [x for _, p in a.content() if isinstance(p, list) for x in flatten(p)]
+        found = {"status_code": status, "zip_entries": a.names[:WORKER_NAMES], "markdown": next((t for _, t in a.markdown()), ""), "content_items": items}
+        return json.dumps(found, ensure_ascii=False)
+
+
+def set_options(**options) -> dict:
+    """The options of a model that are set; the model's own defaults hold for the others."""
+    return {k: v for k, v in options.items() if v is not None and v != ""}
+
+
 def archive_blocks(archives: DataFrame, source: str = "archive_vlm") -> DataFrame:
     """Blocks of page archives, in archive order."""
     items = archive_items(archives).where("error is null")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,26 @@ def extract_pages(files: DataFrame, extractor: type[PageExtractor] = FailingExtr
     return files.select("job_id", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
+class CropRenderer(ABC):
+    """Draws a box of a page as PNG bytes; made once in each Python worker."""
+
+    @abstractmethod
+    def crop(self, job_id: str, page_index: int, bbox: list[float], scale: float) -> bytes: ...
+
+
+def render_crops(marked: DataFrame, factory: Callable[[], CropRenderer]) -> DataFrame:
+    """Blocks with the marks of the vision queue -> crop_path, content of each candidate."""
+    m = F.col("metadata")
+    todo = marked.where(m["crop_path"].isNotNull()).select("job_id", "page_index", m["crop_path"].alias("crop_path"), m["crop_bbox"].alias("bbox"), m["crop_scale"].alias("scale"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        renderer = factory()
+        for b in batches:
+            yield pd.DataFrame({"crop_path": b["crop_path"], "content": [renderer.crop(j, int(p), list(x), float(s)) for j, p, x, s in zip(b["job_id"], b["page_index"], b["bbox"], b["scale"])]})
+
+    return todo.mapInPandas(run, "crop_path string, content binary")
+
+
 def pages_of_documents(documents: DataFrame) -> DataFrame:
     """A geometry table derived from plain texts: a page is every 40 lines, an item a line,
     and image figures follow the id, so that all routes occur."""

@@ -20,7 +20,7 @@ from pagewright.operators import render as RE
 from pagewright.operators import stats as ST
 from pagewright.operators import tasks as TK
 from pagewright.session import start
-from pagewright.sources.geometry import PAGE_SCHEMA, PageExtractor, accepted
+from pagewright.sources.geometry import PAGE_SCHEMA, CropRenderer, PageExtractor, accepted, render_crops
 from pagewright.sources.store import SCHEMAS, Store
 from pagewright.streaming.jobs import jobs_stream, parse_files
 from pagewright.streaming.queue import debounce, fold_stream, run_provider, run_tasks
@@ -370,6 +370,29 @@ def test_archives_of_workers_and_their_limits(spark):
     assert len(s.zip_entries) == 40 and s.markdown_preview is None
 
 
+def test_service_calls_and_crops(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a.md", "# m")
+        z.writestr("a_content_list.json", json.dumps([{"text": "t"}]))
+    got = json.loads(PL.ServiceCall(lambda task: (200, data.getvalue()))({}))
+    assert got == {"status_code": 200, "zip_entries": ["a.md", "a_content_list.json"], "markdown": "# m", "content_items": [{"text": "t"}]}
+    with pytest.raises(RuntimeError, match="^x{2000}$"):
+        PL.ServiceCall(lambda task: (500, b"x" * 5000), 2000)({})
+    with pytest.raises(zipfile.BadZipFile):
+        PL.ServiceCall(lambda task: (200, b"no zip"))({})
+    assert PL.set_options(a=1, b=None, c="", d=0) == {"a": 1, "d": 0}
+
+    class Box(CropRenderer):
+        def crop(self, job_id, page_index, bbox, scale):
+            return f"{job_id} {page_index} {bbox} {scale}".encode()
+
+    b = BL.with_block_ids(blocks_frame(spark, [dict(job_id="j", page_index=2, block_index=0, kind="text", text="t")]).withColumn("metadata", BL.metadata(table_candidate=F.lit(True))))
+    pages = spark.createDataFrame([("j", 2, 595.0, 842.0)], "job_id string, page_index int, width double, height double")
+    r = render_crops(TK.mark_candidates(b, pages), Box).first()
+    assert (r.crop_path, bytes(r.content)) == ("j/page-0002-block-0000.png", b"j 2 [10.0, 40.0, 340.0, 220.0] 4.0")
+
+
 def test_rounding_is_of_the_binary_value(spark):
     values = [2.675, 0.125, 1.005, 0.375, -2.675, -0.125, 595.276, 1e9 + 0.015, 0.0, 2.5, 0.005, 1.115, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -389,6 +412,7 @@ def test_engine_end_to_end(spark):
     p = Engine(Config(embedding_dim=16)).parse(spark.createDataFrame(rows, PAGE_SCHEMA))
     jobs = p.jobs.first()
     assert (jobs.page_count, jobs.fast_page_count, jobs.vlm_page_count, jobs.block_count, jobs.embedding_count, jobs.enhancement_task_count) == (2, 1, 1, 2, 2, 1)
+    assert [r.page_index for r in p.in_order().blocks.collect()] == [0, 1]
     ocr = spark.createDataFrame([("j", 1, TSV)], "job_id string, page_index int, tsv string")
     with_ocr = Engine(Config(ocr_min_chars=10)).parse(spark.createDataFrame(rows, PAGE_SCHEMA), ocr)
     assert {r.source for r in with_ocr.blocks.select("source").distinct().collect()} == {"fast_pymupdf", "scan_ocr_tesseract"}
