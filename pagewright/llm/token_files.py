@@ -57,12 +57,13 @@ class WordEncoder:
     order. A full stop or comma that ends a chunk after a letter is a piece of its
     own for the pattern and so a chunk here. Chunks are known by the 64-bit hash of
     their bytes, A-Z lower-cased; unknown ones are encoded together, with a mark
-    between them that no such chunk holds. The memory is emptied when full. Texts that
-    hold the string of a special token go to the library whole."""
+    between them that no such chunk holds. The memory (sorted arrays of hashes and places,
+    the latest apart until they are many) is emptied when full. Texts that hold the string
+    of a special token go to the library whole."""
 
     MARK = "\ue000"
 
-    def __init__(self, path: str, capacity: int = 500_000) -> None:
+    def __init__(self, path: str, capacity: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.capacity = capacity
@@ -70,7 +71,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.known, self.latest = none, none
+        self.size = 0
         self.flat = np.empty(1 << 16, dtype="<u4")
         self.begin = np.zeros(1 << 14, dtype=np.int64)
 
@@ -106,16 +109,20 @@ class WordEncoder:
         if not len(start):
             return np.empty(0, "<u4"), np.zeros(n_docs + 1, np.int64)
         keys, first, which = np.unique(span_hash(prefix_hash(data, lower=True), start, end), return_index=True, return_inverse=True)
-        if len(self.slot) + len(keys) > self.capacity:
+        if self.size + len(keys) > self.capacity:
             self._forget()
-        get = self.slot.get
-        slots = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        slots = np.full(len(keys), -1, np.int64)
+        for held, place in (self.known, self.latest):
+            if len(held):
+                i = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[i] == keys
+                slots[hit] = place[i[hit]]
         missing = np.flatnonzero(slots < 0)
         if len(missing):
             raw = data.tobytes()
             at = first[missing]
             chunks = [raw[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist())]
-            slots[missing] = self._learn(keys[missing].tolist(), chunks)
+            slots[missing] = self._learn(keys[missing], chunks)
         s = slots[which]
         base = self.begin[s]
         size = self.begin[s + 1] - base
@@ -123,11 +130,21 @@ class WordEncoder:
         ids = self.flat[np.repeat(base - after + size, size) + np.arange(after[-1])]
         return ids, np.concatenate(([0], after))[np.searchsorted(doc, np.arange(n_docs + 1))]
 
-    def _learn(self, keys: list[int], chunks: list[str]) -> np.ndarray:
-        first = len(self.slot)
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> np.ndarray:
+        first = self.size
         for i in range(0, len(chunks), 64):
-            self._append(keys[i : i + 64], self._encode(chunks[i : i + 64]))
-        return np.arange(first, len(self.slot))
+            self._append(self._encode(chunks[i : i + 64]))
+        places = np.arange(first, self.size)
+        self.latest = self._merged(self.latest, (keys, places))
+        if len(self.latest[0]) > 1 << 16:
+            self.known, self.latest = self._merged(self.known, self.latest), (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return places
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, places = (np.concatenate(x) for x in zip(a, b))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], places[order]
 
     def _encode(self, chunks: list[str]) -> list[np.ndarray]:
         if any(self.MARK in c for c in chunks):
@@ -141,8 +158,8 @@ class WordEncoder:
             return [np.array(self._ids(c), dtype="<u4") for c in chunks]
         return [ids[a:b] for a, b in zip([0, *(x + len(self.mark) for x in seams)], [*seams, len(ids)])]
 
-    def _append(self, keys: list[int], ids: list[np.ndarray]) -> None:
-        k = len(self.slot)
+    def _append(self, ids: list[np.ndarray]) -> None:
+        k = self.size
         ends = self.begin[k] + np.cumsum([len(x) for x in ids])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
@@ -150,8 +167,7 @@ class WordEncoder:
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
         self.flat[self.begin[k] : ends[-1]] = np.concatenate(ids)
         self.begin[k + 1 : k + 1 + len(ids)] = ends
-        for i, key in enumerate(keys):
-            self.slot[key] = k + i
+        self.size = k + len(ids)
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
