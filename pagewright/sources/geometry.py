@@ -81,7 +81,7 @@ def render_crops(marked: DataFrame, factory: Callable[[], CropRenderer]) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         renderer = factory()
         for b in batches:
-            yield pd.DataFrame({"crop_path": b["crop_path"], "content": [renderer.crop(j, int(p), list(x), float(s)) for j, p, x, s in zip(b["job_id"], b["page_index"], b["bbox"], b["scale"])]})
+            yield pd.DataFrame({"crop_path": b["crop_path"], "content": [renderer.crop(j, int(p), [float(v) for v in x], float(s)) for j, p, x, s in zip(b["job_id"], b["page_index"], b["bbox"], b["scale"])]})
 
     return todo.mapInPandas(run, "crop_path string, content binary")
 
