@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 
-from .reflow import CAPTION, convert_tables_udf, reflow_udf
+from .reflow import convert_tables_udf, reflow_udf
 from .tasks import export_priority, flag, uses_task
 
 _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -76,6 +76,3 @@ def asset_names(blocks: DataFrame, crops: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(w)).select(
         "job_id", "block_id", "crop_path", F.concat(F.lit("page-"), two(F.col("page_index") + 1), F.lit("-figure-"), two(F.col("_n")), F.when(suffix == "", ".png").otherwise(suffix)).alias("asset_name")
     )
-
-
-CAPTION_PATTERN = CAPTION.pattern
