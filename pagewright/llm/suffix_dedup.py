@@ -48,8 +48,9 @@ from ._common import column, cut, discard, keyed, numbered, read_documents, slic
 from ._kernels import prefix_hash, sliding, span_hash
 
 LENGTH = 400
-STRETCH = 1 << 21
+STRETCH = 1 << 18
 _PIECE = "array<struct<start:int,len:int,owner:long,s1:long,s2:int,again:boolean>>"
+_ROW = np.dtype([("start", np.int32), ("len", np.int32), ("owner", np.int64), ("s1", np.int64), ("s2", np.int32), ("again", bool)])
 _POSITION = "rid long, at int, a long, b long, grid boolean, blocks array<struct<near:int,far:int,known:boolean,edge:binary>>"
 
 
@@ -85,8 +86,17 @@ class _Text:
         count = np.bincount(at[names[at] == self.hash], minlength=len(names))
         return names, count > 1
 
-    def pieces(self, repeated: np.ndarray) -> list[dict]:
-        """Pieces of the starts all of whose picks are among the repeated names."""
+    def places(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(base of each owner, sorted keys): the keys from an owner's base on are its base plus
+        the starts where its gram occurs."""
+        names, which = np.unique(owner, return_inverse=True)
+        at = np.searchsorted(names, self.hash)
+        at[at == len(names)] = 0
+        here = np.flatnonzero(names[at] == self.hash)
+        return which * (self.n + 1), np.sort(at[here] * (self.n + 1) + here)
+
+    def pieces(self, repeated: np.ndarray) -> np.ndarray:
+        """Pieces (``_ROW``) of the starts all of whose picks are among the repeated names."""
         names = np.unique(self.low)
         keep = np.isin(names, repeated)
         fine = keep[np.searchsorted(names, self.low)]
@@ -94,17 +104,17 @@ class _Text:
         fine = sliding(fine, inside, np.minimum) if inside > 1 else fine
         starts = np.flatnonzero(fine)
         if not len(starts):
-            return []
+            return np.empty(0, _ROW)
         own = self.low[starts]
         first = np.flatnonzero(np.concatenate(([True], (np.diff(starts) > 1) | (own[1:] != own[:-1]))))
         last = np.concatenate((first[1:], [len(starts)])) - 1
-        s, e, o = starts[first], starts[last], own[first]
-        a = span_hash(self.prefix, s, e + self.length)
-        b = span_hash(self.prefix, s + 1, e + self.length - 1) >> np.uint64(32)
-        out = []
-        for i in range(len(s)):
-            again = int(np.count_nonzero(self.hash[s[i] : e[i] + self.k] == o[i])) > 1
-            out.append({"start": int(s[i]), "len": int(e[i] - s[i] + 1), "owner": int(o[i].view(np.int64)), "s1": int(a[i].view(np.int64)), "s2": int(b[i].astype(np.uint32).view(np.int32)), "again": again})
+        s, e = starts[first], starts[last]
+        base, keys = self.places(own[first])
+        out = np.empty(len(s), _ROW)
+        out["start"], out["len"], out["owner"] = s, e - s + 1, own[first].view(np.int64)
+        out["s1"] = span_hash(self.prefix, s, e + self.length).view(np.int64)
+        out["s2"] = (span_hash(self.prefix, s + 1, e + self.length - 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out["again"] = np.searchsorted(keys, base + e + self.k) - np.searchsorted(keys, base + s) > 1
         return out
 
 
@@ -121,7 +131,7 @@ def _anchors(docs: DataFrame, length: int, stretch: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 rid, names, counts = [], [], []
                 for r, t in zip(column(part, "rid").to_pylist(), column(part, "text").to_pylist()):
                     for _, data in _stretches(t, length, stretch):
@@ -140,23 +150,27 @@ def _candidates(docs: DataFrame, length: int, stretch: int, texts_too: bool) ->
     without pieces the digest is final and the text is carried on only with ``texts_too``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("owner", pa.int64()), ("s1", pa.int64()), ("s2", pa.int32()), ("again", pa.bool_())]))
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                size, sha, texts, found = [], [], [], []
-                reps = column(part, "repeated")
+            for part in slices(batch, "text", 1 << 20):
+                size, sha, texts, found, ends = [], [], [], [np.empty(0, _ROW)], [0]
+                lists = column(part, "repeated")
+                names, edge = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
                 for i, t in enumerate(column(part, "text").to_pylist()):
-                    data = t.encode("utf-8")
-                    pieces = []
-                    if reps[i].is_valid:
-                        known = np.sort(reps[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    data, n = t.encode("utf-8"), 0
+                    if edge[i + 1] > edge[i]:
+                        known = np.sort(names[edge[i] : edge[i + 1]])
                         for at, some in _stretches(data, length, stretch):
-                            pieces += [p | {"start": p["start"] + at} for p in _Text(some, length).pieces(known)]
+                            pieces = _Text(some, length).pieces(known)
+                            pieces["start"] += at
+                            found.append(pieces)
+                            n += len(pieces)
+                    ends.append(ends[-1] + n)
                     size.append(len(data))
-                    sha.append(None if pieces else hashlib.sha256(data).hexdigest())
-                    texts.append(t if pieces or texts_too else None)
-                    found.append(pieces or None)
-                made = [pa.array(c, t) for c, t in zip((size, sha, texts, found), (pa.int64(), pa.string(), pa.string(), piece))]
+                    sha.append(None if n else hashlib.sha256(data).hexdigest())
+                    texts.append(t if n or texts_too else None)
+                rows = np.concatenate(found)
+                held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[k])) for k in _ROW.names], list(_ROW.names))
+                made = [pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)]
                 yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("rid", "doc_id", "key")), *made], ["rid", "doc_id", "key", "n_bytes", "kept_sha256", "text", "pieces"])
 
     return docs.select("rid", "doc_id", "key", "repeated", "text").mapInArrow(run, f"rid long, doc_id long, key binary, n_bytes long, kept_sha256 string, text string, pieces {_PIECE}")
@@ -164,12 +178,8 @@ def _candidates(docs: DataFrame, length: int, stretch: int, texts_too: bool) ->
 
 def _anchor_of(text: _Text, start: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The first occurrence at or after each start of the gram that the start's window picks."""
-    names, which = np.unique(owner, return_inverse=True)
-    at = np.searchsorted(names, text.hash)
-    at[at == len(names)] = 0
-    here = np.flatnonzero(names[at] == text.hash)
-    keys = np.sort(at[here] * (text.n + 1) + here)
-    return keys[np.searchsorted(keys, which * (text.n + 1) + start)] - which * (text.n + 1)
+    base, keys = text.places(owner)
+    return keys[np.searchsorted(keys, base + start)] - base
 
 
 def grid_positions(data: np.ndarray, length: int, start: np.ndarray, size: np.ndarray, owner: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
@@ -306,7 +316,7 @@ def _removal(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 lists = column(part, "runs")
                 flat, edge = lists.values, lists.offsets.to_numpy()
                 start, size = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "len"))
@@ -345,7 +355,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = ST
     classes = cut(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.max("again").alias("again"), *[F.first(k).alias(k) for k in ("rid", "start", "len")]), "classes")
     several = classes.groupBy("owner").agg(F.count("*").alias("k"), F.max("again").alias("m")).where("k > 1 or m").select("owner")
     todo = classes.join(several, "owner", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", "len", "owner", (F.col("c") > 1).alias("known"))).alias("todo"))  # bounded by one text
-    texts = found.where("pieces is not null").select("rid", "text")
+    texts = found.where("size(pieces) > 0").select("rid", "text")
     positions = cut(_positions(todo.join(texts, "rid"), length, stretch), "positions")
     single = _repeats(positions, length)
     discard(positions)
@@ -353,8 +363,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, stretch: int = ST
     runs = cut(whole.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias("runs")), "runs")  # bounded by one text
     discard(single, classes)
     # texts without pieces stay where they are
-    fine = found.where("pieces is null").select("key", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.col("text").alias("kept_text"))
-    out = _removal(found.where("pieces is not null").drop("pieces").join(runs, "rid", "left"), length).unionByName(fine)
+    fine = found.where("size(pieces) = 0").select("key", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.col("text").alias("kept_text"))
+    out = _removal(found.where("size(pieces) > 0").drop("pieces").join(runs, "rid", "left"), length).unionByName(fine)
     out.sources = (found, runs)
     return out
 
