@@ -10,6 +10,7 @@ Input handling that every operator of this subpackage shares:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,6 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The C library where it can give memory back (glibc).
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share.
 
@@ -68,6 +73,13 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _trim() -> None:
+    """Give the memory that a batch needed back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts take about ``max_bytes`` together
     (a longer single text forms a run of its own)."""
@@ -83,6 +95,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iter
             start, total = i, 0
         total += int(sizes[i])
     yield batch.slice(start, n - start)
+    _trim()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
